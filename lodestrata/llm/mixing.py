@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, stored_bytes
+from ..plans.shared import cut, fresh, stored_bytes
 from .common import WORD, table
 
 #: Weights in the order of the sources, repeating.
@@ -72,89 +72,134 @@ def _about_sources(rows: DataFrame, facts: DataFrame, small: bool, keys: tuple[s
     return rows.join(F.broadcast(own) if small else own, cond, how).drop(*[f"_of_{k}" for k in keys])
 
 
+def _ranked(docs: DataFrame, seed: int, names: dict[str, str]) -> DataFrame:
+    """docs with size, u, class and bucket of each row under the given names."""
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    out = docs.withColumn(names["size"], size).withColumn(names["u"], uniform(seed, "doc_id"))
+    of_size = F.col(names["size"])
+    # a size class holds sizes within a factor of the square root of two
+    out = out.withColumn(names["class"], F.when(of_size > 0, F.floor(2 * F.log2(of_size.cast("double")))).otherwise(F.lit(-1)).cast("int"))
+    # with one f in a class the order of the Pareto keys is the order of u, so a bucket of u is a bucket of keys
+    return out.withColumn(names["bucket"], F.floor(F.col(names["u"]) * BUCKETS).cast("int"))
+
+
+_PLAIN = {k: k for k in ("size", "u", "class", "bucket")}
+
+
+class Mix:
+    """What decides how often a row is taken: tables about sources and size classes, and nothing about rows."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 7):
+        self.seed = seed
+        rows = cut(_ranked(docs.select("doc_id", "source", "text"), seed, _PLAIN).drop("text"), "sizes")
+        strata = cut(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "strata")
+        per_source = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+        facts = (
+            per_source.withColumn("ratio", F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
+            .withColumn("whole", F.floor("ratio").cast("long"))
+            .withColumn("f", F.col("ratio") - F.col("whole"))
+        )
+        facts = cut(facts, "facts")
+        # how many each class gives: expected numbers from the largest class down, rounded so that errors do not add up
+        down = Window.partitionBy("source").orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        quotas = _about_sources(strata.where("class >= 0").withColumn("sum_n", F.sum("n").over(down)), facts.select("source", "f"), False)
+        upto, before = F.round(F.col("sum_n") * F.col("f")), F.round((F.col("sum_n") - F.col("n")) * F.col("f"))
+        quotas = cut(quotas.select("source", "class", "f", (upto - before).cast("long").alias("quota")), "quotas")
+        self.small = stored_bytes(facts) <= BROADCAST_BYTES and stored_bytes(quotas) <= BROADCAST_BYTES
+        self.cuts = cut(self._cuts(rows, quotas), "cuts")
+        drawn = cut(self._extra(rows).drop("class", "bucket"), "drawn")
+        self.state = self._close(drawn, facts)
+
+    def _cuts(self, rows: DataFrame, quotas: DataFrame) -> DataFrame:
+        """source, class, f, and the place in the order (bucket, and in it key, size and id) up to which a class is taken."""
+        held = rows.where("class >= 0").groupBy("source", "class", "bucket").agg(F.count("*").alias("m"))
+        run = Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = _about_sources(held.withColumn("upto", F.sum("m").over(run)), quotas, self.small, ("source", "class"))
+        splits = (F.col("upto") - F.col("m") < F.col("quota")) & (F.col("upto") > F.col("quota"))
+        edges = sums.groupBy("source", "class").agg(
+            F.max("f").alias("f"),
+            F.max(F.when(F.col("upto") <= F.col("quota"), F.col("bucket"))).alias("full"),
+            F.max(F.when(splits, F.col("bucket"))).alias("edge"),
+            F.max(F.when(splits, F.col("quota") - F.col("upto") + F.col("m"))).alias("left_over"),
+        )
+        edges = cut(edges, "edges")
+        at_edge = _about_sources(rows, edges.where("edge is not null"), self.small, ("source", "class")).where("bucket = edge")
+        at_edge = at_edge.withColumn("place", _place("u", "size"))
+        nth = F.row_number().over(Window.partitionBy("source", "class", "bucket").orderBy("place"))
+        last = at_edge.withColumn("nth", nth).where("nth = left_over").select("source", "class", "place")
+        return _about_sources(edges.select("source", "class", "f", "full", "edge"), last, self.small, ("source", "class"), "left")
+
+    def _extra(self, rows: DataFrame, names: dict[str, str] = _PLAIN) -> DataFrame:
+        """rows with extra: 1 for those that sampling takes once more."""
+        own = self.cuts.withColumnsRenamed({"class": "_ls_class", "f": "_ls_f", "full": "_ls_full", "edge": "_ls_edge", "place": "_ls_place"})
+        own = own.withColumnRenamed("source", "_of_source")
+        cond = F.col("source").eqNullSafe(F.col("_of_source")) & (F.col(names["class"]) == F.col("_ls_class"))
+        met = rows.join(F.broadcast(own) if self.small else own, cond, "left")
+        bucket = F.col(names["bucket"])
+        taken = (bucket <= F.col("_ls_full")) | ((bucket == F.col("_ls_edge")) & (_place(names["u"], names["size"]) <= F.col("_ls_place")))
+        extra = F.coalesce((F.col("_ls_f") > 0) & taken, F.lit(False)).cast("long")
+        return met.withColumn("_ls_extra", extra).drop("_of_source", "_ls_class", "_ls_f", "_ls_full", "_ls_edge", "_ls_place")
+
+    def _close(self, drawn: DataFrame, facts: DataFrame, rounds: int = 3) -> DataFrame:
+        """Adds or drops, in each round and source, the one document that brings the words nearest to the target."""
+        drawn = drawn.withColumnRenamed("_ls_extra", "extra")
+        taken = drawn.groupBy("source").agg(F.sum(F.col("extra") * F.col("size")).alias("extra_words"))
+        state = _about_sources(facts, taken, False, how="left")
+        gap = F.col("target") - F.col("whole") * F.col("source_size") - F.coalesce("extra_words", F.lit(0))
+        state = cut(state.withColumn("gap", gap).withColumn("changed", F.array().cast("array<struct<u:double,size:long,id:string>>")), "state")
+        me = _place("u", "size")
+        step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
+        for _ in range(rounds):
+            rows = _about_sources(drawn.where("size > 0"), state.select("source", "f", "gap", "changed"), self.small)
+            after = F.abs(F.col("gap") - step)
+            # only where sampling happens at all, and never the same document twice
+            rows = rows.where((F.col("f") > 0) & ~F.array_contains("changed", me) & (after < F.abs("gap")))
+            best = rows.groupBy("source").agg(F.min(F.struct(after.alias("after"), me.alias("me"), step.alias("step"))).alias("best"))
+            best = cut(best, "best")
+            # rows that repeat a document move together
+            same = _about_sources(drawn, best, self.small).where(me == F.col("best.me"))
+            moved = same.groupBy("source").agg(F.first("best.me").alias("me"), F.sum("best.step").alias("moved"))
+            state = _about_sources(state, moved, False, how="left")
+            state = state.withColumn("changed", F.when(F.col("me").isNotNull(), F.concat("changed", F.array("me"))).otherwise(F.col("changed")))
+            state = cut(state.withColumn("gap", F.col("gap") - F.coalesce("moved", F.lit(0))).drop("me", "moved"), "state")
+        return state.select("source", "source_size", "target", "whole", "changed")
+
+    def apply(self, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+        """docs with the columns size, copies, source_size and target under free names, which are returned, too."""
+        size, u, class_, bucket, copies, source_size, target = new = fresh(docs, *(f"_ls_{x}" for x in ("size", "u", "size_class", "bucket", "copies", "source_size", "target")))
+        names = {"size": size, "u": u, "class": class_, "bucket": bucket}
+        rows = self._extra(_ranked(docs, self.seed, names), names)
+        own = self.state.withColumnsRenamed({"source": "_of_source", "source_size": source_size, "target": target, "whole": "_ls_whole", "changed": "_ls_changed"})
+        rows = rows.join(F.broadcast(own) if self.small else own, F.col("source").eqNullSafe(F.col("_of_source")))
+        flips = F.array_contains("_ls_changed", _place(u, size))
+        extra = F.when(flips, 1 - F.col("_ls_extra")).otherwise(F.col("_ls_extra"))
+        rows = rows.withColumn(copies, F.col("_ls_whole") + extra)
+        return rows.select(*docs.columns, size, copies, source_size, target), [size, copies, source_size, target]
+
+
+def _place(u: str, size: str) -> Column:
+    """A row's place in its class: with one f, Pareto keys are in the order of u; ties go by size and id."""
+    return F.struct(F.col(u).alias("u"), F.col(size).alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source of every document.
 
     taken = copies * size, copies from 0 to `most`. A null text has size 0; a null source is a source of its
     own, last in order. Documents of size 0 are taken `floor` times and never sampled. Rows that repeat
-    a doc_id draw the same number and count as ties, which their size and then anything breaks; null doc_ids
-    likewise. An empty table gives no rows; other columns are not read.
+    a doc_id (null ones likewise) and a size in a source draw the same number and are taken alike. An empty
+    table gives no rows; other columns are not read.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    # a size class holds sizes within a factor of the square root of two
-    rows = cut(
-        docs.select("doc_id", "source", size.alias("size"))
-        .withColumn("u", uniform(seed, "doc_id"))
-        .withColumn("class", F.when(F.col("size") > 0, F.floor(2 * F.log2(F.col("size").cast("double")))).otherwise(F.lit(-1)).cast("int")),
-        "sizes",
-    )
-    strata = cut(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "strata")
-    per_source = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    facts = (
-        per_source.withColumn("ratio", F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
-        .withColumn("whole", F.floor("ratio").cast("long"))
-        .withColumn("f", F.col("ratio") - F.col("whole"))
-    )
-    facts = cut(facts, "facts")
-    # how many each class gives: expected numbers from the largest class down, rounded so that errors do not add up
-    down = Window.partitionBy("source").orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    quotas = _about_sources(strata.where("class >= 0").withColumn("sum_n", F.sum("n").over(down)), facts.select("source", "f"), False)
-    upto, before = F.round(F.col("sum_n") * F.col("f")), F.round((F.col("sum_n") - F.col("n")) * F.col("f"))
-    quotas = cut(quotas.select("source", "class", (upto - before).cast("long").alias("quota")), "quotas")
-    small = stored_bytes(facts) <= BROADCAST_BYTES and stored_bytes(quotas) <= BROADCAST_BYTES
+    narrow = docs.select("doc_id", "source", "text")
+    rows, (size, copies, source_size, target) = Mix(narrow, weights, most, seed).apply(narrow)
+    return rows.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(copies) * F.col(size)).alias("taken"), F.col(copies).alias("copies"), "source")
 
-    # with one f in a class the order of the Pareto keys is the order of u, so a bucket of u is a bucket of keys
-    bucket = F.floor(F.col("u") * BUCKETS).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    held = rows.where("class >= 0").groupBy("source", "class", "bucket").agg(F.count("*").alias("m"))
-    run = Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = _about_sources(held.withColumn("upto", F.sum("m").over(run)), quotas, small, ("source", "class"))
-    splits = (F.col("upto") - F.col("m") < F.col("quota")) & (F.col("upto") > F.col("quota"))
-    plan = cuts.groupBy("source", "class").agg(
-        F.max(F.when(F.col("upto") <= F.col("quota"), F.col("bucket"))).alias("full"),
-        F.max(F.when(splits, F.col("bucket"))).alias("edge"),
-        F.max(F.when(splits, F.col("quota") - F.col("upto") + F.col("m"))).alias("left_over"),
-    )
-    drawn = _about_sources(rows, cut(plan, "plan"), small, ("source", "class"), "left")
-    drawn = _about_sources(drawn, facts.select("source", "f"), small).withColumn("key", pareto_key(F.col("u"), F.col("f")))
-    inside = F.coalesce(F.col("bucket") <= F.col("full"), F.lit(False))
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    ordered = Window.partitionBy("source", "class", "bucket").orderBy("key", "size", "doc_id")
-    sure = drawn.where(~at_edge).withColumn("extra", inside.cast("long"))
-    cutting = drawn.where(at_edge).withColumn("extra", (F.row_number().over(ordered) <= F.col("left_over")).cast("long"))
-    columns = ["doc_id", "source", "size", "u", "extra"]
-    drawn = cut(sure.select(columns).unionByName(cutting.select(columns)), "drawn")
-    return _close(drawn, facts, small)
-
-
-def _close(drawn: DataFrame, facts: DataFrame, small: bool, rounds: int = 3) -> DataFrame:
-    """Adds or drops, in each round and source, the one document that brings the words nearest to the target.
-
-    The rounds share one pass over the rows: the sums of a round follow from those of the round before.
-    """
-    taken = drawn.groupBy("source").agg(F.sum(F.col("extra") * F.col("size")).alias("extra_words"))
-    state = _about_sources(facts, taken, False, how="left")
-    gap = F.col("target") - F.col("whole") * F.col("source_size") - F.coalesce("extra_words", F.lit(0))
-    state = cut(state.withColumn("gap", gap).withColumn("changed", F.array().cast("array<struct<u:double,size:long,doc_id:long>>")), "state")
-    for _ in range(rounds):
-        rows = _about_sources(drawn.where("size > 0"), state.select("source", "f", "gap", "changed", "target"), small)
-        step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
-        after = F.abs(F.col("gap") - step)
-        me = F.struct("u", "size", F.col("doc_id").cast("long").alias("doc_id"))
-        # whole-document moves only where sampling happens at all, and never the same document twice
-        free = (F.col("f") > 0) & ~F.array_contains("changed", me) & (after < F.abs("gap")) & F.col("doc_id").isNotNull()
-        best = rows.where(free).groupBy("source").agg(F.min(F.struct(after.alias("after"), F.col("u").alias("u"), F.col("size").alias("size"), F.col("doc_id").cast("long").alias("doc_id"), step.alias("step"))).alias("best"))
-        twice = _about_sources(rows.where(free), best, small).where((F.col("u") == F.col("best.u")) & (F.col("size") == F.col("best.size")) & (F.col("doc_id") == F.col("best.doc_id")))
-        moved = twice.groupBy("source").agg(F.first("best").alias("best"), F.sum(F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))).alias("moved"))
-        state = _about_sources(state, moved, False, how="left")
-        entry = F.struct(F.col("best.u").alias("u"), F.col("best.size").alias("size"), F.col("best.doc_id").alias("doc_id"))
-        state = state.withColumn("changed", F.when(F.col("best").isNotNull(), F.concat("changed", F.array(entry))).otherwise(F.col("changed")))
-        state = cut(state.withColumn("gap", F.col("gap") - F.coalesce("moved", F.lit(0))).drop("best", "moved"), "state")
-    rows = _about_sources(drawn, state.select("source", "source_size", "target", "whole", "changed"), small)
-    flip = F.array_contains("changed", F.struct("u", "size", F.col("doc_id").cast("long").alias("doc_id")))
-    extra = F.when(flip, 1 - F.col("extra")).otherwise(F.col("extra"))
-    out = rows.withColumn("copies", F.col("whole") + extra)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = 7) -> DataFrame:
+    """The mixed rows themselves: every row of docs as often as the mix takes it, with the columns of docs."""
+    rows, (_, copies, *_) = Mix(docs, weights, most, seed).apply(docs)
+    again = F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(fresh(docs, "_ls_again")[0])
+    return rows.select(*docs.columns, again).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

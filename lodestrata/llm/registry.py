@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, simhash_dedup, token_counts, topk_search
+from . import byte_bpe, embedding_dedup, line_dedup, mixing, quality_crf, simhash_dedup, token_counts, tool_links, topk_search, url_filter
 
-MODULES = [mixing, topk_search, token_counts, byte_bpe, simhash_dedup]
+MODULES = [tool_links, line_dedup, mixing, quality_crf, topk_search, token_counts, byte_bpe, url_filter, simhash_dedup, embedding_dedup]
 
 
 def queries() -> dict:
