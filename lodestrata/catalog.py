@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: list = []
+from .plans import q_reports
+
+_MODULES = [q_reports]
 
 
 def queries() -> dict:
