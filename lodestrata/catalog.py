@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_reports
+from .plans import q_relational, q_reports
 
-_MODULES = [q_reports]
+_MODULES = [q_reports, q_relational]
 
 
 def queries() -> dict:
