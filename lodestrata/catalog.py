@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_relational, q_reports
+from .plans import q_graph, q_relational, q_reports
 
-_MODULES = [q_reports, q_relational]
+_MODULES = [q_reports, q_relational, q_graph]
 
 
 def queries() -> dict:
