@@ -236,3 +236,50 @@ def contiguous(nodes: DataFrame, edges: DataFrame, key: str, label: str, least:
     roots = components(same, "src", "dst").withColumnRenamed("node", key)
     out = nodes.select(key, label).join(roots, key, "left").withColumn("component", F.coalesce("root", key))
     return out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("component"))).withColumn("small", F.col("n") < least).drop("root")
+
+
+def precision_matvec(entries: DataFrame, vector: DataFrame, scale: float, nu: int, node: str = "node", value: str = "x") -> DataFrame:
+    """(node, y): (2 nu / scale^2 I + L)^nu times a vector, for a whole nu."""
+    now = vector.select(F.col(node).alias("node"), F.col(value).alias("x"))
+    for k in range(nu):
+        y = matvec(entries, now)
+        now = now.join(y, "node", "left").select("node", (2 * nu / (scale * scale) * F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x"))
+        if k < nu - 1:
+            now = cut(now, "precision")
+    return now.withColumnRenamed("x", "y")
+
+
+def solve(entries: DataFrame, rhs: DataFrame, shift: float, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
+    """(node, x): (L + shift I) x = rhs by conjugate gradients; rhs is (node, b). A round is a mat-vec and two sums."""
+    state = cut(rhs.select("node", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")), "cg")
+    rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    first = rr
+    for _ in range(rounds):
+        if rr <= tolerance * tolerance * max(first, 1e-300):
+            break
+        q = matvec(entries, state, value="p")
+        s = cut(state.join(q, "node", "left").withColumn("q", F.coalesce("y", F.lit(0.0)) + shift * F.col("p")).drop("y"), "cg")
+        alpha = rr / s.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        s = s.select("node", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
+        new = s.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state = cut(s.select("node", "x", "r", (F.col("r") + new / rr * F.col("p")).alias("p")), "cg")
+        rr = new
+    return state.select("node", "x")
+
+
+def propagate(parts: dict[str, DataFrame], features: DataFrame, columns: list[str], steps: int) -> DataFrame:
+    """(node, columns) after steps of the random walk on every feature: the graph convolution without weights."""
+    both = cut(symmetric(parts["edges"]), "both")
+    n, now = parts["nodes"], features.select("node", *columns)
+    for _ in range(steps):
+        x = now.withColumnRenamed("node", "dst")
+        pulled = both.join(x, "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in columns])
+        met = n.join(now, "node").join(pulled, "node", "left")
+        loop = 1 / (F.col("q") * F.col("q"))
+        now = cut(met.select("node", *[((F.coalesce(f"_{c}", F.lit(0.0)) + F.col(c) * loop) / F.col("degree")).alias(c) for c in columns]), "step")
+    return now
+
+
+def lists_for(n: int) -> int:
+    """How many cells an index of n points gets: the square root, at least one."""
+    return max(1, int(n**0.5))

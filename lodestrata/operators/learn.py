@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,3 +134,93 @@ def soft_membership(distances: DataFrame, node: str, parcel: str, d2: str, top:
     w = Window.partitionBy(node)
     e = F.exp(-F.col(d2) / F.greatest(F.avg(d2).over(w), F.lit(1e-12)))
     return near.withColumn("_e", e).withColumn("w", F.col("_e") / F.sum("_e").over(w)).select(node, parcel, "w")
+
+
+@register("mlp")
+class Perceptron:
+    """One hidden layer on standardised features, fitted by full-batch Adam to a bounded, hashed sample; predicts in Arrow batches."""
+
+    def __init__(self, hidden: int = 32, rounds: int = 400, sample: int = 20000, seed: int = 1, patience: int = 50):
+        self.hidden, self.rounds, self.sample, self.seed, self.patience = hidden, rounds, sample, seed, patience
+
+    def fit(self, train: DataFrame, features: list[str], target: str, key: str | None = None) -> Perceptron:
+        import numpy as np
+
+        from ..functions.exprs import portable_hash
+
+        names = [key] if key else features
+        rows = train.orderBy(portable_hash(self.seed, *names), *names).limit(self.sample).select(*[F.col(c).cast("double") for c in [*features, target]]).collect()
+        data = np.array(rows, dtype=float)
+        x, y = data[:, :-1], data[:, -1]
+        self.features = features
+        self.mean, self.scale, self.shift, self.size = x.mean(0), x.std(0) + 1e-9, y.mean(), y.std() + 1e-9
+        x, y = (x - self.mean) / self.scale, (y - self.shift) / self.size
+        held = np.arange(len(x)) % 10 == 9
+        rng = np.random.default_rng(self.seed)
+        w = [rng.normal(size=(x.shape[1], self.hidden)) / x.shape[1] ** 0.5, np.zeros(self.hidden), rng.normal(size=self.hidden) / self.hidden**0.5, np.zeros(1)]
+        m, v, best, left = [0 * p for p in w], [0 * p for p in w], (np.inf, w), self.patience
+        for k in range(1, self.rounds + 1):
+            a = np.tanh(x[~held] @ w[0] + w[1])
+            e = (a @ w[2] + w[3] - y[~held]) / max(1, (~held).sum())
+            back = np.outer(e, w[2]) * (1 - a * a)
+            grads = [x[~held].T @ back, back.sum(0), a.T @ e, np.array([e.sum()])]
+            for j, g in enumerate(grads):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g
+                w[j] = w[j] - 0.02 * (m[j] / (1 - 0.9**k)) / (np.sqrt(v[j] / (1 - 0.999**k)) + 1e-8)
+            loss = float(((np.tanh(x[held] @ w[0] + w[1]) @ w[2] + w[3] - y[held]) ** 2).mean()) if held.any() else float((e * e).sum())
+            if loss < best[0]:  # the best snapshot is what stays
+                best, left = (loss, [p.copy() for p in w]), self.patience
+            else:
+                left -= 1
+                if not left:
+                    break
+        self.weights = best[1]
+        return self
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        import numpy as np
+
+        w, mean, scale, shift, size, features = self.weights, self.mean, self.scale, self.shift, self.size, self.features
+
+        @F.pandas_udf("double")
+        def of(batch: pd.DataFrame) -> pd.Series:
+            x = (batch[features].to_numpy(float) - mean) / scale
+            return pd.Series((np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]) * size + shift)
+
+        return df.withColumn(name, of(F.struct(*[F.col(c).cast("double").alias(c) for c in features])))
+
+
+@register("graph_convolution")
+class GraphConvolution:
+    """Features after steps of the random walk over a graph, then a linear read-out."""
+
+    def __init__(self, parts: dict[str, DataFrame], steps: int = 2, penalty: float = 1e-3):
+        self.parts, self.steps, self.ridge = parts, steps, Ridge(penalty)
+
+    def fit(self, train: DataFrame, features: list[str], target: str) -> GraphConvolution:
+        """train: (node, features, target); features of all nodes come with predict()'s table, so they are kept from `nodes`."""
+        self.features = features
+        self.ridge.fit(train, features, target)
+        return self
+
+    def smooth(self, nodes: DataFrame, features: list[str]) -> DataFrame:
+        from .graph import propagate
+
+        return propagate(self.parts, nodes, features, self.steps)
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        return self.ridge.predict(df, name)
+
+
+def factor_posterior(latent: DataFrame, factors: list[str], outputs: list[str], noise: float, prior: float = 1.0):
+    """Posterior mean (factors x outputs) and covariance of the linear decoder of a latent factor model, from sums alone."""
+    import numpy as np
+
+    k = len(factors)
+    aggs = [F.sum(F.col(factors[i]) * F.col(factors[j])).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [F.sum(F.col(f) * F.col(o)).alias(f"b{i}_{n}") for i, f in enumerate(factors) for n, o in enumerate(outputs)]
+    row = latent.agg(*aggs).first()
+    a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    b = np.array([[row[f"b{i}_{n}"] or 0.0 for n in range(len(outputs))] for i in range(k)])
+    cov = np.linalg.inv(a / noise + np.eye(k) / prior)
+    return cov @ b / noise, cov
