@@ -109,36 +109,30 @@ def within(a: Column, b: Column, most: int = EDITS) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(answer)
 
 
-def _segments(length: Column, most: int) -> list[tuple[Column, Column]]:
-    """(first place, length) of the even segments of a line of the given length; the last ones are longer."""
-    parts = most + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts
-    found = []
-    for i in range(parts):
-        n_longer = F.greatest(longer - (parts - i), F.lit(0))
-        found.append((F.lit(i) * short + n_longer + 1, short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)))
-    return found
-
-
-def segment_keys(line: Column, length: Column, most: int = EDITS) -> tuple[list[Column], list[Column]]:
-    """Keys under which a line is stored (they are its own probes, too), and its further probes.
+def segment_keys(lines: DataFrame, most: int = EDITS) -> DataFrame:
+    """(lid, key, stored) for a table (lid, line, n): the keys under which a line is stored, which are its own probes
+    for lines of its length, and its further probes.
 
+    A line of length L has most + 1 segments of L div (most + 1) characters, the last L mod (most + 1) of them one longer.
     For a stored line of length L and a probing line of length L + d, segment i at place p can only be met
-    by substrings that begin at p + s where s lies in [-(i)..i] and in [d - (most - i)..d + (most - i)].
+    by substrings that begin at p + s where s lies in [-i..i] and in [d - (most - i)..d + (most - i)].
+    Places are columns of their own and keys plain expressions of them, so that all of it is compiled code.
     """
-    stored, probes = [], []
-    for d in range(most + 1):
-        other = length - d
-        for i, (place, size) in enumerate(_segments(other, most)):
+    parts, n = most + 1, F.col("n")
+    short = {d: F.expr(f"cast((n - {d}) div {parts} as int)").alias(f"q{d}") for d in range(parts)}
+    longer = {d: F.expr(f"cast((n - {d}) % {parts} as int)").alias(f"r{d}") for d in range(parts)}
+    found = []
+    for d in range(parts):
+        q, r = F.col(f"q{d}"), F.col(f"r{d}")
+        for i in range(parts):
+            place = q * i + F.greatest(r - (parts - i), F.lit(0)) + 1
+            size = q + F.when(r >= parts - i, 1).otherwise(0)
             for s in range(max(-i, d - (most - i)), min(i, d + (most - i)) + 1):
-                inside = (place + s >= 1) & (place + s + size - 1 <= length) & (size > 0)
-                key = F.xxhash64(F.lit(i), other, F.substring(line, place + s, size))
-                if d == 0 and s == 0:
-                    stored.append(F.when(inside, key))
-                else:
-                    probes.append(F.when(inside, key))
-    return stored, probes
+                inside = (place + s >= 1) & (place + s + size - 1 <= n) & (size > 0)
+                key = F.xxhash64(F.lit(i), n - d, F.substring("line", place + s, size))
+                found.append(F.struct(F.when(inside, key).alias("key"), F.lit(d == 0 and s == 0).alias("stored")))
+    placed = lines.select("lid", "line", "n", *short.values(), *longer.values())
+    return placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.stored").where("key is not null")
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -148,24 +142,21 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """line, lid (its hash), owner (smallest doc_id), occurrences; empty lines are left out."""
+    """line, n (its length), lid (its hash), owner (smallest doc_id), occurrences; empty lines are left out."""
     lines = exploded(docs).where("line <> ''").select("doc_id", "line")
     found = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("occurrences"))
-    return found.select("line", F.xxhash64("line").alias("lid"), "owner", "occurrences")
+    return found.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("lid"), "owner", "occurrences")
 
 
 def near_links(lines: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(a, b), a < b: the line hashes of all pairs of distinct lines of least_chars or more that are 1 to `most` edits apart."""
-    long_lines = lines.where(F.length("line") >= least_chars)
-    stored, probes = segment_keys(F.col("line"), F.length("line"), most)
-    keys = long_lines.select("lid", F.explode(F.concat(
-        F.transform(F.array(*stored), lambda k: F.struct(k.alias("key"), F.lit(True).alias("stored"))),
-        F.transform(F.array(*probes), lambda k: F.struct(k.alias("key"), F.lit(False).alias("stored"))),
-    )).alias("k")).select("lid", "k.key", "k.stored").where("key is not null")
+    long_lines = lines.where(F.col("n") >= least_chars)
+    # dealt out once: counting and joining read the same shuffle
+    keys = segment_keys(long_lines, most).repartition("key")
     # keys under which a stored line and another one meet
     meets = keys.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("stored").alias("any"))
     meets = meets.where(F.col("any") & (F.col("least") != F.col("most"))).select("key")
-    few = cut(keys.join(meets, "key", "left_semi"), "meeting")
+    few = cut(keys.join(meets, "key"), "meeting")
     texts = cut(long_lines.select("lid", "line").join(few.select("lid").distinct(), "lid", "left_semi"), "texts")
     full = few.join(texts, "lid")
     a = full.where("stored").select("key", F.col("lid").alias("a"), F.col("line").alias("x"))

@@ -47,7 +47,7 @@ def lines_for(rng):
 def test_links_equal_brute_force(spark):
     rng = random.Random(2)
     lines = sorted(set(lines_for(rng)))
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line"))
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line")).withColumn("n", F.length("line"))
     lid = {r.lid: r.line for r in df.collect()}
     got = {frozenset((lid[r.a], lid[r.b])) for r in line_dedup.near_links(df).collect()}
     want = {frozenset(p) for p in combinations([x for x in lines if len(x) >= 20], 2) if distance(*p) <= 2}
