@@ -338,13 +338,13 @@ def j23(spark, sf):
 
 @add(
     "J32_cycled_pairing",
-    """WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier), b AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)
-SELECT s_suppkey, n_nationkey FROM a JOIN b ON (3 + a.k) % 25 = b.k""",
+    """WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer), b AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)
+SELECT c_custkey, n_nationkey FROM a JOIN b ON (3 + a.k) % 25 = b.k""",
 )
 def j32(spark, sf):
     from ..operators.spatial import cycled_pairs
 
-    return cycled_pairs(t(spark, sf, "supplier"), ["s_suppkey"], t(spark, sf, "nation"), ["n_nationkey"], 3).select("s_suppkey", "n_nationkey")
+    return cycled_pairs(t(spark, sf, "customer"), ["c_custkey"], t(spark, sf, "nation"), ["n_nationkey"], 3).select("c_custkey", "n_nationkey")
 
 
 @add("R1_R2_R3_union_with_provenance", "SELECT 'customer' AS source, c_nationkey AS nation, NULL AS segment, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, 'none', count(*) FROM supplier GROUP BY 2")
