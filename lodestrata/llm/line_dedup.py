@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, fresh, release
+from ..plans.shared import cut, fresh, stored_bytes
 from .common import table
 
 EDITS = 2
 #: Shorter lines are only compared for equality: two edits make another line of them.
 LEAST_CHARS = 20
+#: A table of line hashes is broadcast up to this size on disk; a larger one meets its lines by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
@@ -109,6 +111,31 @@ def within(a: Column, b: Column, most: int = EDITS) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(answer)
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(line: Column) -> list[Column]:
+    """How often each of 24 letters occurs, modulo 256, eight to a long integer."""
+    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)) for c in _LETTERS[:24]]
+    packed = []
+    for at in range(0, 24, 8):
+        word = F.lit(0).cast("long")
+        for k in range(8):
+            word = word.bitwiseOR(F.shiftleft(counts[at + k], 8 * k))
+        packed.append(word)
+    return packed
+
+
+def count_difference(a: list[Column], b: list[Column]) -> Column:
+    """A lower bound of the sum of differences of letter counts; an edit changes that sum by two at most."""
+    total = F.lit(0).cast("long")
+    for x, y in zip(a, b, strict=True):
+        for k in range(8):
+            d = F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * k).bitwiseAND(F.lit(255))
+            total = total + F.least(F.abs(d), 256 - F.abs(d))
+    return total
+
+
 def segment_keys(lines: DataFrame, most: int = EDITS) -> DataFrame:
     """(lid, key, stored) for a table (lid, line, n): the keys under which a line is stored, which are its own probes
     for lines of its length, and its further probes.
@@ -121,18 +148,18 @@ def segment_keys(lines: DataFrame, most: int = EDITS) -> DataFrame:
     parts, n = most + 1, F.col("n")
     short = {d: F.expr(f"cast((n - {d}) div {parts} as int)").alias(f"q{d}") for d in range(parts)}
     longer = {d: F.expr(f"cast((n - {d}) % {parts} as int)").alias(f"r{d}") for d in range(parts)}
+    # four bytes for every character, so that a segment is cut out without walking through the line
+    placed = lines.select("lid", "n", F.encode("line", "UTF-32").alias("u"), *short.values(), *longer.values())
     found = []
     for d in range(parts):
         q, r = F.col(f"q{d}"), F.col(f"r{d}")
         for i in range(parts):
-            place = q * i + F.greatest(r - (parts - i), F.lit(0)) + 1
+            place = q * i + F.greatest(r - (parts - i), F.lit(0))
             size = q + F.when(r >= parts - i, 1).otherwise(0)
             for s in range(max(-i, d - (most - i)), min(i, d + (most - i)) + 1):
-                inside = (place + s >= 1) & (place + s + size - 1 <= n) & (size > 0)
-                key = F.xxhash64(F.lit(i), n - d, F.substring("line", place + s, size))
-                found.append(F.struct(F.when(inside, key).alias("key"), F.lit(d == 0 and s == 0).alias("stored")))
-    placed = lines.select("lid", "line", "n", *short.values(), *longer.values())
-    return placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.stored").where("key is not null")
+                key = F.xxhash64(F.lit(i), n - d, F.substring("u", (place + s) * 4 + 1, size * 4))
+                found.append(F.struct(key.alias("key"), F.lit(d == 0 and s == 0).alias("stored")))
+    return placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.stored")
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -148,8 +175,15 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return found.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("lid"), "owner", "occurrences")
 
 
+def _if_small(df: DataFrame) -> DataFrame:
+    """A table that cut() returned, marked for broadcast if its measured size allows."""
+    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df.hint("merge")
+
+
 def near_links(lines: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(a, b), a < b: the line hashes of all pairs of distinct lines of least_chars or more that are 1 to `most` edits apart."""
+    if least_chars < (most + 1) * (most + 1):
+        raise ValueError("lines must be long enough for every shifted segment to lie inside them")
     long_lines = lines.where(F.col("n") >= least_chars)
     # dealt out once: counting and joining read the same shuffle
     keys = segment_keys(long_lines, most).repartition("key")
@@ -157,11 +191,14 @@ def near_links(lines: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHA
     meets = keys.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("stored").alias("any"))
     meets = meets.where(F.col("any") & (F.col("least") != F.col("most"))).select("key")
     few = cut(keys.join(meets, "key"), "meeting")
-    texts = cut(long_lines.select("lid", "line").join(few.select("lid").distinct(), "lid", "left_semi"), "texts")
+    own = long_lines.select("lid", "line", "n").join(_if_small(cut(few.select("lid").distinct(), "lids")), "lid", "left_semi")
+    texts = cut(own.select("lid", "line", "n", *[c.alias(f"c{k}") for k, c in enumerate(letter_counts(F.col("line")))]), "texts")
     full = few.join(texts, "lid")
-    a = full.where("stored").select("key", F.col("lid").alias("a"), F.col("line").alias("x"))
-    b = full.select("key", F.col("lid").alias("b"), F.col("line").alias("y"))
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & within(F.col("x"), F.col("y"), most))
+    side = lambda df, lid, x: df.select("key", F.col("lid").alias(lid), F.col("line").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "c0", "c1", "c2")])
+    a, b = side(full.where("stored"), "a", "x"), side(full, "b", "y")
+    alike = count_difference(*[[F.col(f"{x}_c{k}") for k in range(3)] for x in "xy"]) <= 2 * most
+    possible = (F.col("a") != F.col("b")) & (F.abs(F.col("x_n") - F.col("y_n")) <= most) & alike
+    pairs = a.join(b, (a["key"] == b["key"]) & possible & within(F.col("x"), F.col("y"), most))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -191,7 +228,7 @@ def removed_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     line goes everywhere.
     """
     where = exploded(docs).where("line <> ''").select("doc_id", "th", "pos", F.xxhash64("line").alias("lid"))
-    named = where.join(found, "lid")
+    named = where.join(_if_small(found), "lid")
     per_line = named.groupBy("doc_id", "th", "lid", "owner", "dropped", "n_links").agg(F.min("pos").alias("first"), F.collect_set("pos").alias("places"))
     own = F.col("doc_id").eqNullSafe(F.col("owner"))
     exact = F.when(own, F.filter("places", lambda p: p != F.col("first"))).otherwise(F.col("places"))
