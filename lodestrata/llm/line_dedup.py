@@ -30,6 +30,11 @@ LEAST_CHARS = 20
 BROADCAST_BYTES = 16 << 20
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value worked out once: a transform of one element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     """Edit distance of two strings if it is at most `most`, else some larger number.
 
@@ -38,30 +43,29 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     """
     width = 2 * most + 1
     mask = (1 << width) - 1
-    m, n = F.length(a), F.length(b)
-    padded = F.concat(F.lit("\0" * most), a, F.lit("\0" * most))
-    diagonal = m - n  # the answer lies on this diagonal; cells never decrease along it
-    start = F.struct(
-        F.lit(mask & ~((1 << most) - 1)).cast("int").alias("vp"),
-        F.lit(0).alias("vn"),
-        F.greatest(diagonal, F.lit(0)).alias("score"),
-    )
-
-    def column(s: Column, j: Column) -> Column:
-        char, window = F.substring(b, j, 1), F.substring(padded, j, width)
-        same = F.lit(0)
-        for k in range(width):
-            # a padded place is no row of the table
-            row = j + k - most
-            hit = (F.substring(window, F.lit(k + 1), F.lit(1)) == char) & (row >= 1) & (row <= m)
-            same = same.bitwiseOR(F.when(hit, F.lit(1 << k)).otherwise(F.lit(0)))
-        # each value is bound once by a one-element transform, so that no expression is worked out twice
-        return F.when(s["score"] > most, s).otherwise(
-            F.element_at(F.transform(F.transform(F.array(same), lambda x: _d0(x, s, mask)), lambda d0: _next(d0, s, diagonal, most, mask)), 1)
+    blank = F.array_repeat(F.lit(""), most)  # no row of the table: an empty string equals no character
+    start = F.struct(F.lit(mask & ~((1 << most) - 1)).cast("int").alias("vp"), F.lit(0).alias("vn"))
+
+    def walk(p: Column) -> Column:
+        def column(s: Column, j: Column) -> Column:
+            same = F.lit(0)
+            for k in range(width):
+                same = same.bitwiseOR(F.when(F.get(p["a"], j + (k - 1)) == F.get(p["b"], j - 1), F.lit(1 << k)).otherwise(F.lit(0)))
+            step = _bind(same, lambda x: _bind(_d0(x, s, mask), lambda d0: _next(d0, s, p["diagonal"], most, mask)))
+            return F.when(s["score"] > most, s).otherwise(step)
+
+        # the answer lies on the diagonal m - n; cells never decrease along it
+        first = F.struct(start["vp"].alias("vp"), start["vn"].alias("vn"), F.greatest(p["diagonal"], F.lit(0)).alias("score"))
+        far = F.abs(p["diagonal"]) > most
+        return F.when(far, F.lit(most + 1)).when(p["n"] == 0, p["m"]).when(p["m"] == 0, p["n"]).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.greatest(p["n"], F.lit(1))), first, column)["score"]
         )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, lambda s, j: column(s, j))
-    return F.when(F.abs(diagonal) > most, F.lit(most + 1)).when(n == 0, m).when(m == 0, n).otherwise(walked["score"])
+    chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    parts = F.struct(
+        F.concat(blank, chars(a), blank).alias("a"), chars(b).alias("b"), F.length(a).alias("m"), F.length(b).alias("n"), (F.length(a) - F.length(b)).alias("diagonal")
+    )
+    return _bind(parts, walk)
 
 
 def _d0(x: Column, s: Column, mask: int) -> Column:
@@ -83,31 +87,30 @@ def _next(d0: Column, s: Column, diagonal: Column, most: int, mask: int) -> Colu
 
 def _common_prefix(a: Column, b: Column) -> Column:
     """Length of what two strings begin with alike, by steps of falling powers of two."""
-    least = F.least(F.length(a), F.length(b))
-    steps = F.sequence(F.floor(F.log2(F.greatest(least, F.lit(1)).cast("double"))).cast("int"), F.lit(0), F.lit(-1))
 
-    def longer(at: Column, k: Column) -> Column:
-        step = F.call_function("shiftleft", F.lit(1), k)
-        fits = (at + step <= least) & (F.substring(a, at + 1, step) == F.substring(b, at + 1, step))
-        return F.when(fits, at + step).otherwise(at)
+    def grow(least: Column) -> Column:
+        steps = F.sequence(F.floor(F.log2(F.greatest(least, F.lit(1)).cast("double"))).cast("int"), F.lit(0), F.lit(-1))
 
-    # twice: the first pass can add up to less than twice its largest step minus one, the second what is left
-    return F.aggregate(steps, F.lit(0), longer)
+        def longer(at: Column, k: Column) -> Column:
+            step = F.call_function("shiftleft", F.lit(1), k)
+            fits = (at + step <= least) & (F.substring(a, at + 1, step) == F.substring(b, at + 1, step))
+            return F.when(fits, at + step).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), longer)
+
+    return _bind(F.least(F.length(a), F.length(b)), grow)
 
 
 def within(a: Column, b: Column, most: int = EDITS) -> Column:
-    """Whether two strings are at most `most` edits apart."""
-    # values are bound by one-element transforms
-    def cores(p: Column) -> Column:
-        x, y = F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))
-        return F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda c: rest(c))[0]
-
-    def rest(c: Column) -> Column:
-        rx, ry = F.reverse(c["x"]), F.reverse(c["y"])
-        suffix = F.transform(F.array(_common_prefix(rx, ry)), lambda q: F.struct(F.substring(c["x"], F.lit(1), F.length(c["x"]) - q).alias("x"), F.substring(c["y"], F.lit(1), F.length(c["y"]) - q).alias("y")))[0]
-        return F.transform(F.array(suffix), lambda z: banded_distance(z["x"], z["y"], most) <= most)[0]
-
-    answer = F.transform(F.array(_common_prefix(a, b)), cores)[0]
+    """Whether two strings are at most `most` edits apart: what they share at either end is stripped first."""
+
+    def core(c: Column) -> Column:
+        rest = lambda q: F.struct(F.substring(c["x"], F.lit(1), F.length(c["x"]) - q).alias("x"), F.substring(c["y"], F.lit(1), F.length(c["y"]) - q).alias("y"))
+        suffix = _bind(F.struct(F.reverse(c["x"]).alias("x"), F.reverse(c["y"]).alias("y")), lambda v: _common_prefix(v["x"], v["y"]))
+        return _bind(_bind(suffix, rest), lambda z: banded_distance(z["x"], z["y"], most) <= most)
+
+    tail = lambda p: F.struct(F.substring(a, p + 1, F.length(a)).alias("x"), F.substring(b, p + 1, F.length(b)).alias("y"))
+    answer = _bind(_bind(_common_prefix(a, b), tail), core)
     return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(answer)
 
 

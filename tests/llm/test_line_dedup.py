@@ -80,7 +80,7 @@ def test_dedup_equals_plain(spark):
     rng = random.Random(3)
     pool = lines_for(rng)[:150] + ["Yes.", "No."]
     docs = [(i, "\n".join(rng.choice(pool) if rng.random() > 0.1 else "" for _ in range(rng.randrange(1, 9)))) for i in range(60)]
-    docs += [(100, None), (101, ""), (102, "\n\n"), (103, "z" * 30000 + "\nYes."), (104, "z" * 30000 + "y")]
+    docs += [(100, None), (101, ""), (102, "\n\n"), (103, "z" * 1500 + "\nYes."), (104, "z" * 1500 + "y"), (105, "q" * 50000)]
     df = spark.createDataFrame([(d, t, "en", "clash", 3) for d, t in docs], "doc_id long, text string, lang string, lid string, pos int").repartition(4)
     lid = {r.line: r.lid for r in spark.createDataFrame([(x,) for d, t in docs if t for x in t.split("\n")], "line string").withColumn("lid", F.xxhash64("line")).collect()}
     got = line_dedup.dedup_lines(df)
