@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows alone has a null component_id. An empty table gives no rows; other columns are not read.
     """
     prints = cut(docs.select("doc_id", fingerprint_column("text").alias("fp")), "prints")
-    found = prints.join(classes(prints), "fp")
+    # both sides are plain tables, so that a fingerprint which many copies share is split
+    found = prints.join(cut(classes(prints), "classes"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
