@@ -172,10 +172,10 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """line, n (its length), lid (its hash), owner (smallest doc_id), occurrences; empty lines are left out."""
+    """line, n (its length), lid (its hash), tag (its md5), owner (smallest doc_id), occurrences; empty lines are left out."""
     lines = exploded(docs).where("line <> ''").select("doc_id", "line")
     found = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("occurrences"))
-    return found.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("lid"), "owner", "occurrences")
+    return found.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("lid"), F.unhex(F.md5("line")).alias("tag"), "owner", "occurrences")
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -209,16 +209,16 @@ def decisions(docs: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS
     """lid, owner, n_links, dropped for every line that occurs more than once or links to another one.
 
     A line is dropped if it links to a line that comes before it: one with a smaller owner (none is last),
-    of equal owners the smaller line hash.
+    of equal owners the smaller md5.
     """
     lines = cut(distinct_lines(docs), "lines")
     links = cut(near_links(lines, most, least_chars), "near")
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    owners = lines.select("lid", F.struct(F.col("owner").isNull().alias("no"), "owner", "lid").alias("o"))
+    owners = lines.select("lid", F.struct(F.col("owner").isNull().alias("no"), "owner", "tag").alias("o"))
     named = both.join(owners, both["b"] == owners["lid"]).select("a", "o")
     first = named.groupBy("a").agg(F.min("o").alias("before"), F.count("*").alias("n_links"))
-    facts = lines.select("lid", "owner", "occurrences").join(first, F.col("lid") == F.col("a"), "left")
-    mine = F.struct(F.col("owner").isNull().alias("no"), "owner", "lid")
+    facts = lines.select("lid", "tag", "owner", "occurrences").join(first, F.col("lid") == F.col("a"), "left")
+    mine = F.struct(F.col("owner").isNull().alias("no"), "owner", "tag")
     facts = facts.where("occurrences > 1 or a is not null")
     out = facts.select("lid", "owner", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("before") < mine, F.lit(False)).alias("dropped"))
     return cut(out, "decisions")
@@ -279,3 +279,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_line_dedup": query}
+
+# Letters beyond ASCII that the given texts use. The SQL engine's edit distance counts bytes, so each of these
+# letters becomes one of the control characters first, of which lines hold none; a letter beyond the list would count double there.
+_WIDE = "áâäçèéêíîñóöúüßÄÇÈÉÊÍÑÓÖÜÀÁÂ"
+_NARROW = " || ".join(f"chr({k})" for k in [*range(1, 9), 11, 12, *range(14, 32)])
+
+ORACLE = {
+    "op2_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' GROUP BY 1, 2),
+g AS (SELECT line, min(doc_id) AS owner, sum(c) AS n, length(line) AS len, md5(line) AS tag,
+             translate(line, '{_WIDE}', {_NARROW}) AS narrow
+      FROM o GROUP BY line),
+p AS (SELECT a.line AS a, b.line AS b, a.owner AS ao, b.owner AS bo, a.tag AS at_, b.tag AS bt FROM g a JOIN g b
+      ON a.len BETWEEN b.len - {EDITS} AND b.len + {EDITS} AND a.line <> b.line
+      WHERE a.len >= {LEAST_CHARS} AND b.len >= {LEAST_CHARS} AND levenshtein(a.narrow, b.narrow) <= {EDITS}),
+x AS (SELECT a AS line, count(*) AS links, bool_or(bo < ao OR (bo = ao AND bt < at_)) AS dropped FROM p GROUP BY a),
+r AS (SELECT doc_id, sum(c) AS n_lines, sum(CASE WHEN coalesce(dropped, FALSE) THEN 0 ELSE c - CASE WHEN doc_id = owner THEN 1 ELSE 0 END END) AS n_exact,
+             sum(CASE WHEN dropped THEN c ELSE 0 END) AS n_near, sum(coalesce(links, 0)) AS n_links
+      FROM o JOIN g USING (line) LEFT JOIN x USING (line) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_exact, 0) AS BIGINT) AS n_exact, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+}

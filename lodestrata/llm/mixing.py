@@ -77,8 +77,10 @@ def _ranked(docs: DataFrame, seed: int, names: dict[str, str]) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     out = docs.withColumn(names["size"], size).withColumn(names["u"], uniform(seed, "doc_id"))
     of_size = F.col(names["size"])
-    # a size class holds sizes within a factor of the square root of two
-    out = out.withColumn(names["class"], F.when(of_size > 0, F.floor(2 * F.log2(of_size.cast("double")))).otherwise(F.lit(-1)).cast("int"))
+    # a size class holds sizes within a factor of the square root of two: twice the binary digits, and one more for the upper half
+    digits = F.length(F.bin(of_size)) - 1
+    upper = (of_size.cast("double") * of_size >= F.pow(F.lit(2.0), 2 * digits + 1)).cast("int")
+    out = out.withColumn(names["class"], F.when(of_size > 0, 2 * digits + upper).otherwise(F.lit(-1)).cast("int"))
     # with one f in a class the order of the Pareto keys is the order of u, so a bucket of u is a bucket of keys
     return out.withColumn(names["bucket"], F.floor(F.col(names["u"]) * BUCKETS).cast("int"))
 
@@ -207,3 +209,47 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_mixing": query}
+
+
+def _rounds(n: int) -> str:
+    """CTEs of the closing rounds: in each, the one document of a source that brings its words nearest to the target."""
+    out, rows, state = [], "x0", "g0"
+    for k in range(1, n + 1):
+        out.append(f"""b{k} AS (SELECT * FROM (SELECT d.source, d.u, d.size, d.id, CASE WHEN d.extra = 1 THEN -d.size ELSE d.size END AS step,
+    row_number() OVER (PARTITION BY d.source ORDER BY abs(g.gap - CASE WHEN d.extra = 1 THEN -d.size ELSE d.size END), d.u, d.size, d.id) AS k
+  FROM {rows} d JOIN {state} g ON d.source IS NOT DISTINCT FROM g.source
+  WHERE d.size > 0 AND g.f > 0 AND NOT d.changed AND abs(g.gap - CASE WHEN d.extra = 1 THEN -d.size ELSE d.size END) < abs(g.gap)) WHERE k = 1),
+g{k} AS (SELECT g.source, g.f, g.gap - coalesce(b.step, 0) AS gap FROM {state} g LEFT JOIN b{k} b ON g.source IS NOT DISTINCT FROM b.source),
+x{k} AS (SELECT d.* REPLACE (CASE WHEN b.id IS NOT NULL THEN 1 - d.extra ELSE d.extra END AS extra, d.changed OR b.id IS NOT NULL AS changed)
+  FROM {rows} d LEFT JOIN b{k} b ON d.source IS NOT DISTINCT FROM b.source AND d.u = b.u AND d.size = b.size AND d.id = b.id)""")
+        rows, state = f"x{k}", f"g{k}"
+    return ",\n".join(out)
+
+
+ORACLE = {
+    "op3_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, source_size * 3 AS cap, source_size * 3 / w::DOUBLE AS q, sum(source_size) OVER () AS total FROM s),
+l AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY q, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (ORDER BY q, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest FROM o),
+lv AS (SELECT rest, w_rest FROM l WHERE cap * w_rest >= rest * w ORDER BY q, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(cap::DOUBLE, lv.rest::DOUBLE * w / lv.w_rest) AS target FROM l, lv),
+f AS (SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT) AS whole,
+             coalesce(target / nullif(source_size, 0), 0) - floor(coalesce(target / nullif(source_size, 0), 0)) AS f FROM t),
+c AS (SELECT *, CASE WHEN size > 0 THEN 2 * (length(bin(size)) - 1) + CASE WHEN size::DOUBLE * size >= power(2.0::DOUBLE, 2 * (length(bin(size)) - 1) + 1) THEN 1 ELSE 0 END ELSE -1 END AS class FROM d),
+n AS (SELECT source, class, count(*) AS n FROM c WHERE class >= 0 GROUP BY 1, 2),
+m AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY class DESC) AS BIGINT) AS sum_n FROM n),
+k AS (SELECT m.source, m.class, round(sum_n * f) - round((sum_n - n) * f) AS quota FROM m JOIN f ON m.source IS NOT DISTINCT FROM f.source),
+x0 AS (SELECT c.*, FALSE AS changed, CASE WHEN f.f > 0 AND row_number() OVER (PARTITION BY c.source, c.class ORDER BY u / (1 - u) / (f.f / (1 - f.f)), u, size, id) <= coalesce(k.quota, 0) THEN 1 ELSE 0 END AS extra
+  FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source LEFT JOIN k ON c.source IS NOT DISTINCT FROM k.source AND c.class = k.class),
+g0 AS (SELECT f.source, f.f, f.target - f.whole * f.source_size - coalesce(e.words, 0) AS gap
+  FROM f LEFT JOIN (SELECT source, sum(extra * size) AS words FROM x0 GROUP BY source) e ON f.source IS NOT DISTINCT FROM e.source),
+{_rounds(3)}
+SELECT doc_id, size, source_size, target, CAST((whole + extra) * size AS BIGINT) AS taken, CAST(whole + extra AS BIGINT) AS copies, x3.source
+FROM x3 JOIN f ON x3.source IS NOT DISTINCT FROM f.source
+"""
+}
