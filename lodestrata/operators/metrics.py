@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import both_finite, finite, ratio
+from ..plans.shared import cut
 
 #: Direction of each metric: 1 means larger is better.
 BETTER = {"r2": 1, "corr": 1, "rmse": -1, "mae": -1, "rmse_z": -1}
@@ -67,10 +68,25 @@ def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks within keys from 1, equal values share the mean of their places."""
-    same = Window.partitionBy(*keys, value)
-    before = Window.partitionBy(*keys).orderBy(value)
-    return df.withColumn(name, F.rank().over(before) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
+    """Ranks within keys from 1, equal values share the mean of their places.
+
+    Rows are dealt by ranges of (keys, value), so that a key with most of the rows is spread over many tasks and equal
+    values stay together. A row's rank is its rank in its range plus the rows of its key in the ranges before, of
+    which there is one number for each key and range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: ranges come from a sample, so a second evaluation could draw other ones
+    ranged = cut(df.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    local = Window.partitionBy("_part", *keys)
+    place = F.rank().over(local.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy("_part", *keys, value)) - 1) / 2.0
+    counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_p2")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = ranged.withColumn("_local", place).join(offsets, on)
+    return met.withColumn(name, F.col("_local") + F.col("_before")).select(*df.columns, name)
 
 
 def summary(df: DataFrame, keys: list[str], metrics=SCORES, stats=("mean", "median"), extra: list[Column] = ()) -> DataFrame:

@@ -17,10 +17,18 @@ def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     return df.orderBy(portable_hash(seed, *key), *key).limit(n)
 
 
+def first_per_group(df: DataFrame, groups: list[str], n, order: list, *key: str, parts: int = 16) -> DataFrame:
+    """The first n rows (a number or a column) of each group in an order. Rows are thinned in `parts` parts of every group first, so that
+    no task has to order a whole group."""
+    n = F.lit(n) if isinstance(n, int) else n
+    thin = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
+    few = df.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts))).withColumn("_n", thin).where(F.col("_n") <= n)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_n") <= n).drop("_n", "_part")
+
+
 def sample_per_group(df: DataFrame, groups: list[str], n: int, seed: int, *key: str) -> DataFrame:
     """At most n rows of each group, by hash."""
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy(portable_hash(seed, *key), *key))
-    return df.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+    return first_per_group(df, groups, n, [portable_hash(seed, *key), *key], *key)
 
 
 def group_folds(df: DataFrame, group: list[str], folds: int, seed: int) -> DataFrame:
@@ -87,8 +95,7 @@ def match_quantiles(pool: DataFrame, value: str, edges: list[float], want: list[
     """For every bin between edges, up to want[bin] rows of the pool by hash; bins may stay short."""
     b = sum((F.col(value) >= e).cast("int") for e in edges)
     wanted = F.element_at(F.array(*map(F.lit, want)), F.col("bin") + 1)
-    place = F.row_number().over(Window.partitionBy("bin").orderBy(portable_hash(seed, *key), *key))
-    return pool.withColumn("bin", b).withColumn("_n", place).where(F.col("_n") <= wanted).drop("_n")
+    return first_per_group(pool.withColumn("bin", b), ["bin"], wanted, [portable_hash(seed, *key), *key], *key)
 
 
 def farthest_points(df: DataFrame, key: str, coords: list[str], n: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
@@ -204,9 +203,9 @@ def f7(spark, sf):
 SELECT c_custkey, {R("coalesce((c_acctbal - lo) / nullif(hi - lo, 0) * 255, 0)", 5)} AS v FROM g""",
 )
 def f9(spark, sf):
-    w = Window.partitionBy("c_nationkey")
-    c = t(spark, sf, "customer")
-    return c.select("c_custkey", r(x.minmax_255("c_acctbal", F.min("c_acctbal").over(w), F.max("c_acctbal").over(w)), 5).alias("v"))
+    c = t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    span = c.groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    return c.join(span, "c_nationkey").select("c_custkey", r(x.minmax_255("c_acctbal", "lo", "hi"), 5).alias("v"))
 
 
 @add(

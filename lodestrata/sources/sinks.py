@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,9 +74,10 @@ def todo(units: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last record of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return records.withColumn("_n", place).where("_n = 1").drop("_n")
+    """The last record of each key: a maximum, combined before the shuffle."""
+    rest = [c for c in records.columns if c not in keys and c not in order]
+    last = records.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_r"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in records.columns])
 
 
 def smallest_superset(inventory: DataFrame, column: str, least: int) -> DataFrame:
