@@ -227,3 +227,20 @@ def portable_hash(seed: int, *cols: str) -> Column:
 def portable_uniform(seed: int, *cols: str) -> Column:
     """A number in [0, 1) from the first eight hex digits of portable_hash."""
     return F.conv(F.substring(portable_hash(seed, *cols), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def softmax(logits) -> Column:
+    """An array of numbers as weights that sum to one."""
+    a = col(logits)
+    e = F.transform(a, lambda v: F.exp(v - F.array_max(a)))
+    return F.transform(F.array(e), lambda w: F.transform(w, lambda v: v / F.aggregate(w, F.lit(0.0), lambda s, u: s + u)))[0]
+
+
+def mixture(predictions, logits) -> Column:
+    """The experts' predictions weighted by the softmax of their gates."""
+    return F.aggregate(F.zip_with(col(predictions), softmax(logits), lambda p, w: p * w), F.lit(0.0), lambda s, v: s + v)
+
+
+def minibatch_kl_weight(batch: int, rows: int) -> float:
+    """Share of the divergence term that a minibatch carries, so that an epoch carries it once."""
+    return batch / max(1, rows)

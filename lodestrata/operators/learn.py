@@ -224,3 +224,84 @@ def factor_posterior(latent: DataFrame, factors: list[str], outputs: list[str],
     b = np.array([[row[f"b{i}_{n}"] or 0.0 for n in range(len(outputs))] for i in range(k)])
     cov = np.linalg.inv(a / noise + np.eye(k) / prior)
     return cov @ b / noise, cov
+
+
+@register("spectral")
+class SpectralRegression:
+    """Gaussian-process regression on spectral features: weights of mode k have prior variance density[k].
+
+    The posterior comes from one aggregation of modes x modes moments; mean and variance of a row are expressions.
+    """
+
+    def __init__(self, density: list[float], noise: float):
+        self.density, self.noise = density, noise
+
+    def fit(self, train: DataFrame, features: list[str], target: str) -> SpectralRegression:
+        import numpy as np
+
+        k, cols = len(features), [F.col(c).cast("double") for c in features]
+        aggs = [F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(c * F.col(target)).alias(f"b{i}") for i, c in enumerate(cols)]
+        row = train.agg(*aggs).first()
+        a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        b = np.array([row[f"b{i}"] or 0.0 for i in range(k)])
+        self.features = features
+        self.covariance = np.linalg.inv(a / self.noise + np.diag(1 / np.array(self.density)))
+        self.weights = self.covariance @ b / self.noise
+        return self
+
+    def predict(self, df: DataFrame, name: str = "prediction", variance: str | None = None) -> DataFrame:
+        cols = [F.col(c).cast("double") for c in self.features]
+        mean = sum((float(w) * c for w, c in zip(self.weights, cols, strict=True)), F.lit(0.0))
+        out = df.withColumn(name, mean)
+        if variance:
+            terms = [float(self.covariance[i, j]) * cols[i] * cols[j] for i in range(len(cols)) for j in range(len(cols))]
+            out = out.withColumn(variance, sum(terms, F.lit(self.noise)))
+        return out
+
+
+@register("hash_field")
+class HashField:
+    """A field over space: tables of numbers on hashed grids of several resolutions, read by trilinear weights and summed.
+
+    Fitted by gradient steps over all rows: a step joins the corners of the rows to the table, sums the errors and
+    the weights of every entry, and moves each entry by its mean error. The table is bounded by levels x size.
+    """
+
+    #: One multiplier for each axis.
+    PRIMES = (1, 2654435761, 805459861)
+
+    def __init__(self, resolutions: tuple[int, ...] = (4, 8, 16), size: int = 4096, rounds: int = 8, rate: float = 0.5):
+        self.resolutions, self.size, self.rounds, self.rate = resolutions, size, rounds, rate
+
+    def corners(self, df: DataFrame, key: str, coords: list[str]) -> DataFrame:
+        """(key, entry, w): eight corners at every resolution."""
+        from ..functions.exprs import spatial_hash
+        from .spatial import trilinear
+
+        out = None
+        for level, res in enumerate(self.resolutions):
+            scaled = df.select(key, *[(F.col(c) * res).alias(c) for c in coords])
+            at = trilinear(scaled, coords)
+            cells = [F.floor(c).cast("long") + F.col(n) for c, n in zip(coords, ("i", "j", "k"), strict=True)]
+            part = at.select(key, (F.lit(level * self.size) + spatial_hash(cells, self.PRIMES, self.size)).alias("entry"), "w")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def fit(self, train: DataFrame, key: str, coords: list[str], target: str) -> HashField:
+        from ..plans.shared import cut
+
+        at = cut(self.corners(train, key, coords), "corners")
+        y = cut(train.select(key, F.col(target).cast("double").alias("_y")), "targets")
+        self.key, self.coords = key, coords
+        self.table = cut(at.select("entry").distinct().withColumn("v", F.lit(0.0)), "table")
+        for _ in range(self.rounds):
+            guess = at.join(F.broadcast(self.table), "entry").groupBy(key).agg(F.sum(F.col("w") * F.col("v")).alias("_p"))
+            error = y.join(guess, key).select(key, (F.col("_y") - F.col("_p")).alias("_e"))
+            step = at.join(error, key).groupBy("entry").agg((F.sum(F.col("w") * F.col("_e")) / F.sum("w")).alias("_s"))
+            moved = F.col("v") + self.rate * F.coalesce("_s", F.lit(0.0))
+            self.table = cut(self.table.join(step, "entry", "left").select("entry", moved.alias("v")), "table")
+        return self
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        guess = self.corners(df, self.key, self.coords).join(F.broadcast(self.table), "entry", "left").groupBy(self.key).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias(name))
+        return df.join(guess, self.key)

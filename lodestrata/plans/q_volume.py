@@ -171,3 +171,26 @@ def m7(spark, sf):
     a = t(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y")).agg(geometric_mean("l_discount").alias("v"), F.count(F.lit(1)).alias("n"))
     top = F.max("v").over(Window.partitionBy(F.lit(1)))
     return a.withColumn("s", F.col("v") / F.nullif(top, F.lit(0.0)) * 255).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n_rows"), r(F.avg("s"), 4).alias("mean_scaled"))
+
+
+@add("M8_mixture_of_experts", f"""WITH p AS (SELECT vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS p, [embedding[4]::DOUBLE * 8, embedding[5]::DOUBLE * 8, embedding[6]::DOUBLE * 8] AS g FROM embeddings),
+e AS (SELECT vec_id, p, list_transform(g, lambda v: exp(v - list_max(g))) AS e FROM p) SELECT vec_id, {R("(p[1] * e[1] + p[2] * e[2] + p[3] * e[3]) / list_sum(e)")} AS y FROM e""")
+def m8(spark, sf):
+    v = lambda a, b, s: F.array(*[F.col("embedding")[k].cast("double") * s for k in range(a, b)])
+    e = t(spark, sf, "embeddings").select("vec_id", v(0, 3, 1.0).alias("p"), v(3, 6, 8.0).alias("g"))
+    return e.select("vec_id", r(x.mixture("p", "g")).alias("y"))
+
+
+@add("M9_M18_spectral_regression", f"""WITH d AS (SELECT vec_id, embedding[1]::DOUBLE AS f, embedding[2]::DOUBLE AS y FROM embeddings), s AS (SELECT 1 / (sum(f * f) / 0.5 + 1 / 2.0) AS c, sum(f * y) / 0.5 AS b FROM d)
+SELECT vec_id, {R("c * b * f")} AS mean, {R("0.5 + c * f * f")} AS variance FROM d, s""")
+def m9(spark, sf):
+    d = t(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("f"), F.col("embedding")[1].cast("double").alias("y"))
+    out = learn.SpectralRegression([2.0], 0.5).fit(d, ["f"], "y").predict(d, "mean", "variance")
+    return out.select("vec_id", r("mean").alias("mean"), r("variance").alias("variance"))
+
+
+@add("M12_hash_field")
+def m12(spark, sf):
+    p = points(spark, sf).select("id", *[(F.col(c) + 0.5).alias(c) for c in "xyz"], (F.col("x") * 2 - F.col("y")).alias("target"))
+    model = learn.HashField((4, 8), 512, 4).fit(p, "id", ["x", "y", "z"], "target")
+    return metrics.score(model.predict(p), [], "target", "prediction").select("n", r("rmse", 2).alias("rmse"))

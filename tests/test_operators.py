@@ -274,6 +274,19 @@ def test_learners(spark):
     assert np.allclose(grouped.envelope(np.sin(2 * np.pi * 16 * t)), 1.0)
 
 
+def test_fields_and_spectral_regression(spark):
+    rng = np.random.default_rng(7)
+    m = rng.uniform(size=(150, 3))
+    df = spark.createDataFrame([(i, *map(float, v), float(np.sin(3 * v[0]) + v[1])) for i, v in enumerate(m)], "id long, x double, y double, z double, t double")
+    field = learn.HashField((2, 4), 256, 6).fit(df, "id", ["x", "y", "z"], "t")
+    assert metrics.score(field.predict(df), [], "t", "prediction").first().r2 > 0.9
+    out = learn.SpectralRegression([1.0, 4.0], 0.1).fit(df, ["x", "y"], "t").predict(df, "p", "v").collect()
+    f = np.array([[r.x, r.y] for r in out])
+    cov = np.linalg.inv(f.T @ f / 0.1 + np.diag([1.0, 0.25]))
+    assert np.allclose([r.p for r in out], f @ cov @ f.T @ np.array([r.t for r in out]) / 0.1)
+    assert np.allclose([r.v for r in out], 0.1 + np.einsum("ij,jk,ik->i", f, cov, f))
+
+
 def test_streams_add_up_to_the_batch(spark, tmp_path):
     from lodestrata.streaming import accumulate
 
