@@ -52,3 +52,16 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def sums_by_batch(stream: DataFrame, keys: list[str], sums: list[Column], path: str) -> DataFrame:
+    """Everything that is there now, summed batch by batch: each micro-batch overwrites its own folder, so a repeated batch counts
+    once, and the folders are merged at the end. State is one row per key and batch."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(*sums).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return merge(spark.read.parquet(f"{path}/sums").drop("batch"), keys)
