@@ -17,40 +17,45 @@ BETTER = {"r2": 1, "corr": 1, "rmse": -1, "mae": -1, "rmse_z": -1}
 SCORES = ("r2", "corr", "rmse", "mae")
 
 
-def score(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """keys, n, r2, corr, rmse, mae, bias over the pairs where both values are finite.
-
-    r2 is null for a constant truth, corr for a constant truth or prediction. Values are centred at a group
-    constant (the first pass's mean over all rows is not needed: means come from the same sums in
-    a shifted form) to keep the moments from cancelling.
-    """
+def _sums(y: str, p: str) -> dict[str, Column]:
     ok = both_finite(y, p)
     yy, pp = F.when(ok, F.col(y).cast("double")), F.when(ok, F.col(p).cast("double"))
     e = pp - yy
-    sums = pairs.groupBy(*keys).agg(
-        F.count(yy).alias("n"),
-        F.var_pop(yy).alias("_vy"),
-        F.var_pop(pp).alias("_vp"),
-        F.covar_pop(yy, pp).alias("_c"),
-        F.sum(e * e).alias("_se"),
-        F.sum(F.abs(e)).alias("_ae"),
-        F.avg(e).alias("bias"),
-    )
+    return {"n": F.count(yy), "_vy": F.var_pop(yy), "_vp": F.var_pop(pp), "_c": F.covar_pop(yy, pp), "_se": F.sum(e * e), "_ae": F.sum(F.abs(e)), "bias": F.avg(e)}
+
+
+def _finish(sums: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("n").cast("double")
-    spread = F.nullif(F.col("_vy"), F.lit(0.0))
     both = F.nullif(F.sqrt(F.col("_vy")) * F.sqrt(F.col("_vp")), F.lit(0.0))
-    # a spread under rounding error of its scale is no spread
     return sums.select(
         *keys,
         "n",
-        (1 - ratio("_se", n * spread)).alias("r2"),
-        F.when(F.sqrt("_vp") >= 1e-10, ratio("_c", both)).alias("corr"),
+        (1 - ratio("_se", n * F.nullif(F.col("_vy"), F.lit(0.0)))).alias("r2"),
+        F.when(F.sqrt("_vp") >= 1e-10, ratio("_c", both)).alias("corr"),  # a spread below rounding error is none
         F.sqrt(ratio("_se", n)).alias("rmse"),
         ratio("_ae", n).alias("mae"),
         "bias",
     )
 
 
+def score(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """keys, n, r2, corr, rmse, mae, bias over the pairs where both values are finite.
+
+    r2 is null for a constant truth, corr for a constant truth or prediction. Second moments are central ones that
+    merge between partitions, so large means do not cancel them.
+    """
+    return _finish(pairs.groupBy(*keys).agg(*[v.alias(k) for k, v in _sums(y, p).items()]), keys)
+
+
+def score_models(wide: DataFrame, keys: list[str], models: list[str], y: str = "y_true") -> DataFrame:
+    """score() of several predictions that stand side by side: keys, model, ...; the rows are aggregated once and only the
+    sums are turned into rows, so nothing is multiplied by the number of models before the shuffle."""
+    sums = {m: _sums(y, m) for m in models}
+    out = wide.groupBy(*keys).agg(*[F.struct(*[v.alias(k) for k, v in s.items()]).alias(f"_m_{m}") for m, s in sums.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(f"_m_{m}.{k}").alias(k) for k in sums[m]]) for m in models])).alias("_r")
+    return _finish(out.select(*keys, rows).select(*keys, "_r.*"), [*keys, "model"])
+
+
 def score_z(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred", sigma: str | None = None) -> DataFrame:
     """keys, n, rmse_z, corr, r2 (and mean_sigma) of values that are z-scored by the truth's own mean and deviation."""
     out = score(pairs, keys, y, p).withColumn("rmse_z", F.sqrt(F.greatest(1 - F.col("r2"), F.lit(0.0))))

@@ -13,19 +13,23 @@ CATALOG = Catalog()
 MODELS = ("net", "taxed", "unrelated", "constant")
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """fold, channel, model, run, y_true, y_pred: four predictors of a line's price, one row for each line and model."""
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """fold, channel, y_true and four predictors of a line's price side by side."""
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     part = t(spark, sf, "part").select("p_partkey", "p_type", "p_retailprice")
     orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey")
     y = F.col("l_extendedprice")
     base = li.join(part, li["l_partkey"] == part["p_partkey"]).join(orders, li["l_orderkey"] == orders["o_orderkey"])
-    base = base.select(
+    return base.select(
         F.pmod("o_custkey", F.lit(8)).cast("int").alias("fold"), F.col("p_type").alias("channel"), y.alias("y_true"),
         (y * (1 - F.col("l_discount"))).alias("net"), (y * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("taxed"),
         (F.col("l_quantity") * F.col("p_retailprice")).alias("unrelated"), F.lit(25000.0).alias("constant"),
     )
-    long = base.unpivot(["fold", "channel", "y_true"], list(MODELS), "model", "y_pred")
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """fold, channel, model, run, y_true, y_pred: one row for each line and model."""
+    long = predictions(spark, sf).unpivot(["fold", "channel", "y_true"], list(MODELS), "model", "y_pred")
     return long.withColumn("run", F.concat_ws("-", F.lit("FOLD"), "fold", "model"))
 
 
@@ -52,7 +56,9 @@ scores AS (
 
 
 def scores(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
-    return m.score(pairs(spark, sf), list(keys))
+    """Scores at keys, of which model is one and run is made of fold and model."""
+    out = m.score_models(predictions(spark, sf), [k for k in keys if k not in ("model", "run")], list(MODELS))
+    return out.withColumn("run", F.concat_ws("-", F.lit("FOLD"), "fold", "model")) if "run" in keys else out
 
 
 @CATALOG.add(
