@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..plans.shared import cut, fresh
+from ..plans.shared import cut, fresh, stored_bytes
 from .common import table
 
 SEED = 42
 MAX_BITS = 3
+#: A table of ids is broadcast up to this size on disk; a larger one meets the documents by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Words hashed at a time, so that a very long text needs no more memory than this many shingles.
 STEP = 1 << 16
 
@@ -194,16 +196,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose doc_id names their component: one of each group, with all columns of docs.
 
     Of rows that share the naming doc_id one stays; a component of rows without doc_id keeps one of them.
-    Only such rows are compared with each other; for all others the text is not shuffled more than once.
+    Only such rows are compared with each other. The others go by an anti-join with the ids to drop, which are
+    broadcast if their measured size allows, so that texts are not shuffled for a few copies.
     """
     fp, root, cid = fresh(docs, "_ls_fp", "_ls_root", "_ls_component")
     prints = cut(docs.select("doc_id", fingerprint_column("text").alias("fp")), "prints")
     found = cut(classes(prints), "classes")
     ids = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
     odd = cut(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(cid)), "odd")
-    names = found.where("component_id is not null").select(F.col("component_id").alias(cid)).distinct()
     is_row = F.col("doc_id").eqNullSafe(F.col(cid))
-    kept = docs.join(names.join(odd, cid, "left_anti"), F.col("doc_id") == F.col(cid), "left_semi")
+    others = prints.join(found, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias(cid))
+    drop = cut(others.unionByName(odd.where(F.col(cid).isNotNull())).distinct(), "drop")
+    named_rows = docs.where("doc_id is not null")
+    kept = named_rows.join(F.broadcast(drop) if stored_bytes(drop) <= BROADCAST_BYTES else drop, F.col("doc_id") == F.col(cid), "left_anti")
     if odd.isEmpty():
         return kept
     again = docs.join(odd, is_row, "left_semi").withColumn(fp, fingerprint_column("text"))
