@@ -126,7 +126,7 @@ class Mix:
         )
         edges = cut(edges, "edges")
         at_edge = _about_sources(rows, edges.where("edge is not null"), self.small, ("source", "class")).where("bucket = edge")
-        at_edge = at_edge.withColumn("place", _place("u", "size"))
+        at_edge = at_edge.withColumn("place", _place(pareto_key(F.col("u"), F.col("f")), "size"))
         nth = F.row_number().over(Window.partitionBy("source", "class", "bucket").orderBy("place"))
         last = at_edge.withColumn("nth", nth).where("nth = left_over").select("source", "class", "place")
         return _about_sources(edges.select("source", "class", "f", "full", "edge"), last, self.small, ("source", "class"), "left")
@@ -138,7 +138,8 @@ class Mix:
         cond = F.col("source").eqNullSafe(F.col("_of_source")) & (F.col(names["class"]) == F.col("_ls_class"))
         met = rows.join(F.broadcast(own) if self.small else own, cond, "left")
         bucket = F.col(names["bucket"])
-        taken = (bucket <= F.col("_ls_full")) | ((bucket == F.col("_ls_edge")) & (_place(names["u"], names["size"]) <= F.col("_ls_place")))
+        place = _place(pareto_key(F.col(names["u"]), F.col("_ls_f")), names["size"])
+        taken = (bucket <= F.col("_ls_full")) | ((bucket == F.col("_ls_edge")) & (place <= F.col("_ls_place")))
         extra = F.coalesce((F.col("_ls_f") > 0) & taken, F.lit(False)).cast("long")
         return met.withColumn("_ls_extra", extra).drop("_of_source", "_ls_class", "_ls_f", "_ls_full", "_ls_edge", "_ls_place")
 
@@ -149,7 +150,7 @@ class Mix:
         state = _about_sources(facts, taken, False, how="left")
         gap = F.col("target") - F.col("whole") * F.col("source_size") - F.coalesce("extra_words", F.lit(0))
         state = cut(state.withColumn("gap", gap).withColumn("changed", F.array().cast("array<struct<u:double,size:long,id:string>>")), "state")
-        me = _place("u", "size")
+        me = _mark("u", "size")
         step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
         for _ in range(rounds):
             rows = _about_sources(drawn.where("size > 0"), state.select("source", "f", "gap", "changed"), self.small)
@@ -173,14 +174,19 @@ class Mix:
         rows = self._extra(_ranked(docs, self.seed, names), names)
         own = self.state.withColumnsRenamed({"source": "_of_source", "source_size": source_size, "target": target, "whole": "_ls_whole", "changed": "_ls_changed"})
         rows = rows.join(F.broadcast(own) if self.small else own, F.col("source").eqNullSafe(F.col("_of_source")))
-        flips = F.array_contains("_ls_changed", _place(u, size))
+        flips = F.array_contains("_ls_changed", _mark(u, size))
         extra = F.when(flips, 1 - F.col("_ls_extra")).otherwise(F.col("_ls_extra"))
         rows = rows.withColumn(copies, F.col("_ls_whole") + extra)
         return rows.select(*docs.columns, size, copies, source_size, target), [size, copies, source_size, target]
 
 
-def _place(u: str, size: str) -> Column:
-    """A row's place in its class: with one f, Pareto keys are in the order of u; ties go by size and id."""
+def _place(key: Column, size: str) -> Column:
+    """A row's place in its class: by Pareto key, ties by size and id."""
+    return F.struct(key.alias("key"), F.col(size).alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+
+
+def _mark(u: str, size: str) -> Column:
+    """What tells a document from the others of its source."""
     return F.struct(F.col(u).alias("u"), F.col(size).alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
 
 
