@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_bytes, table
+from .common import bound_batches, file_bytes, table
 
 #: A text is cut into blocks of about so many characters.
 BLOCK_CHARS = 1 << 17
@@ -92,7 +92,7 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, with_ids:
     Null texts are empty texts: no ids and the hash of nothing. Repeated rows and null doc_ids
     give a row each; an empty table gives no rows; other columns are not read.
     """
-    narrow = docs.select("doc_id", F.col("text").alias("text"))
+    narrow = bound_batches(docs).select("doc_id", F.col("text").alias("text"))
     out = narrow.select("doc_id", encode_column(narrow, "text", ranks_file, pattern, with_ids).alias("e"))
     return out.select("doc_id", "e.*")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 #: Bounds of the sample that the field is fitted to: documents, and lines in one of them.
 SAMPLE_DOCS, SAMPLE_LINES = 2500, 64
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineFi
     Documents whose labels disagree or are null, without doc_id, and longer than SAMPLE_LINES lines teach
     nothing. If both classes are not there, every text scores the share of good ones.
     """
+    bound_batches(docs)
     agreed = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
     # a bounded number of ids: the only thing that is broadcast
     ids = agreed.where("y = y2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).select(F.col("doc_id").alias("_ls_id"), "y")

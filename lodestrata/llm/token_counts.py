@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_bytes, table
+from .common import bound_batches, file_bytes, table
 
 #: A block ends when its texts reach so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 8 << 20
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, json_file: bytes, pattern: str, limit: int = 1
             yield pd.Series(out + counter.totals(block), dtype="int64")
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
+    out = bound_batches(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
