@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .shared import cut, release
 
 
-def _edges(df: DataFrame) -> DataFrame:
-    """Distinct undirected edges, larger end first."""
+def _edges(df: DataFrame, distinct: bool = True) -> DataFrame:
+    """Undirected edges, larger end first."""
     big, small = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    return df.select(big, small).where("a <> b").distinct()
+    found = df.select(big, small).where("a <> b")
+    return found.distinct() if distinct else found
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -29,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             break
         both = kept.unionAll(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = cut(_edges(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
+        # repeats that this step makes do no harm before the next one drops them
+        large = cut(_edges(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), distinct=False), "large")
         # small star: every edge hangs on its larger end; the end and its other neighbours go to the smallest
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
