@@ -67,7 +67,8 @@ def score_z(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pr
 
 def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """keys, spearman: correlation of average ranks."""
-    ranked = average_rank(average_rank(pairs, keys, y, "_ry"), keys, p, "_rp")
+    narrow = cut(pairs.select(*keys, y, p), "pairs")  # read by the ranges' samples, too
+    ranked = average_rank(average_rank(narrow, keys, y, "_ry").select(*keys, p, "_ry"), keys, p, "_rp")
     sums = ranked.groupBy(*keys).agg(F.covar_pop("_ry", "_rp").alias("c"), F.stddev_pop("_ry").alias("a"), F.stddev_pop("_rp").alias("b"))
     return sums.select(*keys, ratio("c", F.nullif(F.col("a") * F.col("b"), F.lit(0.0))).alias("spearman"))
 
