@@ -299,7 +299,7 @@ def b15(spark, sf):
 
 @add("M3_boosting")
 def m3(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     out = learn.Boosting(5, 3).fit(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "l_orderkey").predict(li)
     return metrics.score(out, [], "l_extendedprice", "prediction").select("n", r("rmse", 0).alias("rmse"))
 

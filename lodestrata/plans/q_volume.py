@@ -143,7 +143,7 @@ def b17(spark, sf):
 
 @add("M5_perceptron")
 def m5(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice")
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice")
     model = learn.Perceptron(8, 60, 2000).fit(li, ["l_quantity", "l_discount"], "l_extendedprice", "l_orderkey")
     return metrics.score(model.predict(li), [], "l_extendedprice", "prediction").select("n", r("rmse", -2).alias("rmse"))
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestrata import catalog
 
@@ -20,3 +21,8 @@ def test_every_row_has_a_density(spark):
     n = Counter(bins)
     got = Counter(tuple(r) for r in query(spark, "A51_W13_histogram_density_whole").collect())
     assert got == Counter((*r[:4], n[b]) for r, b in zip(rows, bins))
+
+
+@pytest.mark.parametrize("name", ["M3_boosting", "M5_perceptron"])
+def test_every_row_is_predicted(spark, name):
+    assert query(spark, name).first().n == spark.read.parquet(f"{SF}/lineitem.parquet").count()
