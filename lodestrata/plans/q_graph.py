@@ -274,6 +274,12 @@ def g20(spark, sf):
     return g.border_distance(p, p.where("id % 3 = 0"), "id", "label", ["x", "y", "z"], 0.1).select("id", F.col("other").cast("int").alias("other"), r("d2").alias("d2"))
 
 
+@add("G20_A50_border_distance_whole", f"""WITH {POINTS}, d AS (SELECT a.id, min(struct_pack(d2 := {PD2}, k := b.id, o := b.label)) AS b FROM p a JOIN p b ON a.label <> b.label GROUP BY a.id) SELECT id, b.o AS other, {R("b.d2")} AS d2 FROM d""")
+def g20b(spark, sf):
+    p = points(spark, sf)
+    return g.border_distance(p, p, "id", "label", ["x", "y", "z"], 0.02).select("id", F.col("other").cast("int").alias("other"), r("d2").alias("d2"))
+
+
 @add("G24_representatives", f"""WITH {POINTS}, c AS (SELECT *, CAST(floor(x / 0.1) AS BIGINT) AS cell FROM p), m AS (SELECT cell, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM c GROUP BY cell),
 k AS (SELECT cell, id, n, row_number() OVER (PARTITION BY cell ORDER BY round(power(x - mx, 2) + power(y - my, 2), 9), id) AS k FROM c JOIN m USING (cell)) SELECT cell, id AS node, n FROM k WHERE k = 1""")
 def g24(spark, sf):

@@ -26,3 +26,12 @@ def test_every_row_has_a_density(spark):
 @pytest.mark.parametrize("name", ["M3_boosting", "M5_perceptron"])
 def test_every_row_is_predicted(spark, name):
     assert query(spark, name).first().n == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_the_nearest_border_is_searched_among_all_points(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    at, label = np.array([r.embedding[:3] for r in e], dtype=float), np.array([r.label for r in e])
+    d2 = ((at[:, None] - at[None]) ** 2).sum(-1)
+    d2[label[:, None] == label[None]] = np.inf
+    got = {r.id: r.d2 for r in query(spark, "G20_A50_border_distance_whole").collect()}
+    assert len(got) == len(e) and all(abs(got[r.vec_id] - v) < 1e-6 for r, v in zip(e, d2.min(1)))
