@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lodestrata import catalog
+from lodestrata.operators import volume
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,25 @@ def test_the_nearest_border_is_searched_among_all_points(spark):
     d2[label[:, None] == label[None]] = np.inf
     got = {r.id: r.d2 for r in query(spark, "G20_A50_border_distance_whole").collect()}
     assert len(got) == len(e) and all(abs(got[r.vec_id] - v) < 1e-6 for r, v in zip(e, d2.min(1)))
+
+
+def test_voxels_hold_every_row(spark):
+    from lodestrata.plans.q_volume import whole_voxels
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber", "l_suppkey", "l_partkey", "l_quantity").collect():
+        want.setdefault((r[0], r[1] % 16, r[2] % 16), []).append(float(r[3]))
+    got = {(r.z, r.y, r.x): float(r.v) for r in whole_voxels(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - np.mean(v)) < 1e-9 for k, v in want.items())
+
+
+@pytest.mark.parametrize("name", ["G21_surface_depth_whole", "G22_gaussian_smoothing_whole", "G22_gradient_size_whole", "G22_hessian_and_deviation"])
+def test_every_voxel_has_a_value(spark, name):
+    cells = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_linenumber", "l_suppkey % 16", "l_partkey % 16").distinct().count()
+    assert query(spark, name).count() == cells
+
+
+def test_only_closed_holes_are_filled(spark):
+    cube = [(z, y, x) for z in range(3) for y in range(3) for x in range(3) if (z, y, x) != (1, 1, 1)]
+    fill = lambda cells: volume.fill_holes(spark.createDataFrame(cells, "z int, y int, x int")).count()
+    assert fill(cube) == 27 and fill([c for c in cube if c != (0, 1, 1)]) == 25
