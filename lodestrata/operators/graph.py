@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,12 +145,13 @@ def affinity_stats(edges: DataFrame, bandwidths: list[float]) -> DataFrame:
     return grid.groupBy("bw").agg(F.percentile(w, qs).alias("q"), F.avg(w).alias("mean"), F.avg((w > 0.9).cast("double")).alias("saturated"), F.avg((w < 0.01).cast("double")).alias("dead"), F.sum(w).alias("total"))
 
 
-def geodesic(edges: DataFrame, sources: DataFrame, most: float, rounds: int = 64) -> DataFrame:
-    """(source, node, d) of shortest paths (edge length sqrt d2) up to a distance: relaxation of what changed, round by round."""
+def geodesic(edges: DataFrame, sources: DataFrame, most: float, rounds: int | None = 64) -> DataFrame:
+    """(source, node, d) of shortest paths (edge length sqrt d2) up to a distance: relaxation of what changed, round by round, for at
+    most so many rounds, or until nothing changes where rounds is None."""
     both = cut(symmetric(edges.select("src", "dst", F.sqrt("d2").alias("len"))), "lengths")
     known = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")), "known")
     front = known
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         step = front.join(both, front["node"] == both["src"]).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("len")).alias("d")).where(F.col("d") <= most)
         best = step.groupBy("source", "node").agg(F.min("d").alias("d"))
         old = known.select("source", "node", F.col("d").alias("old"))

@@ -106,6 +106,14 @@ def g15(spark, sf):
     return s.crossJoin(F.broadcast(few)).select("a", F.col("s_suppkey").alias("b"), r(k).alias("k"))
 
 
+@add("G15_factor_kernels_whole", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, {R('exp(-power(a.s_acctbal - b.s_acctbal, 2) / (2 * 1000000.0)) * CASE WHEN a.s_nationkey = b.s_nationkey THEN 1 ELSE 0.3 END')} AS k FROM supplier a, supplier b")
+def g15b(spark, sf):
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    d = F.col("d1") - F.col("s_acctbal")
+    k = x.gaussian(d * d, 1000.0) * F.when(F.col("p1") == F.col("s_nationkey"), 1.0).otherwise(0.3)
+    return s.crossJoin(s.toDF("a", "d1", "p1")).select("a", F.col("s_suppkey").alias("b"), r(k).alias("k"))
+
+
 @add("G28_index_size", "SELECT count(*) AS n, CAST(greatest(1, floor(sqrt(count(*)))) AS INTEGER) AS lists FROM embeddings")
 def g28(spark, sf):
     return t(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n")).withColumn("lists", F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("int"))

@@ -58,3 +58,21 @@ def test_only_closed_holes_are_filled(spark):
     cube = [(z, y, x) for z in range(3) for y in range(3) for x in range(3) if (z, y, x) != (1, 1, 1)]
     fill = lambda cells: volume.fill_holes(spark.createDataFrame(cells, "z int, y int, x int")).count()
     assert fill(cube) == 27 and fill([c for c in cube if c != (0, 1, 1)]) == 25
+
+
+def test_geodesics_go_on_until_nothing_changes(spark, tmp_path):
+    line = [(k, 0, [0.11 * k] + [0.0] * 63) for k in range(30)]
+    spark.createDataFrame(line, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.node: r.d for r in catalog.queries()["G18_geodesic_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(24)) and all(abs(d - 0.11 * k) < 1e-4 for k, d in got.items())
+
+
+def test_parcels_are_those_of_all_planes(spark):
+    got = query(spark, "G19_contiguous_parcels_whole").collect()
+    cells = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey % 32", "l_suppkey % 32", "l_linenumber").distinct().count()
+    assert len(got) == cells and len({r.id % 8 for r in got if r.component == got[0].component}) > 1
+
+
+def test_every_pair_of_suppliers_has_a_kernel(spark):
+    n = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert query(spark, "G15_factor_kernels_whole").select("a", "b").distinct().count() == n * n
