@@ -5,8 +5,8 @@ word count (long documents say more that is said once, but not in proportion) an
 expected words are the source's target; nothing is expected more than `most` times. The whole part is
 taken for certain. What is left, f, is the document's own inclusion probability: all documents of a
 source are ranked together by random odds over inclusion odds, (U / (1 - U)) / (f / (1 - f)) with
-a uniform U from a hash of the row, and taken in that order as far as their words fit the target. The few
-words that are still missing are filled, from long documents to short ones and within a size class
+a uniform U from a hash of the row, and taken in that order as far as their words fit the target. Words
+that are still missing, beyond a tolerance, are filled from long documents to short ones and within a size class
 in the same order.
 
 Only words by rank bucket are gathered: two levels of buckets find where a source is cut, so
@@ -27,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Rank buckets of a source, and parts of the one bucket where it is cut.
 BUCKETS = 4096
+#: Words missing of a target that are left missing: filling them with the shortest documents would take those too often.
+TOLERANCE = 0.001
 #: Documents of one size class that may fill what is missing. Entering a class with twice its upper bound missing, three are enough.
 FILLERS = 8
 #: A table about sources is broadcast up to this size on disk; a larger one is joined by shuffle.
@@ -160,23 +162,24 @@ class Mix:
         state = _meet(second, last, ("source",), False, "left")
         taken = F.coalesce("upto", "base")
         state = state.select("source", F.coalesce("edge", F.lit(BUCKETS * BUCKETS)).alias("edge"), "place", (F.col("gap") - taken).alias("left"))
-        state = cut(_meet(self.facts.select("source", "x", "whole", "f"), state, ("source",), False), "state")
+        own = self.facts.select("source", "x", "whole", "f", (F.col("target") * TOLERANCE).alias("slack"))
+        state = cut(_meet(own, state, ("source",), False), "state")
         small = stored_bytes(state) <= BROADCAST_BYTES
         # fillers: the next rows of each class that could still fit
-        rest = _meet(drawn.drop("gap"), state.select("source", "x", "edge", "place", "left"), ("source", "x"), small)
+        rest = _meet(drawn.drop("gap"), state.select("source", "x", "edge", "place", "left", "slack"), ("source", "x"), small)
         rest = rest.where(~_taken(F.col("b"), place, F.col("edge"), F.col("place")) & (F.col("size") <= F.col("left")))
         nth = F.row_number().over(Window.partitionBy("source", "x").orderBy(place))
         next_ = rest.withColumn("k", nth).where(F.col("k") <= FILLERS)
-        filled = next_.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct((-F.col("x")).alias("down"), place.alias("place")))).alias("all"))
+        filled = next_.groupBy("source").agg(F.max("left").alias("left"), F.max("slack").alias("slack"), F.sort_array(F.collect_list(F.struct((-F.col("x")).alias("down"), place.alias("place")))).alias("all"))
         start = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<who:string,nth:bigint>>").alias("fill"))
 
         def step(s: Column, r: Column) -> Column:
             row = F.struct(r["place"]["who"].alias("who"), r["place"]["nth"].alias("nth"))
             more = F.struct((s["left"] - r["place"]["size"]).alias("left"), F.concat(s["fill"], F.array(row)).alias("fill"))
-            return F.when(r["place"]["size"] <= s["left"], more).otherwise(s)
+            return F.when((s["left"] > F.col("slack")) & (r["place"]["size"] <= s["left"]), more).otherwise(s)
 
         filled = filled.select("source", F.aggregate("all", start, step)["fill"].alias("fill"))
-        cuts = _meet(state.drop("left"), filled, ("source",), False, "left")
+        cuts = _meet(state.drop("left", "slack"), filled, ("source",), False, "left")
         return cut(cuts.withColumn("fill", F.coalesce("fill", F.array().cast("array<struct<who:string,nth:bigint>>"))), "cuts")
 
     @staticmethod
@@ -298,14 +301,14 @@ lx AS (SELECT source, max_by(rest / weight, x) AS c FROM cl WHERE weight > 0 AND
 e AS (SELECT cl.source, cl.x, cl.words, source_size, target, least(3.0::DOUBLE, coalesce(lx.c, 0) * cl.x) AS e FROM cl LEFT JOIN lx ON cl.source IS NOT DISTINCT FROM lx.source),
 f AS (SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS f, target - (sum(CAST(floor(e) AS BIGINT) * words) OVER (PARTITION BY source))::DOUBLE AS gap FROM e),
 k AS (SELECT *, u / (1 - u) / (f / (1 - f)) AS key FROM (
-  SELECT d.*, f.f, f.gap, (CAST('0x' || substr(md5('7:' || who || ':' || nth), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  SELECT d.*, f.f, f.gap, {TOLERANCE}::DOUBLE * f.target AS slack, (CAST('0x' || substr(md5('7:' || who || ':' || nth), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.x = f.x WHERE d.size > 0 AND f.f > 0)),
 m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size, who, nth) AS upto FROM k),
-g AS (SELECT source, max(gap) - coalesce(max(CASE WHEN upto <= gap THEN upto END), 0) AS missing FROM m GROUP BY source),
+g AS (SELECT source, max(gap) - coalesce(max(CASE WHEN upto <= gap THEN upto END), 0) AS missing, max(slack) AS slack FROM m GROUP BY source),
 a AS (SELECT m.*, row_number() OVER (PARTITION BY m.source, x ORDER BY key, size, who, nth) AS n FROM m JOIN g ON m.source IS NOT DISTINCT FROM g.source WHERE upto > gap AND size <= missing),
 q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY x DESC, key, size, who, nth) AS step FROM a WHERE n <= {FILLERS}),
-z AS (SELECT source, 0::BIGINT AS step, missing, FALSE AS fits, NULL::VARCHAR AS who, NULL::BIGINT AS nth FROM g
-  UNION ALL SELECT z.source, q.step, CASE WHEN q.size <= z.missing THEN z.missing - q.size ELSE z.missing END, q.size <= z.missing, q.who, q.nth
+z AS (SELECT source, 0::BIGINT AS step, missing, slack, FALSE AS fits, NULL::VARCHAR AS who, NULL::BIGINT AS nth FROM g
+  UNION ALL SELECT z.source, q.step, CASE WHEN z.missing > z.slack AND q.size <= z.missing THEN z.missing - q.size ELSE z.missing END, z.slack, z.missing > z.slack AND q.size <= z.missing, q.who, q.nth
   FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source AND q.step = z.step + 1),
 y AS (SELECT who, nth FROM m WHERE upto <= gap UNION ALL SELECT who, nth FROM z WHERE fits)
 SELECT d.doc_id, d.size, f.source_size, f.target, CAST((whole + CASE WHEN y.who IS NULL THEN 0 ELSE 1 END) * size AS BIGINT) AS taken,

@@ -129,5 +129,9 @@ def test_documents_are_taken_as_often_as_their_inclusion_probabilities_say(spark
         low, high = (c, high) if sum(min(3, c * n.bit_length()) * n for n in sizes) < sum(sizes) else (low, c)
     expected = {n: min(3, c * n.bit_length()) for n in sizes}
     assert max(expected.values()) > 1.3 * min(expected.values())
-    off = [r.m - expected[r.size] for r in got]
-    assert max(map(abs, off)) < 0.15 and abs(np.mean(off)) < 0.03, (max(map(abs, off)), np.mean(off))
+    by_class = {}
+    for r in got:
+        by_class.setdefault(r.size.bit_length(), []).append(r.m - expected[r.size])
+    # a class whose every document is there in 150 draws: 0.04 is one deviation of a single document
+    for x, off in by_class.items():
+        assert abs(np.mean(off)) < 0.03 + 0.12 / math.sqrt(len(off)), (x, len(off), np.mean(off))
