@@ -27,9 +27,9 @@ def histogram_density(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
 def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """df with its rank from 0 in a total order: rows are range-partitioned and sorted, ranked inside their range, and shifted by the
     counts of the ranges before, of which there are as many as partitions. No task sees more than its range."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # written once: ranges come from a sample, so a second evaluation could draw other ones
-    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    # written once: ranges come from a sample, so a second evaluation could draw other ones; without a number, small ranges are joined
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    ranged = cut(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")

@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is named (local tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where none is named and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
@@ -30,12 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_narrow(df: DataFrame, name: str = "part") -> DataFrame:
+    """cut() of the few columns that a scan of wide rows leaves: dealt out anew by size first, so that the table has as
+    many files as its bytes ask for and not as many as the scan had tasks."""
+    return cut(df.hint("rebalance"), name)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a table that cut() returned."""
     spark = df.sparkSession
