@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bins import global_rank
-from ..plans.shared import cut, fresh, stored_bytes
+from ..plans.shared import cut, cut_narrow, fresh, stored_bytes
 from .common import WORD, table
 
 #: Weights in the order of the sources, repeating.
@@ -121,7 +121,7 @@ class Mix:
         size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
         facts = F.struct(size.alias("size"), F.col(who).alias("who"), F.col(nth).alias("nth"))
         self.rows = numbered(docs, who, nth).withColumn(self.own, facts).drop(who, nth)
-        self.narrow = cut(self.rows.select("doc_id", "source", f"{self.own}.*").withColumn("x", _digits(F.col("size"))), "sizes")
+        self.narrow = cut_narrow(self.rows.select("doc_id", "source", f"{self.own}.*").withColumn("x", _digits(F.col("size"))), "sizes")
         self.facts = self._expected(weights, most)
         self.cuts = self._decide()
 
