@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts of this package define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their names, whatever characters are in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def file_bytes(path: str, most: int = 64 << 20) -> bytes:
     """A parameter file that is shipped to the executors whole, so its size is checked."""
     if os.path.getsize(path) > most:

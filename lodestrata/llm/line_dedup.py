@@ -1,17 +1,23 @@
 """Repeated and nearly repeated lines by a segment-partition edit join.
 
-Two lines within EDITS edits share one of EDITS + 1 segments of the shorter one, at a place
-in the longer one that differs little. Every distinct line is split into EDITS + 1 even segments,
-which are stored by number and line length; it probes the segments of lines that are up to EDITS
-characters shorter with those of its substrings that the place of the segment and the difference in
-length allow. Keys are hashes: first only keys and line hashes are shuffled, to find the few lines that meet
-at all; only those lines are fetched, and every pair is verified inside the join.
+Two lines are near copies if their similarity, 1 - edits / length of the longer one, is at least 0.8, with EDITS
+edits at most: one edit from 5 characters on, two from 10 on, none below.
+
+Two lines within m edits share one of m + 1 segments of the shorter one, at a place in the longer one that
+differs little. Every distinct line is split into m + 1 even segments, which are stored by number and line
+length; it probes the segments of lines that are up to m characters shorter with those of its substrings that the
+place of the segment and the difference in length allow. Keys are hashes: first only keys and line hashes are
+shuffled, to find the few lines that meet at all; only those lines are fetched, and every pair is verified inside the
+join. A pair counts under the first key that its lines share, so that links are summed line by line and pairs are
+neither written nor made distinct. A key that many lines share is dealt out by pairs of blocks.
 
 The check strips what both lines share at either end, found by halving steps, and runs a banded
 bit-parallel edit distance over the rest: the differences of neighbouring cells of a band of
 2 * EDITS + 1 diagonals are bits of two integers, and a column takes a handful of integer
 operations. It stops where the diagonal that ends in the answer exceeds EDITS.
 
+Hashes of 64 bits only bring candidates together; lines and texts are told apart by 128 bits.
+
 Everything here is DataFrame expressions.
 """
 
@@ -21,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import cut, fresh, stored_bytes
-from .common import table
+from .common import quoted, table
 
 EDITS = 2
-#: Shorter lines are only compared for equality: two edits make another line of them.
-LEAST_CHARS = 20
+#: Characters of the longer line for each edit that is allowed: a similarity of 0.8.
+PER_EDIT = 5
+#: Rows of one key that meet in one place; more are dealt out by pairs of blocks.
+BLOCK = 1024
 #: A table of line hashes is broadcast up to this size on disk; a larger one meets its lines by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -101,17 +109,18 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return _bind(F.least(F.length(a), F.length(b)), grow)
 
 
-def within(a: Column, b: Column, most: int = EDITS) -> Column:
-    """Whether two strings are at most `most` edits apart: what they share at either end is stripped first."""
+def within(a: Column, b: Column, most: int = EDITS, allowed: Column | None = None) -> Column:
+    """Whether two strings are at most `most` (and `allowed`) edits apart: what they share at either end is stripped first."""
+    limit = F.lit(most) if allowed is None else allowed
 
     def core(c: Column) -> Column:
         rest = lambda q: F.struct(F.substring(c["x"], F.lit(1), F.length(c["x"]) - q).alias("x"), F.substring(c["y"], F.lit(1), F.length(c["y"]) - q).alias("y"))
         suffix = _bind(F.struct(F.reverse(c["x"]).alias("x"), F.reverse(c["y"]).alias("y")), lambda v: _common_prefix(v["x"], v["y"]))
-        return _bind(_bind(suffix, rest), lambda z: banded_distance(z["x"], z["y"], most) <= most)
+        return _bind(_bind(suffix, rest), lambda z: banded_distance(z["x"], z["y"], most) <= limit)
 
     tail = lambda p: F.struct(F.substring(a, p + 1, F.length(a)).alias("x"), F.substring(b, p + 1, F.length(b)).alias("y"))
     answer = _bind(_bind(_common_prefix(a, b), tail), core)
-    return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).otherwise(answer)
+    return F.when(F.abs(F.length(a) - F.length(b)) > limit, F.lit(False)).otherwise(answer)
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -139,43 +148,82 @@ def count_difference(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
+def allowed_edits(longer: Column, most: int = EDITS) -> Column:
+    """Edits that two lines may differ by, of which the longer one has so many characters."""
+    return F.least(F.lit(most), F.floor(longer / PER_EDIT).cast("int"))
+
+
+def _probes(m: int) -> list[tuple[int, int, int]]:
+    """(d, i, s): a line probes segment i of lines that are d characters shorter at s characters from its place.
+
+    Of m edits around an intact segment i, i at most lie before it and m - i at most behind it where the others are taken
+    by i + 1 .. m, so s lies in [-i..i] and in [d - (m - i)..d + (m - i)].
+    """
+    return [(d, i, s) for d in range(m + 1) for i in range(m + 1) for s in range(max(-i, d - (m - i)), min(i, d + (m - i)) + 1)]
+
+
+def _segment(n: Column, m: int, i: int) -> tuple[Column, Column]:
+    """Place (from 0) and size of segment i of a line of n characters: m + 1 segments, the last n mod (m + 1) one character longer."""
+    parts = m + 1
+    q, r = F.floor(n / parts).cast("int"), (n % parts).cast("int")
+    return q * i + F.greatest(r - (parts - i), F.lit(0)), q + F.when(r >= parts - i, 1).otherwise(0)
+
+
+def _code(m: int, i: int, s: int) -> int:
+    return (m * 64 + i) * 64 + s + 32
+
+
 def segment_keys(lines: DataFrame, most: int = EDITS) -> DataFrame:
-    """(lid, key, stored) for a table (lid, line, n): the keys under which a line is stored, which are its own probes
-    for lines of its length, and its further probes.
+    """(lid, key, code, stored) for a table (lid, line, n): the keys under which a line is stored, which are its own probes
+    for lines of its length, and its further probes. code tells the scheme, the segment and the shift of a probe.
 
-    A line of length L has most + 1 segments of L div (most + 1) characters, the last L mod (most + 1) of them one longer.
-    For a stored line of length L and a probing line of length L + d, segment i at place p can only be met
-    by substrings that begin at p + s where s lies in [-i..i] and in [d - (most - i)..d + (most - i)].
-    Places are columns of their own and keys plain expressions of them, so that all of it is compiled code.
+    Scheme m is for pairs that may differ by m edits, so the shorter line has (PER_EDIT - 1) * m characters at least, and every
+    segment one at least. Places are columns of their own and keys plain expressions of them, so that all of it is compiled code.
     """
-    parts, n = most + 1, F.col("n")
-    short = {d: F.expr(f"cast((n - {d}) div {parts} as int)").alias(f"q{d}") for d in range(parts)}
-    longer = {d: F.expr(f"cast((n - {d}) % {parts} as int)").alias(f"r{d}") for d in range(parts)}
-    # four bytes for every character, so that a segment is cut out without walking through the line
-    placed = lines.select("lid", "n", F.encode("line", "UTF-32").alias("u"), *short.values(), *longer.values())
-    found = []
-    for d in range(parts):
-        q, r = F.col(f"q{d}"), F.col(f"r{d}")
-        for i in range(parts):
-            place = q * i + F.greatest(r - (parts - i), F.lit(0))
-            size = q + F.when(r >= parts - i, 1).otherwise(0)
-            for s in range(max(-i, d - (most - i)), min(i, d + (most - i)) + 1):
-                key = F.xxhash64(F.lit(i), n - d, F.substring("u", (place + s) * 4 + 1, size * 4))
-                found.append(F.struct(key.alias("key"), F.lit(d == 0 and s == 0).alias("stored")))
-    return placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.stored")
+    out = None
+    for m in range(1, most + 1):
+        own = lines.where(F.col("n") >= (PER_EDIT - 1) * m)
+        if m < most:
+            own = own.where(F.col("n") < PER_EDIT * (m + 1))
+        cuts = {(d, i): _segment(F.col("n") - d, m, i) for d in range(m + 1) for i in range(m + 1)}
+        places = [c.alias(f"{k}{d}_{i}") for (d, i), both in cuts.items() for k, c in zip("pz", both, strict=True)]
+        # four bytes for every character, so that a segment is cut out without walking through the line
+        placed = own.select("lid", "n", F.encode("line", "UTF-32").alias("u"), *places)
+        found = []
+        for d, i, s in _probes(m):
+            key = F.xxhash64(F.lit(m * 8 + i), F.col("n") - d, F.substring("u", (F.col(f"p{d}_{i}") + s) * 4 + 1, F.col(f"z{d}_{i}") * 4))
+            found.append(F.struct(key.alias("key"), F.lit(_code(m, i, s)).alias("code"), F.lit(d == 0 and s == 0).alias("stored")))
+        keys = placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.code", "k.stored")
+        out = keys if out is None else out.unionAll(keys)
+    return out
+
+
+def first_shared(x: Column, y: Column, n: Column, more: Column, m_of: Column, most: int = EDITS) -> Column:
+    """The code of the first probe of y that meets x: x has n characters, y has `more` more, and they may differ by m_of edits."""
+    code = None
+    for m in range(1, most + 1):
+        for d, i, s in _probes(m):
+            place, size = _segment(n, m, i)
+            here = (m_of == m) & (more == d) & (F.substring(x, place + 1, size) == F.substring(y, place + s + 1, size))
+            code = F.when(here, _code(m, i, s)) if code is None else code.when(here, _code(m, i, s))
+    return code
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos, line."""
+    """doc_id, th (md5 of the text), pos, line."""
     lines = F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), lines)
+    return docs.where("text is not null").select("doc_id", _md5("text").alias("th"), lines)
+
+
+def _md5(name: str) -> Column:
+    return F.unhex(F.md5(F.col(name)))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """line, n (its length), lid (its hash), tag (its md5), owner (smallest doc_id), occurrences; empty lines are left out."""
+    """line, n (its length), lid (a hash to find candidates by), tag (its md5), owner (smallest doc_id), occurrences; empty lines are left out."""
     lines = exploded(docs).where("line <> ''").select("doc_id", "line")
     found = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("occurrences"))
-    return found.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("lid"), F.unhex(F.md5("line")).alias("tag"), "owner", "occurrences")
+    return found.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("lid"), _md5("line").alias("tag"), "owner", "occurrences")
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -183,44 +231,45 @@ def _if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df.hint("merge")
 
 
-def near_links(lines: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(a, b), a < b: the line hashes of all pairs of distinct lines of least_chars or more that are 1 to `most` edits apart."""
-    if least_chars < (most + 1) * (most + 1):
-        raise ValueError("lines must be long enough for every shifted segment to lie inside them")
-    long_lines = lines.where(F.col("n") >= least_chars)
+def near_links(lines: DataFrame, most: int = EDITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, and of either line x_ and y_ what is to be carried): each pair of near copies among distinct lines (lid, line, n) once."""
     # dealt out once: counting and joining read the same shuffle
-    keys = segment_keys(long_lines, most).repartition("key")
+    keys = segment_keys(lines, most).repartition("key")
     # keys under which a stored line and another one meet
-    meets = keys.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("stored").alias("any"))
-    meets = meets.where(F.col("any") & (F.col("least") != F.col("most"))).select("key")
+    meets = keys.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("stored").alias("any"), F.count("*").alias("n_rows"))
+    meets = meets.where(F.col("any") & (F.col("least") != F.col("most"))).select("key", F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("nb"))
     few = cut(keys.join(meets, "key"), "meeting")
-    own = long_lines.select("lid", "line", "n").join(_if_small(cut(few.select("lid").distinct(), "lids")), "lid", "left_semi")
-    texts = cut(own.select("lid", "line", "n", *[c.alias(f"c{k}") for k, c in enumerate(letter_counts(F.col("line")))]), "texts")
-    full = few.join(texts, "lid")
-    side = lambda df, lid, x: df.select("key", F.col("lid").alias(lid), F.col("line").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "c0", "c1", "c2")])
-    a, b = side(full.where("stored"), "a", "x"), side(full, "b", "y")
+    own = lines.select("lid", "line", "n", *carry).join(_if_small(cut(few.select("lid").distinct(), "lids")), "lid", "left_semi")
+    texts = cut(own.select("*", *[c.alias(f"c{k}") for k, c in enumerate(letter_counts(F.col("line")))]), "texts")
+    full = few.join(texts, "lid").withColumn("blk", F.pmod("lid", "nb").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    columns = ["line", "n", "code", "c0", "c1", "c2", *carry]
+    side = lambda df, lid, x, i, j: df.select("key", F.col("lid").alias(lid), F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    a, b = side(full.where("stored"), "a", "x", "blk", "p"), side(full, "b", "y", "p", "blk")
     alike = count_difference(*[[F.col(f"{x}_c{k}") for k in range(3)] for x in "xy"]) <= 2 * most
-    possible = (F.col("a") != F.col("b")) & (F.abs(F.col("x_n") - F.col("y_n")) <= most) & alike
-    pairs = a.join(b, (a["key"] == b["key"]) & possible & within(F.col("x"), F.col("y"), most))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = F.col("y_n") - F.col("x_n")
+    allowed = allowed_edits(F.col("y_n"), most)
+    # the stored line is the shorter one; of lines of one length the hash decides
+    possible = ((more > 0) | ((more == 0) & (F.col("a") < F.col("b")))) & (more <= allowed) & alike
+    first = first_shared(F.col("x_line"), F.col("y_line"), F.col("x_n"), more, allowed, most) == F.col("y_code")
+    same = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
+    pairs = a.join(b, same & possible & first & within(F.col("x_line"), F.col("y_line"), most, allowed))
+    return pairs.select("a", "b", *[f"{x}_{c}" for x in "xy" for c in carry])
 
 
-def decisions(docs: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """lid, owner, n_links, dropped for every line that occurs more than once or links to another one.
+def decisions(docs: DataFrame, most: int = EDITS) -> DataFrame:
+    """tag, owner, n_links, dropped for every line that occurs more than once or links to another one.
 
     A line is dropped if it links to a line that comes before it: one with a smaller owner (none is last),
     of equal owners the smaller md5.
     """
     lines = cut(distinct_lines(docs), "lines")
-    links = cut(near_links(lines, most, least_chars), "near")
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    owners = lines.select("lid", F.struct(F.col("owner").isNull().alias("no"), "owner", "tag").alias("o"))
-    named = both.join(owners, both["b"] == owners["lid"]).select("a", "o")
-    first = named.groupBy("a").agg(F.min("o").alias("before"), F.count("*").alias("n_links"))
-    facts = lines.select("lid", "tag", "owner", "occurrences").join(first, F.col("lid") == F.col("a"), "left")
-    mine = F.struct(F.col("owner").isNull().alias("no"), "owner", "tag")
-    facts = facts.where("occurrences > 1 or a is not null")
-    out = facts.select("lid", "owner", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("before") < mine, F.lit(False)).alias("dropped"))
+    mine = F.struct(F.col("owner").isNull().alias("no"), F.col("owner").alias("owner"), F.col("tag").alias("tag"))
+    pairs = near_links(lines.withColumn("o", mine), most, ("o",))
+    ends = F.explode(F.array(F.struct(F.col("x_o.tag").alias("tag"), F.col("y_o").alias("o")), F.struct(F.col("y_o.tag").alias("tag"), F.col("x_o").alias("o")))).alias("e")
+    first = cut(pairs.select(ends).groupBy(F.col("e.tag").alias("of")).agg(F.min("e.o").alias("before"), F.count("*").alias("n_links")), "near")
+    facts = lines.select("tag", "owner", "occurrences").join(_if_small(first), F.col("tag") == F.col("of"), "left")
+    facts = facts.where("occurrences > 1 or of is not null")
+    out = facts.select("tag", "owner", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("before") < mine, F.lit(False)).alias("dropped"))
     return cut(out, "decisions")
 
 
@@ -230,9 +279,9 @@ def removed_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     The owner keeps a line at its first place; every other occurrence goes as a copy, and a dropped
     line goes everywhere.
     """
-    where = exploded(docs).where("line <> ''").select("doc_id", "th", "pos", F.xxhash64("line").alias("lid"))
-    named = where.join(_if_small(found), "lid")
-    per_line = named.groupBy("doc_id", "th", "lid", "owner", "dropped", "n_links").agg(F.min("pos").alias("first"), F.collect_set("pos").alias("places"))
+    where = exploded(docs).where("line <> ''").select("doc_id", "th", "pos", _md5("line").alias("tag"))
+    named = where.join(_if_small(found), "tag")
+    per_line = named.groupBy("doc_id", "th", "tag", "owner", "dropped", "n_links").agg(F.min("pos").alias("first"), F.collect_set("pos").alias("places"))
     own = F.col("doc_id").eqNullSafe(F.col("owner"))
     exact = F.when(own, F.filter("places", lambda p: p != F.col("first"))).otherwise(F.col("places"))
     none = F.array().cast("array<int>")
@@ -243,32 +292,35 @@ def removed_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     return per_doc
 
 
-def dedup_lines(docs: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with each line kept in one place: the text without its removed lines, all other columns as they are.
+def dedup_lines(docs: DataFrame, most: int = EDITS) -> DataFrame:
+    """docs with each line kept in one place: the text without its removed lines, all other columns as they are, whatever their names.
 
-    Lines end at line feeds. Exact copies are dropped whatever their length, near copies from least_chars on.
-    Empty lines and null or empty texts stay. Rows that share a doc_id, or have none, count as one document: each
-    keeps what that document owns. A document may end up empty. An empty table gives no rows.
+    Lines end at line feeds. Exact copies are dropped whatever their length, near copies by similarity (see above).
+    Empty lines and null or empty texts stay; a text is read whole however long it or its lines are. Rows that share a doc_id, or
+    have none, count as one document: each keeps what that document owns. A document may end up empty. An empty table
+    gives no rows.
     """
-    found = decisions(docs, most, least_chars)
+    found = decisions(docs, most)
     th, did, gone = fresh(docs, "_ls_th", "_ls_doc", "_ls_gone")
     marks = cut(removed_lines(docs, found).select(F.col("doc_id").alias(did), F.col("th").alias(th), F.array_union("exact", "near").alias(gone)), "marks")
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(did)) & (F.xxhash64("text") == F.col(th)), "left")
+    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(did)) & (_md5("text") == F.col(th)), "left")
     parts = F.split(F.col("text"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull() | (F.size(gone) == 0), F.col("text")).otherwise(F.array_join(F.transform(left, lambda p: F.get(parts, p)), "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return joined.select(*[text.alias(c) if c == "text" else c_ for c, c_ in zip(docs.columns, quoted(docs.columns), strict=True)])
 
 
-def line_report(docs: DataFrame, most: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, most: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_links of every document.
 
     n_lines: lines that are not empty; n_exact, n_near: those that go as copies and as near copies;
-    n_links: links that its distinct lines have to other lines. Null texts have no lines.
+    n_links: links that its distinct lines have to other lines. Null texts have no lines, long texts and lines count whole, repeated
+    rows give a row each, and an empty table none. Other columns are not read, whatever their names.
     """
-    found = decisions(docs, most, least_chars)
+    docs = docs.select("doc_id", "text")
+    found = decisions(docs, most)
     marks = removed_lines(docs, found).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.size("exact").alias("e"), F.size("near").alias("n"), F.col("n_links").alias("l"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")).alias("n_lines"))
+    own = docs.select("doc_id", _md5("text").alias("th"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")).alias("n_lines"))
     joined = own.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return joined.select("doc_id", zero("n_lines").alias("n_lines"), zero("e").alias("n_exact"), zero("n").alias("n_near"), zero("l").alias("n_links"))
@@ -293,8 +345,8 @@ g AS (SELECT line, min(doc_id) AS owner, sum(c) AS n, length(line) AS len, md5(l
              translate(line, '{_WIDE}', {_NARROW}) AS narrow
       FROM o GROUP BY line),
 p AS (SELECT a.line AS a, b.line AS b, a.owner AS ao, b.owner AS bo, a.tag AS at_, b.tag AS bt FROM g a JOIN g b
-      ON a.len BETWEEN b.len - {EDITS} AND b.len + {EDITS} AND a.line <> b.line
-      WHERE a.len >= {LEAST_CHARS} AND b.len >= {LEAST_CHARS} AND levenshtein(a.narrow, b.narrow) <= {EDITS}),
+      ON a.len BETWEEN b.len - 2 AND b.len + 2 AND a.line <> b.line
+      WHERE levenshtein(a.narrow, b.narrow) <= 2 AND levenshtein(a.narrow, b.narrow) <= 0.2 * greatest(a.len, b.len)),
 x AS (SELECT a AS line, count(*) AS links, bool_or(bo < ao OR (bo = ao AND bt < at_)) AS dropped FROM p GROUP BY a),
 r AS (SELECT doc_id, sum(c) AS n_lines, sum(CASE WHEN coalesce(dropped, FALSE) THEN 0 ELSE c - CASE WHEN doc_id = owner THEN 1 ELSE 0 END END) AS n_exact,
              sum(CASE WHEN dropped THEN c ELSE 0 END) AS n_near, sum(coalesce(links, 0)) AS n_links

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bins import global_rank
 from ..plans.shared import cut, cut_narrow, fresh, stored_bytes
-from .common import WORD, table
+from .common import WORD, quoted, table
 
 #: Weights in the order of the sources, repeating.
 WEIGHTS = (1, 2, 3)
@@ -77,10 +77,6 @@ def name_of_row() -> Column:
     return F.md5(F.concat_ws(":", text("source"), text("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
 
 
-def _quoted(columns: list[str]) -> list[Column]:
-    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
-
-
 def numbered(docs: DataFrame, who: str, nth: str) -> DataFrame:
     """docs with the name of each row (who) and a number that tells rows of one name apart (nth, from 0).
 
@@ -96,13 +92,13 @@ def numbered(docs: DataFrame, who: str, nth: str) -> DataFrame:
     again = F.col("doc_id").eqNullSafe(F.col(id_))
     once = named.join(ids, again, "left_anti").withColumn(nth, F.lit(0).cast("long"))
     held = named.join(ids, again, "left_semi").withColumn(part, F.spark_partition_id())
-    held = cut(held.withColumn(order, F.xxhash64(*_quoted(docs.columns))), "repeats")
+    held = cut(held.withColumn(order, F.xxhash64(*quoted(docs.columns))), "repeats")
     starts = held.groupBy(who, part).agg(F.count("*").alias(n))
     starts = starts.withColumn(before, F.sum(n).over(Window.partitionBy(who).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
     local = held.withColumn(n, F.row_number().over(Window.partitionBy(who, part).orderBy(order)) - 1)
     met = local.join(starts.select(who, part, before), [who, part])
     met = met.withColumn(nth, F.coalesce(before, F.lit(0)).cast("long") + F.col(n))
-    return once.unionByName(met.select(*_quoted(docs.columns), who, nth))
+    return once.unionByName(met.select(*quoted(docs.columns), who, nth))
 
 
 def _place(key: Column, size: Column, who: Column, nth: Column) -> Column:
@@ -220,7 +216,7 @@ class Mix:
         met = self.rows.join(F.broadcast(packed) if small else packed, F.col("source").eqNullSafe(F.col(f"{self.about}.source")) & (x == F.col(f"{self.about}.x")))
         copies = self._copies(own("size"), x, own("who"), own("nth"), self.about)
         again = F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(self.own)
-        columns = _quoted(self.docs.columns)
+        columns = quoted(self.docs.columns)
         return met.where(copies > 0).select(*columns, again).select(*columns)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import line_dedup
@@ -42,17 +43,25 @@ def test_banded_distance_and_within(spark):
 
 def lines_for(rng):
     base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(18, 60))).strip() + "x" * 3 for _ in range(60)]
-    return base + [edited(rng, s, n) for s in base for n in (1, 2, 2, 3)]
+    base += ["".join(rng.choice("abc é") for _ in range(rng.randrange(1, 16))) for _ in range(120)]
+    return [x for x in base + [edited(rng, s, n) for s in base for n in (1, 2, 2, 3)] if x]
 
 
-def test_links_equal_brute_force(spark):
+def near(a, b):
+    """Similarity 0.8 at least, and two edits at most."""
+    return abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, max(len(a), len(b)) // 5)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_links_equal_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(2)
     lines = sorted(set(lines_for(rng)))
     df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.xxhash64("line")).withColumn("n", F.length("line"))
     lid = {r.lid: r.line for r in df.collect()}
-    got = {frozenset((lid[r.a], lid[r.b])) for r in line_dedup.near_links(df).collect()}
-    want = {frozenset(p) for p in combinations([x for x in lines if len(x) >= 20], 2) if distance(*p) <= 2}
-    assert got == want and len(want) > 100
+    pairs = [frozenset((lid[r.a], lid[r.b])) for r in line_dedup.near_links(df).collect()]
+    want = {frozenset(p) for p in combinations(lines, 2) if near(*p)}
+    assert set(pairs) == want and len(pairs) == len(want) and sum(max(map(len, p)) < 10 for p in want) > 20 and len(want) > 300
 
 
 def plain(docs):
@@ -64,7 +73,7 @@ def plain(docs):
                 owner[x] = min(owner.get(x, d), d)
     dropped = set()
     for a, b in combinations(owner, 2):
-        if min(len(a), len(b)) >= 20 and distance(a, b) <= 2:
+        if near(a, b):
             dropped.add(max(a, b, key=order))
     out = {}
     for d, t in docs:
