@@ -1,11 +1,11 @@
 """Token counts of whole texts without token ids of the texts.
 
 A text's tokens are the tokens of its pre-tokens, and pre-tokens repeat. Texts go through in
-blocks of bounded size: each distinct pre-token of a block is counted once by the library, and
-the counts are joined to the block's (document, pre-token, frequency) table by position in the
-block's vocabulary and summed. Blocks are independent, so nothing is shuffled and a lost
-executor repeats its blocks only. A join of the whole corpus' frequencies to one vocabulary
-was rejected: at about half a frequency row per word it shuffles several times the input.
+blocks of bounded size: the frequencies of each text's pre-tokens are joined to a table of pre-tokens
+and their counts that a worker keeps for all its blocks, and summed. A pre-token that is not in the table is
+counted by the library, once, together with all others that a block brings. The table is bounded: it has a young
+and an old half, and when the young one is full the old one is given up. Blocks are independent, so nothing is
+shuffled and a lost executor repeats its blocks only.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, file_bytes, table
+from .common import file_bytes, table
 
 #: A block ends when its texts reach so many characters; a longer text is a block of its own.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
+#: Pre-tokens in a half of a worker's table, and characters of the longest one that is kept there.
+MOST_PIECES, LONGEST = 1 << 18, 64
 
 _loaded: dict[int, tuple] = {}
 
@@ -40,6 +42,8 @@ class PieceCounter:
         self.tokenizer.no_padding()
         self.find = regex.compile(pattern).findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
 
     def pre_tokens(self, text: str) -> tuple[Counter, int]:
@@ -60,26 +64,29 @@ class PieceCounter:
             return [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return self.find(part)
 
-    def pieces(self, pre_tokens: list[str]) -> np.ndarray:
+    def pieces(self, pre_tokens: list[str]) -> list[int]:
         encoded = self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False) if pre_tokens else []
-        return np.array([len(e.ids) for e in encoded], dtype=np.int64)
+        return [len(e.ids) for e in encoded]
+
+    def look_up(self, pre_tokens: set[str]) -> dict[str, int]:
+        """Counts of pre-tokens: from the table, or from the library and from then on in the table."""
+        young, old = self.young, self.old
+        found = {p: young[p] for p in pre_tokens if p in young}
+        rest = [p for p in pre_tokens if p not in found]
+        new = [p for p in rest if p not in old]
+        counted = {p: old[p] for p in rest if p in old}
+        counted.update(zip(new, self.pieces(new), strict=True))
+        if len(young) + len(counted) > MOST_PIECES:
+            self.old, self.young = young, {}
+        self.young.update((p, n) for p, n in counted.items() if len(p) <= LONGEST)
+        found.update(counted)
+        return found
 
     def totals(self, texts: list[str]) -> list[int]:
         """Token counts of a block of texts."""
-        vocabulary: dict[str, int] = {}
-        places, counts, starts, specials = [], [], [], []
-        for text in texts:
-            found, n = self.pre_tokens(text)
-            starts.append(len(places))
-            specials.append(n)
-            places.extend([vocabulary.setdefault(p, len(vocabulary)) for p in found])
-            counts.extend(found.values())
-        per_piece = self.pieces(list(vocabulary))
-        if not places:
-            return specials
-        weighted = np.concatenate([[0], np.cumsum(per_piece[np.array(places)] * np.array(counts, dtype=np.int64))])
-        ends = starts[1:] + [len(places)]
-        return [int(weighted[b] - weighted[a]) + n for a, b, n in zip(starts, ends, specials, strict=True)]
+        frequencies, specials = zip(*map(self.pre_tokens, texts), strict=True) if texts else ((), ())
+        count = self.look_up(set().union(*frequencies)).__getitem__
+        return [sum(map(mul, map(count, f), f.values())) + n for f, n in zip(frequencies, specials, strict=True)]
 
 
 def _counter(json_file: bytes, pattern: str) -> PieceCounter:
@@ -93,8 +100,8 @@ def _counter(json_file: bytes, pattern: str) -> PieceCounter:
 def count_tokens(docs: DataFrame, json_file: bytes, pattern: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document.
 
-    A null text is an empty text: 0 bytes and 0 tokens. Repeated rows and null doc_ids give a
-    row each; an empty table gives no rows; other columns are not read.
+    A null text is an empty text: 0 bytes and 0 tokens. A very long text is counted whole, as a block of its own. Repeated
+    rows and null doc_ids give a row each; an empty table gives no rows; other columns are not read, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(json_file)
 
@@ -112,7 +119,7 @@ def count_tokens(docs: DataFrame, json_file: bytes, pattern: str, limit: int = 1
             yield pd.Series(out + counter.totals(block), dtype="int64")
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = bound_batches(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
+    out = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
