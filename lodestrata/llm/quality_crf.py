@@ -4,13 +4,15 @@ Every line is labelled good or bad. A line's evidence is a linear score of its o
 those of the lines before and after it; a transition matrix ties neighbouring labels. Forward and
 backward passes give each line's marginal, and the mean of the marginals of good, weighted by line
 length, is the document's score. The field is fitted on the driver, by gradient ascent on the
-likelihood, to a bounded sample of labelled documents whose lines all carry the document's label.
+likelihood, to a bounded sample of labelled documents whose lines all carry the document's label; of a
+document with many lines the sample holds a stretch of neighbouring ones, wherever a hash of its id says.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import table
 
-#: Bounds of the sample that the field is fitted to: documents, and lines in one of them.
-SAMPLE_DOCS, SAMPLE_LINES = 2500, 64
+#: Bounds of the sample that the field is fitted to: documents, and neighbouring lines of one of them.
+SAMPLE_DOCS, SAMPLE_LINES = 2500, 128
 FOLDS = 5
 THRESHOLD = 0.3
 ROUNDS, RATE, RIDGE = 120, 0.08, 1e-4
@@ -114,6 +116,27 @@ def forward_backward(evidence: np.ndarray, there: np.ndarray, step: np.ndarray)
     return ahead, behind, _log_sum(ahead[:, -1], 1)
 
 
+def likelihood(theta, x, row, col, there, gold, steps) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the gold paths for each line, less the ridge, and its gradient.
+
+    theta: weights of the features and the four transition scores; x: features of all lines, which stand at
+    (row, col) of the chains; gold: their labels; steps: transitions from each label to itself on gold paths.
+    """
+    w, step = theta[:-4], theta[-4:].reshape(2, 2)
+    e = np.zeros(there.shape)
+    e[row, col] = x @ w
+    ahead, behind, z = forward_backward(e, there, step)
+    p1 = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None])[row, col]
+    unary = np.stack([np.zeros_like(e), e], axis=2)
+    expected = np.zeros((2, 2))
+    if there.shape[1] > 1:
+        pair = ahead[:, :-1, :, None] + step + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]
+        expected = np.exp(np.where(there[:, 1:, None, None], pair, -np.inf)).sum(axis=(0, 1))
+    value = (gold * e[row, col]).sum() + (np.diag(steps) * step).sum() - z.sum()
+    gradient = np.concatenate([x.T @ (gold - p1), (np.diag(steps) - expected).ravel()])
+    return value / len(x) - RIDGE / 2 * (theta**2).sum(), gradient / len(x) - RIDGE * theta
+
+
 class LineField:
     """The fitted field."""
 
@@ -142,15 +165,7 @@ class LineField:
         theta = np.zeros(x.shape[1] + 4)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, ROUNDS + 1):
-            w, step = theta[:-4], theta[-4:].reshape(2, 2)
-            e = np.zeros(there.shape)
-            e[row, col] = x @ w
-            ahead, behind, z = forward_backward(e, there, step)
-            p1 = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None])[row, col]
-            unary = np.stack([np.zeros_like(e), e], axis=2)
-            pair = ahead[:, :-1, :, None] + step + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]
-            expected = np.exp(np.where(there[:, 1:, None, None], pair, -np.inf)).sum(axis=(0, 1)) if there.shape[1] > 1 else np.zeros((2, 2))
-            g = np.concatenate([x.T @ (gold - p1), (np.diag(steps) - expected).ravel()]) / len(x) - RIDGE * theta
+            _, g = likelihood(theta, x, row, col, there, gold, steps)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         return cls(mean, scale, theta[:-4], theta[-4:].reshape(2, 2), prior)
@@ -192,27 +207,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineField:
     """The field fitted to at most `sample` labelled documents that are not held out, chosen by a hash of their ids.
 
-    Documents whose labels disagree or are null, without doc_id, and longer than SAMPLE_LINES lines teach
-    nothing. If both classes are not there, every text scores the share of good ones.
+    A document of more than SAMPLE_LINES lines, however long, teaches by a stretch of so many, with the neighbours they have in
+    the whole text. Documents whose labels disagree or are null, or without doc_id or text, teach nothing. If
+    both classes are not there, every text scores the share of good ones. Other columns are not read, whatever their names.
     """
-    bound_batches(docs)
     agreed = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
     # a bounded number of ids: the only thing that is broadcast
-    ids = agreed.where("y = y2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).select(F.col("doc_id").alias("_ls_id"), "y")
-    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_ls_id")).select("_ls_id", "y", "text").where("text is not null and text <> ''")
-    short = picked.where(F.size(F.split("text", "\n")) <= SAMPLE_LINES)
-    first = short.groupBy("_ls_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    ids = agreed.where("y = y2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).select(F.col("doc_id").alias("id"), "y")
+    texts = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    picked = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    first = picked.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["_ls_id"], "y": f["y"], "x": [chain_features(lines_of(t)).tobytes() for t in f["text"]]})
+            yield pd.DataFrame({"id": f["id"], "y": f["y"], "x": [stretch(chain_features(lines_of(t)), i).tobytes() for i, t in zip(f["id"], f["text"], strict=True)]})
 
-    found = first.orderBy(F.xxhash64("_ls_id"), "_ls_id").limit(sample).mapInPandas(features, "id long, y int, x binary").collect()
+    found = first.orderBy(F.xxhash64("id"), "id").limit(sample).mapInPandas(features, "id long, y int, x binary").collect()
     rows = sorted(found, key=lambda r: r.id)
     width = 3 + 3 * N_OWN
     return LineField.fit([np.frombuffer(r.x, dtype=np.float32).reshape(-1, width) for r in rows], [r.y for r in rows])
 
 
+def stretch(features: np.ndarray, doc_id: int, most: int = SAMPLE_LINES) -> np.ndarray:
+    """The rows of `most` neighbouring lines, beginning where a hash of the id says; all rows if there are no more."""
+    start = zlib.crc32(str(doc_id).encode()) % max(1, len(features) - most + 1)
+    return features[start : start + most]
+
+
 def score_column(spark: SparkSession, field: LineField, text: str = "text") -> Column:
     shipped = pickle.dumps(field)
 
@@ -229,8 +250,9 @@ def score_column(spark: SparkSession, field: LineField, text: str = "text") -> C
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Null and empty texts score the share of good documents in the sample. Repeated rows and null
-    doc_ids give a row each; an empty table gives none; labels, lang, source and doc_id are no inputs of a score.
+    Null and empty texts score the share of good documents in the sample; a very long text is scored whole, all its lines in one
+    chain. Repeated rows and null doc_ids give a row each; an empty table gives none; labels, lang, source and doc_id are no
+    inputs of a score. Other columns are not read, whatever their names.
     """
     field = fit(docs, labels)
     out = docs.select("doc_id", held_out().alias("held_out"), score_column(docs.sparkSession, field).alias("score"))

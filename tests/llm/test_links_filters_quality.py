@@ -103,6 +103,55 @@ def test_forward_backward_equals_enumeration():
             assert np.isclose(np.exp(ahead[c, t, 1] + behind[c, t, 1] - z[c]), want)
 
 
+def test_the_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    sizes = np.array([4, 1, 3])
+    row, col = np.repeat(np.arange(3), sizes), np.concatenate([np.arange(n) for n in sizes])
+    there = np.zeros((3, 4), dtype=bool)
+    there[row, col] = True
+    x, y, theta = rng.normal(size=(8, 5)), np.array([1, 0, 1]), rng.normal(size=9) * 0.5
+    rest = (x, row, col, there, y[row], np.bincount(y, weights=sizes - 1, minlength=2))
+    _, g = quality_crf.likelihood(theta, *rest)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-6
+        slope = (quality_crf.likelihood(theta + step, *rest)[0] - quality_crf.likelihood(theta - step, *rest)[0]) / 2e-6
+        assert np.isclose(g[k], slope, atol=1e-6)
+
+
+@pytest.mark.parametrize("cells", [1 << 18, 7])
+def test_scores_equal_chains_one_by_one(cells, monkeypatch):
+    """Texts scored together, whatever their lengths, against a plain walk over each one's lines."""
+    monkeypatch.setattr(quality_crf, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    width = 3 + 3 * quality_crf.N_OWN
+    field = quality_crf.LineField(rng.normal(size=width) * 0.1, rng.uniform(0.5, 2, width), rng.normal(size=width) * 0.3, rng.normal(size=(2, 2)), 0.4)
+    texts = ["One line.", None, "", "a\nb b b\n\nC!! 12", "\n", "x y z.\n" * 9, "é " * 50 + "\nend"]
+
+    def plain(text):
+        lines = (text or "").split("\n")
+        if not "".join(lines):
+            return 0.4
+        e = ((quality_crf.chain_features(lines) - field.mean) / field.scale) @ field.weights
+        n, step = len(lines), np.exp(field.step)
+        unary = np.exp(np.stack([np.zeros(n), e], axis=1))
+        ahead, behind = [unary[0]], [np.ones(2)]
+        for t in range(1, n):
+            ahead.append(ahead[-1] @ step * unary[t])
+        for t in range(n - 1, 0, -1):
+            behind.insert(0, step @ (unary[t] * behind[0]))
+        good = [(a * b)[1] / (a @ b) for a, b in zip(ahead, behind, strict=True)]
+        weights = [len(x) for x in lines]
+        return sum(g * w for g, w in zip(good, weights, strict=True)) / sum(weights)
+
+    assert np.allclose(field.scores(texts), [plain(t) for t in texts])
+
+
+def test_a_long_document_teaches_by_a_stretch_of_its_lines():
+    features = np.arange(1000)[:, None]
+    starts = {int(quality_crf.stretch(features, i, 64)[0, 0]) for i in range(200)}
+    assert len(starts) > 100 and all(len(quality_crf.stretch(features, i, 64)) == 64 for i in range(9)) and len(quality_crf.stretch(features[:5], 3, 64)) == 5
+
+
 def test_quality_on_held_out_documents(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 8)))
@@ -110,11 +159,12 @@ def test_quality_on_held_out_documents(spark):
     for i in range(400):
         bad = i % 4 == 0
         text = "\n".join(" ".join(word().upper() + "!!" if bad else word() for _ in range(12)) + "." for _ in range(rng.randrange(1, 9)))
-        rows.append((i, text, "en", "clash"))
+        rows.append((i, text, "en", "clash", 5, 6, "k"))
         labels.append((i, int(not bad)))
     rows += [(1000, None, "en", "c"), (1001, "", "en", "c"), (1002, "\n\n", "en", "c"), (None, "abc def.", "en", "c"), (1003, "abc de. " * 40000, "en", "c"), (5, rows[5][1], "en", "c"), (1004, "x\n" * 20000, "en", "c")]
+    rows = [(*r, 5, 6, "k")[:7] for r in rows]
     labels += [(5, 1), (6, 0), (7, None), (None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, y int, id int, _ls_id string")
     labelled = spark.createDataFrame(labels, "doc_id long, quality int")
     got = quality_crf.classify(docs, labelled).collect()
     assert len(got) == len(rows)
@@ -175,7 +225,7 @@ def test_pipeline_stages(spark):
     before, names = now.count(), now.columns
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, now, sf)
-        assert out.columns == names and out.schema == out.schema
+        assert out.columns == names and [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in now.schema]
         now = pipeline.cut(out, name)
         if name != "mixing":
             assert 0 < now.count() <= before
