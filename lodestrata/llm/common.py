@@ -26,12 +26,3 @@ def file_bytes(path: str, most: int = 64 << 20) -> bytes:
         raise ValueError(f"{path} is larger than {most} bytes")
     with open(path, "rb") as f:
         return f.read()
-
-
-def bound_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with the session's Arrow batches held to so many rows: a Python worker keeps a batch of texts and what it makes of it
-    in memory, and texts may be long. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df

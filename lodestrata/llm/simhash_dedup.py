@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.shared import cut, cut_narrow, fresh, stored_bytes
-from .common import bound_batches, table
+from .common import table
 
 SEED = 42
 MAX_BITS = 3
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows stay; a null doc_id takes part and counts as no id, so a component made of such
     rows alone has a null component_id. An empty table gives no rows; other columns are not read.
     """
-    prints = cut_narrow(bound_batches(docs).select("doc_id", fingerprint_column("text").alias("fp")), "prints")
+    prints = cut_narrow(docs.select("doc_id", fingerprint_column("text").alias("fp")), "prints")
     # both sides are plain tables, so that a fingerprint which many copies share is split
     found = prints.join(cut(classes(prints), "classes"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -200,7 +200,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     broadcast if their measured size allows, so that texts are not shuffled for a few copies.
     """
     fp, root, cid = fresh(docs, "_ls_fp", "_ls_root", "_ls_component")
-    prints = cut_narrow(bound_batches(docs).select("doc_id", fingerprint_column("text").alias("fp")), "prints")
+    prints = cut_narrow(docs.select("doc_id", fingerprint_column("text").alias("fp")), "prints")
     found = cut(classes(prints), "classes")
     ids = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
     odd = cut(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(cid)), "odd")
