@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, fresh, stored_bytes
+from ..plans.shared import cut, cut_narrow, fresh, stored_bytes
 from .common import quoted, table
 
 EDITS = 2
@@ -165,17 +165,23 @@ def _probes(m: int) -> list[tuple[int, int, int]]:
 def _segment(n: Column, m: int, i: int) -> tuple[Column, Column]:
     """Place (from 0) and size of segment i of a line of n characters: m + 1 segments, the last n mod (m + 1) one character longer."""
     parts = m + 1
-    q, r = F.floor(n / parts).cast("int"), (n % parts).cast("int")
+    r = (n % parts).cast("int")
+    q = ((n - r) / parts).cast("int")
     return q * i + F.greatest(r - (parts - i), F.lit(0)), q + F.when(r >= parts - i, 1).otherwise(0)
 
 
-def _code(m: int, i: int, s: int) -> int:
-    return (m * 64 + i) * 64 + s + 32
+def _code(m: int, d: int, i: int, s: int) -> int:
+    return ((m * 16 + i) * 16 + d) * 16 + s + 8
+
+
+def _stored(code: Column) -> Column:
+    """Whether a line's own segment (d and s are 0) was probed."""
+    return code.bitwiseAND(F.lit(255)) == 8
 
 
 def segment_keys(lines: DataFrame, most: int = EDITS) -> DataFrame:
-    """(lid, key, code, stored) for a table (lid, line, n): the keys under which a line is stored, which are its own probes
-    for lines of its length, and its further probes. code tells the scheme, the segment and the shift of a probe.
+    """(lid, key, code) for a table (lid, line, n): the keys under which a line is stored, which are its own probes
+    for lines of its length, and its further probes. code tells the scheme, the segment, the difference in length and the shift of a probe.
 
     Scheme m is for pairs that may differ by m edits, so the shorter line has (PER_EDIT - 1) * m characters at least, and every
     segment one at least. Places are columns of their own and keys plain expressions of them, so that all of it is compiled code.
@@ -192,8 +198,8 @@ def segment_keys(lines: DataFrame, most: int = EDITS) -> DataFrame:
         found = []
         for d, i, s in _probes(m):
             key = F.xxhash64(F.lit(m * 8 + i), F.col("n") - d, F.substring("u", (F.col(f"p{d}_{i}") + s) * 4 + 1, F.col(f"z{d}_{i}") * 4))
-            found.append(F.struct(key.alias("key"), F.lit(_code(m, i, s)).alias("code"), F.lit(d == 0 and s == 0).alias("stored")))
-        keys = placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.code", "k.stored")
+            found.append(F.struct(key.alias("key"), F.lit(_code(m, d, i, s)).alias("code")))
+        keys = placed.select("lid", F.explode(F.array(*found)).alias("k")).select("lid", "k.key", "k.code")
         out = keys if out is None else out.unionAll(keys)
     return out
 
@@ -205,14 +211,15 @@ def first_shared(x: Column, y: Column, n: Column, more: Column, m_of: Column, mo
         for d, i, s in _probes(m):
             place, size = _segment(n, m, i)
             here = (m_of == m) & (more == d) & (F.substring(x, place + 1, size) == F.substring(y, place + s + 1, size))
-            code = F.when(here, _code(m, i, s)) if code is None else code.when(here, _code(m, i, s))
+            code = F.when(here, _code(m, d, i, s)) if code is None else code.when(here, _code(m, d, i, s))
     return code
 
 
 def exploded(docs: DataFrame) -> DataFrame:
     """doc_id, th (md5 of the text), pos, line."""
-    lines = F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")
-    return docs.where("text is not null").select("doc_id", _md5("text").alias("th"), lines)
+    # the text's md5 is worked out before lines are laid out, once for each text
+    texts = docs.where("text is not null").select("doc_id", _md5("text").alias("th"), F.split("text", "\n").alias("lines"))
+    return texts.select("doc_id", "th", F.posexplode("lines").alias("pos", "line"))
 
 
 def _md5(name: str) -> Column:
@@ -233,18 +240,18 @@ def _if_small(df: DataFrame) -> DataFrame:
 
 def near_links(lines: DataFrame, most: int = EDITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, and of either line x_ and y_ what is to be carried): each pair of near copies among distinct lines (lid, line, n) once."""
-    # dealt out once: counting and joining read the same shuffle
+    # dealt out once: counting and joining read all columns, so they share one shuffle
     keys = segment_keys(lines, most).repartition("key")
     # keys under which a stored line and another one meet
-    meets = keys.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("stored").alias("any"), F.count("*").alias("n_rows"))
+    meets = keys.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max(_stored(F.col("code"))).alias("any"), F.count("*").alias("n_rows"))
     meets = meets.where(F.col("any") & (F.col("least") != F.col("most"))).select("key", F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("nb"))
-    few = cut(keys.join(meets, "key"), "meeting")
+    few = cut_narrow(keys.join(meets, "key"), "meeting")
     own = lines.select("lid", "line", "n", *carry).join(_if_small(cut(few.select("lid").distinct(), "lids")), "lid", "left_semi")
-    texts = cut(own.select("*", *[c.alias(f"c{k}") for k, c in enumerate(letter_counts(F.col("line")))]), "texts")
+    texts = cut_narrow(own.select("*", *[c.alias(f"c{k}") for k, c in enumerate(letter_counts(F.col("line")))]), "texts")
     full = few.join(texts, "lid").withColumn("blk", F.pmod("lid", "nb").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     columns = ["line", "n", "code", "c0", "c1", "c2", *carry]
     side = lambda df, lid, x, i, j: df.select("key", F.col("lid").alias(lid), F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    a, b = side(full.where("stored"), "a", "x", "blk", "p"), side(full, "b", "y", "p", "blk")
+    a, b = side(full.where(_stored(F.col("code"))), "a", "x", "blk", "p"), side(full, "b", "y", "p", "blk")
     alike = count_difference(*[[F.col(f"{x}_c{k}") for k in range(3)] for x in "xy"]) <= 2 * most
     more = F.col("y_n") - F.col("x_n")
     allowed = allowed_edits(F.col("y_n"), most)
@@ -270,7 +277,7 @@ def decisions(docs: DataFrame, most: int = EDITS) -> DataFrame:
     facts = lines.select("tag", "owner", "occurrences").join(_if_small(first), F.col("tag") == F.col("of"), "left")
     facts = facts.where("occurrences > 1 or of is not null")
     out = facts.select("tag", "owner", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("before") < mine, F.lit(False)).alias("dropped"))
-    return cut(out, "decisions")
+    return cut_narrow(out, "decisions")
 
 
 def removed_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
