@@ -11,6 +11,8 @@ shuffled and a lost executor repeats its blocks only.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from operator import mul
@@ -24,7 +26,9 @@ from .common import file_bytes, table
 #: A block ends when its texts reach so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 4 << 20
 #: Pre-tokens in a half of a worker's table, and characters of the longest one that is kept there.
-MOST_PIECES, LONGEST = 1 << 18, 64
+MOST_PIECES, LONGEST = 1 << 19, 64
+
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 _loaded: dict[int, tuple] = {}
 
@@ -40,7 +44,7 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_str(json_file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.find = regex.compile(pattern).findall
+        self.find = latin_finder(pattern) or regex.compile(pattern).findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
@@ -58,9 +62,13 @@ class PieceCounter:
         return found, specials
 
     def _split(self, part: str) -> list[str]:
+        # the library's own tables decide what is a letter or number beyond Latin-1, and it takes four separators for no white space
         try:
             part.encode("latin-1")
-        except UnicodeEncodeError:  # the library's own tables of letters and numbers decide
+            plain = not any(c in part for c in _SEPARATORS)
+        except UnicodeEncodeError:
+            plain = False
+        if not plain:
             return [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return self.find(part)
 
@@ -68,25 +76,37 @@ class PieceCounter:
         encoded = self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False) if pre_tokens else []
         return [len(e.ids) for e in encoded]
 
-    def look_up(self, pre_tokens: set[str]) -> dict[str, int]:
-        """Counts of pre-tokens: from the table, or from the library and from then on in the table."""
+    def totals(self, texts: list[str]) -> list[int]:
+        """Token counts of a block of texts."""
         young, old = self.young, self.old
-        found = {p: young[p] for p in pre_tokens if p in young}
-        rest = [p for p in pre_tokens if p not in found]
-        new = [p for p in rest if p not in old]
-        counted = {p: old[p] for p in rest if p in old}
+        split = [self.pre_tokens(t) for t in texts]
+        met = [list(map(young.get, f)) for f, _ in split]
+        missing = dict.fromkeys(p for (f, _), counts in zip(split, met, strict=True) if None in counts for p, n in zip(f, counts, strict=True) if n is None)
+        counted = {p: old[p] for p in missing if p in old}
+        new = [p for p in missing if p not in counted]
         counted.update(zip(new, self.pieces(new), strict=True))
+        out = []
+        for (f, specials), counts in zip(split, met, strict=True):
+            if None in counts:
+                counts = [counted[p] if n is None else n for p, n in zip(f, counts, strict=True)]
+            out.append(sum(map(mul, counts, f.values())) + specials)
         if len(young) + len(counted) > MOST_PIECES:
             self.old, self.young = young, {}
         self.young.update((p, n) for p, n in counted.items() if len(p) <= LONGEST)
-        found.update(counted)
-        return found
-
-    def totals(self, texts: list[str]) -> list[int]:
-        """Token counts of a block of texts."""
-        frequencies, specials = zip(*map(self.pre_tokens, texts), strict=True) if texts else ((), ())
-        count = self.look_up(set().union(*frequencies)).__getitem__
-        return [sum(map(mul, map(count, f), f.values())) + n for f, n in zip(frequencies, specials, strict=True)]
+        return out
+
+
+def latin_finder(pattern: str):
+    """findall of the pattern for texts of Latin-1 without _SEPARATORS, where its letters and numbers can be written out and the
+    faster module finds the same matches; None if the pattern holds other properties."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c)).startswith(kind))
+    for kind in "LN":
+        chars, mark = of(kind), rf"\p{{{kind}}}"
+        inside = re.compile(r"(\[[^\]]*)" + re.escape(mark))
+        while inside.search(pattern):
+            pattern = inside.sub(lambda m: m[1] + chars, pattern)
+        pattern = pattern.replace(mark, f"[{chars}]")
+    return None if r"\p{" in pattern or r"\P{" in pattern else re.compile(pattern).findall
 
 
 def _counter(json_file: bytes, pattern: str) -> PieceCounter:

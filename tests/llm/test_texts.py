@@ -33,6 +33,29 @@ def test_token_counts_match_the_library(spark):
     assert token_counts.count_tokens(frame(spark, []), data, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 19, 40, 1])
+def test_a_full_table_of_pieces_changes_no_count(most, monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_PIECES", most)
+    data = byte_bpe.file_bytes(P.path("byte_bpe_50k.json"))
+    lib, counter = Tokenizer.from_str(data.decode()), token_counts.PieceCounter(data, P.PATTERN)
+    rng = np.random.default_rng(6)
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(list("ab1 \n\t.'é\x1c\x85\xa0²ª"), 200)) for _ in range(60)]
+    for at in range(0, len(texts), 7):
+        assert counter.totals(texts[at : at + 7]) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts[at : at + 7]]
+    assert counter.totals([]) == [] and len(counter.young) + len(counter.old) <= 2 * max(most, 3000)
+
+
+def test_the_faster_module_finds_the_same_pre_tokens():
+    import regex
+
+    rng = np.random.default_rng(7)
+    chars = [chr(c) for c in range(256) if chr(c) not in token_counts._SEPARATORS] + list("aaabbb   ''stlvmdr") * 8
+    for _ in range(400):
+        t = "".join(rng.choice(chars, 60))
+        assert token_counts.latin_finder(P.PATTERN)(t) == regex.findall(P.PATTERN, t)
+    assert token_counts.latin_finder(r"\p{Lu}+| ") is None
+
+
 def test_bpe_round_trip_and_ids(spark):
     ranks = byte_bpe.file_bytes(P.path("byte_bpe_50k.tiktoken"))
     enc = byte_bpe.encoding_of(ranks, P.PATTERN)
