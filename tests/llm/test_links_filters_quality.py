@@ -216,6 +216,17 @@ def test_embedding_links_equal_brute_force(spark, block, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tables_grow_slowly_and_miss_little():
+    shapes = [embedding_dedup.shape(n, 0.98) for n in (0, 200, 10**4, 10**6, 10**9)]
+    assert [k for k, _ in shapes] == sorted(k for k, _ in shapes) and shapes[-1][1] < 12 * shapes[0][1]
+    rng = np.random.default_rng(2)
+    for d in (0.2, 1.0, 2**0.5):
+        x, b = rng.normal(size=200000) * d, rng.uniform(size=200000)
+        assert abs((np.floor(x + b) == np.floor(b)).mean() - embedding_dedup.agreement(d)) < 0.005
+    near = embedding_dedup.agreement(0.2)
+    assert all((1 - near**k) ** t <= embedding_dedup.MISSED for k, t in shapes)
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
