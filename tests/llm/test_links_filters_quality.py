@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -52,6 +53,69 @@ def test_dialogues(spark):
     assert got[2, "0"].errors == ["text: missing"] and json.loads(got[2, "0"].json)["result"] == ""
 
 
+def levels_of(spark, refs):
+    """Levels by plain recursion and by the operator, for (call, [calls it refers to])."""
+    known = dict(refs)
+
+    def plain(x, seen=()):
+        if x in seen:
+            return None
+        below = [plain(p, (*seen, x)) for p in known[x] if p in known]
+        return None if None in below else max(below, default=-1) + 1
+
+    rows = [(1, i, json.dumps({"x": [{"$ref": p} for p in parents], "n": 1})) for i, parents in refs]
+    got = tool_links.levels(spark.createDataFrame(rows, "conv_id long, call_id string, arguments string"))
+    names = {r.k: r.call_id for r in spark.createDataFrame([(1, i) for i, _ in refs], "conv_id long, call_id string").select("call_id", tool_links.node("conv_id", "call_id").alias("k")).collect()}
+    found = {names[r.node]: r.level for r in got.collect()}
+    return {i: plain(i) for i, _ in refs}, {i: found.get(i, 0) for i, _ in refs}
+
+
+def test_levels_equal_plain_recursion(spark):
+    rng = random.Random(4)
+    refs = [(str(i), [str(rng.randrange(max(0, i - 9), i)) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if i else []) for i in range(60)]
+    refs += [("p", ["q"]), ("q", ["r"]), ("r", ["p"]), ("s", ["r"]), ("t", ["s", "0"]), ("u", ["t"]), ("v", ["v"]), ("w", ["nowhere"]), ("y", ["y", "1"]), ("z", ["59", "u"])]
+    want, got = levels_of(spark, refs)
+    assert got == want and max(x for x in want.values() if x) > 6 and want["u"] is None
+
+
+def test_a_chain_of_a_thousand_calls(spark):
+    start = time.time()
+    refs = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(1000)]
+    rows = [(1, i, json.dumps({"x": {"$ref": p[0]}} if p else {})) for i, p in refs]
+    got = tool_links.levels(spark.createDataFrame(rows, "conv_id long, call_id string, arguments string"))
+    assert sorted(r.level for r in got.collect()) == list(range(1, 1000)) and time.time() - start < 60
+
+
+def test_references_and_numbers_have_one_reading(spark):
+    call = lambda i, a: {"id": i, "name": "t", "arguments": a}
+    wide = '{"tool_calls":[{"id":"d","name":"t","arguments":{"x":{"$ref":"\\u0062"}}},{"id":"e","name":"t","arguments":{"\\u0024ref":"d"}}]}'
+    told = {"x": 'no {"$ref":"b"} here, "$ref":"b"', "$ref ": "b", "y": ["$ref", "b"], "z": {"$ref": 5}}
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [call('a"x', {}), call("b", {}), call("c", {"x": {"$ref": 'a"x'}, "$ref": "b"})]})),
+        (1, 1, "assistant", wide),
+        (1, 2, "assistant", json.dumps({"tool_calls": [call("f", told), call("g", {"a\\": {"$ref": "c"}})]})),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r.level for r in tool_links.link(*tool_links.tool_events(df)).collect()}
+    assert got == {'a"x': 0, "b": 0, "c": 1, "d": 1, "e": 2, "f": 0, "g": 2}
+    numbers = ["100", "100.0", "1e2", "1E+2", "0.1e3", "1.50", "15e-1", "-0.0", "0", "1e25", "10000000000000000000000000.0", "123456789012345678901234567890", "0.000001", "1e-6", "1e-25", "0.0000000000000000000000001", "1e60", "1E+60"]
+    texts = [f'{{"b":[{n},"x 1.0, 1e2 \\\\","\\"2.0"],"a":{n}}}' for n in numbers] + ["[1.0", '{"a":1,"a":2}', None, "1.0", '"1.0"', "[true,null]"]
+    out = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tool_links.canonical(F.col("t")).alias("c")).collect()]
+    form = lambda n: f'{{"a":{n},"b":[{n},"x 1.0, 1e2 \\\\","\\"2.0"]}}'
+    assert out[:9] == [form(100)] * 5 + [form(1.5)] * 2 + [form(0)] * 2
+    assert out[9] == out[10] and out[11] == form(numbers[11]) and out[12] == out[13] == form("0.000001") and out[14] == out[15] and out[16] == out[17] == form("1.0E60")
+    assert out[18:] == ['"[1.0"', '"{\\"a\\":1,\\"a\\":2}"', "null", "1", '"1.0"', "[true,null]"]
+
+
+def test_long_arguments_are_read_whole(spark):
+    text = 'say "x" \\ \n' * 30000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "user", "b"), (1, 4, "system", "c"), (1, 5, "assistant", "1.0")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, arguments string")
+    got = {r.call_id: r for r in tool_links.link(*tool_links.dialogue_events(df)).collect()}
+    assert json.loads(got["0"].json)["arguments"]["text"] == text and got["0"].errors == ["text: too long"]
+    assert (got["2"].level, got["4"].level, got["4"].errors) == (1, 2, ["turn: too large"])
+
+
 def plain_verdict(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     n = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
