@@ -50,7 +50,8 @@ def agreement(distance: float) -> float:
 def shape(n: int, threshold: float) -> tuple[int, int]:
     """Projections of a table and the number of tables for n vectors."""
     near, far = agreement(math.sqrt(max(2 - 2 * threshold, 1e-6))), agreement(math.sqrt(2))
-    k = max(4, round(math.log(max(n, 1)) / -math.log(far)))
+    # one projection more than brings unrelated neighbours down to one: keys are cheaper to deal than vectors
+    k = max(4, 1 + round(math.log(max(n, 1)) / -math.log(far)))
     return k, math.ceil(math.log(MISSED) / math.log1p(-(near**k)))
 
 
