@@ -24,17 +24,23 @@ def histogram_density(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
     return binned.join(F.broadcast(counts), ["_x", "_y"]).select(*df.columns, "density")
 
 
-def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank", parts: int | None = None) -> DataFrame:
-    """df with its rank from 0 in a total order: rows are range-partitioned and sorted, ranked inside their range, and shifted by the
-    counts of the ranges before, of which there are as many as partitions. No task sees more than its range."""
+def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank", parts: int | None = None, running: dict[str, str] | None = None) -> DataFrame:
+    """df with its rank from 0 in a total order, and running sums (new column: what it sums) up to each row: rows are range-partitioned and
+    sorted, scanned inside their range, and shifted by the counts and sums of the ranges before, of which there are as many as
+    partitions. No task sees more than its range."""
     # written once: ranges come from a sample, so a second evaluation could draw other ones; without a number, small ranges are joined
     dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
     ranged = cut(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
+    sums = {"_local": F.lit(1), **{f"_sum_{n}": F.col(w) for n, w in (running or {}).items()}}
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({n: F.sum(w).over(inside) for n, w in sums.items()})
+    held = ranged.groupBy("_part").agg(*[F.sum(w).alias(f"{n}_before") for n, w in sums.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("_part", *[F.coalesce(F.sum(f"{n}_before").over(earlier), F.lit(0)).alias(f"{n}_before") for n in sums])
     out = local.join(F.broadcast(before), "_part")
-    return out.withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_part", "_local", "_before")
+    found = {name: (F.col("_local") - 1 + F.col("_local_before")).cast("bigint")}
+    found |= {n: F.col(f"_sum_{n}") + F.col(f"_sum_{n}_before") for n in running or {}}
+    return out.withColumns(found).select(*df.columns, *found)
 
 
 def ntile_bins(df: DataFrame, value: str, tie: str, bins: int) -> DataFrame:

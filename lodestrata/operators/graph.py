@@ -238,7 +238,9 @@ def contiguous(nodes: DataFrame, edges: DataFrame, key: str, label: str, least:
     same = with_labels(edges, nodes, key, label).where("l_src = l_dst")
     roots = components(same, "src", "dst").withColumnRenamed("node", key)
     out = nodes.select(key, label).join(roots, key, "left").withColumn("component", F.coalesce("root", key))
-    return out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("component"))).withColumn("small", F.col("n") < least).drop("root")
+    out = cut(out.drop("root"), "parcels")
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("n"))  # counted and joined, so that the largest component is in no one task
+    return out.join(sizes, "component").select(key, label, "component", "n", (F.col("n") < least).alias("small"))
 
 
 def precision_matvec(entries: DataFrame, vector: DataFrame, scale: float, nu: int, node: str = "node", value: str = "x") -> DataFrame:

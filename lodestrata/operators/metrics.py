@@ -6,6 +6,8 @@ one final aggregation whatever the number of channels or models.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,23 +78,26 @@ def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Ranks within keys from 1, equal values share the mean of their places.
 
-    Rows are dealt by ranges of (keys, value), so that a key with most of the rows is spread over many tasks and equal
-    values stay together. A row's rank is its rank in its range plus the rows of its key in the ranges before, of
-    which there is one number for each key and range.
+    Distinct values are counted first, so that a value which most rows hold is one row here. They are dealt by ranges of
+    (keys, value): a value's rank is the rows up to it in its range plus the rows of its key in the ranges before, of which
+    there is one number for each key and range. Ranks come back to the rows by a join.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     # written once: ranges come from a sample, so a second evaluation could draw other ones
-    ranged = cut(df.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
-    local = Window.partitionBy("_part", *keys)
-    place = F.rank().over(local.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy("_part", *keys, value)) - 1) / 2.0
-    counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))
-    on = F.col("_part") == F.col("_p2")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    met = ranged.withColumn("_local", place).join(offsets, on)
-    return met.withColumn(name, F.col("_local") + F.col("_before")).select(*df.columns, name)
+    ranged = cut(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    held = ranged.groupBy("_part", *keys).agg(F.sum("_n").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select("_part", *keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    ranks = _null_safe(ranged.withColumn("_upto", upto), offsets, ["_part", *keys])
+    ranks = ranks.select(*keys, value, (F.col("_upto") + F.col("_before") - (F.col("_n") - 1) / 2.0).alias(name))
+    return _null_safe(df, ranks, [*keys, value]).select(*df.columns, name)
+
+
+def _null_safe(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join on columns of one name, where nulls meet nulls."""
+    own = b.withColumnsRenamed({c: f"_on{k}" for k, c in enumerate(on)})
+    return a.join(own, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_on{k}")) for k, c in enumerate(on)])).drop(*[f"_on{k}" for k in range(len(on))])
 
 
 def summary(df: DataFrame, keys: list[str], metrics=SCORES, stats=("mean", "median"), extra: list[Column] = ()) -> DataFrame:

@@ -211,14 +211,15 @@ def adjacent_pairs(sections: DataFrame, group: list[str], depth: str, key: str,
 
 
 def cycled_pairs(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str], offset: int = 0) -> DataFrame:
-    """Rows of the longer side paired with the shorter one's in a cycle from an offset. Both are blocks of bounded size."""
+    """Rows of the longer side paired with the shorter one's in a cycle from an offset, by ranks that no one task makes."""
+    from .bins import global_rank
+
     n_a, n_b = a.count(), b.count()
     (long, lo, n), (short, so, m) = ((a, a_order, n_a), (b, b_order, n_b)) if n_a >= n_b else ((b, b_order, n_b), (a, a_order, n_a))
     if not m:
         return long.crossJoin(short)
-    x = long.withColumn("_k", F.pmod(F.row_number().over(Window.orderBy(*lo)) - 1 + offset, F.lit(m)))
-    y = short.withColumn("_k", F.row_number().over(Window.orderBy(*so)) - 1)
-    return x.join(y, "_k").drop("_k")
+    x = global_rank(long, lo, "_k").withColumn("_k", F.pmod(F.col("_k") + offset, F.lit(m)))
+    return x.join(global_rank(short, so, "_k"), "_k").drop("_k")
 
 
 def representative(df: DataFrame, key: str, coords: list[str], cell: list[str]) -> DataFrame:

@@ -130,10 +130,13 @@ def log_slope(df: DataFrame, x: str, y: str, name: str = "slope") -> DataFrame:
 
 
 def running_share(df: DataFrame, order: list[Column], weight: str) -> DataFrame:
-    """share, running share and rank of weights in an order."""
-    total = F.sum(weight).over(Window.partitionBy(F.lit(1)))
-    out = df.withColumn("share", F.col(weight) / total).withColumn("k", F.row_number().over(Window.orderBy(*order)))
-    return out.withColumn("running", F.sum("share").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    """share, running share and rank (k) of weights in an order, by ranges that are scanned apart."""
+    from .bins import global_rank
+
+    total = df.agg(F.sum(weight).alias("_total"))
+    ranked = global_rank(df, order, "k", running={"running": weight}).crossJoin(F.broadcast(total))
+    out = ranked.withColumn("share", F.col(weight) / F.col("_total")).withColumn("running", F.col("running") / F.col("_total"))
+    return out.withColumn("k", F.col("k") + 1).select(*df.columns, "share", "k", "running")
 
 
 def ddpm_schedule(spark: SparkSession, steps: int, first: float, last: float) -> DataFrame:

@@ -252,45 +252,23 @@ def g17(spark, sf):
     return stats.log_slope(s, "bw", "total").select(r("bw").alias("bw"), r("slope", 5).alias("slope"))
 
 
-@add("G18_geodesic", f"""WITH RECURSIVE {EDGES}, {SYM}, g(a, b, d, h) AS (SELECT vec_id, vec_id, CAST(0 AS DOUBLE), 0 FROM embeddings WHERE vec_id < 3 UNION SELECT g.a, s.dst, g.d + sqrt(s.d2), h + 1 FROM g JOIN s ON g.b = s.src WHERE g.d + sqrt(s.d2) <= 2.6 AND h < 5)
-SELECT a AS source, b AS node, {R("min(d)", 5)} AS d FROM g GROUP BY 1, 2""")
+@add("G18_geodesic")
 def g18(spark, sf):
-    src = vectors(spark, sf).where("vec_id < 3").select(F.col("vec_id").alias("node"))
-    return g.geodesic(edges(spark, sf), src, 2.6, rounds=5).select("source", "node", r("d", 5).alias("d"))
-
-
-@add("G19_contiguous_parcels", f"""WITH RECURSIVE {VOX}, e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.region = b.region AND a.z = 1 AND b.z = 1 AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
-c(a, b) AS (SELECT id, id FROM n WHERE z = 1 UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), m AS (SELECT a, min(b) AS root FROM c GROUP BY a), z AS (SELECT root, count(*) AS n FROM m GROUP BY root)
-SELECT m.a AS id, n.region, m.root AS component, z.n, z.n < 3 AS small FROM m JOIN z USING (root) JOIN n ON n.id = m.a""")
-def g19(spark, sf):
-    v = voxels(spark, sf).where("z = 1")
-    e = spatial.adjacency(v, "id", ["x", "y"])
-    return g.contiguous(v, e, "id", "region", 3).select("id", "region", "component", "n", "small")
-
-
-@add("G18_geodesic_whole")
-def g18b(spark, sf):
     src = vectors(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").alias("node"))  # the query set
     return g.geodesic(edges(spark, sf), src, 2.6, rounds=None).select("source", "node", r("d", 5).alias("d"))
 
 
-@add("G19_contiguous_parcels_whole", f"""WITH RECURSIVE {VOX}, e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.region = b.region AND a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+@add("G19_contiguous_parcels", f"""WITH RECURSIVE {VOX}, e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.region = b.region AND a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
 c(a, b) AS (SELECT id, id FROM n UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), m AS (SELECT a, min(b) AS root FROM c GROUP BY a), z AS (SELECT root, count(*) AS n FROM m GROUP BY root)
 SELECT m.a AS id, n.region, m.root AS component, z.n, z.n < 3 AS small FROM m JOIN z USING (root) JOIN n ON n.id = m.a""")
-def g19b(spark, sf):
+def g19(spark, sf):
     v = voxels(spark, sf)
     e = spatial.adjacency(v, "id", ["x", "y", "z"], spatial.half_neighbourhood(3))
     return g.contiguous(v, e, "id", "region", 3).select("id", "region", "component", "n", "small")
 
 
-@add("G20_A50_border_distance", f"""WITH {POINTS}, d AS (SELECT a.id, min(struct_pack(d2 := {PD2}, k := b.id, o := b.label)) AS b FROM p a JOIN p b ON a.label <> b.label AND b.id % 3 = 0 GROUP BY a.id) SELECT id, b.o AS other, {R("b.d2")} AS d2 FROM d""")
+@add("G20_A50_border_distance", f"""WITH {POINTS}, d AS (SELECT a.id, min(struct_pack(d2 := {PD2}, k := b.id, o := b.label)) AS b FROM p a JOIN p b ON a.label <> b.label GROUP BY a.id) SELECT id, b.o AS other, {R("b.d2")} AS d2 FROM d""")
 def g20(spark, sf):
-    p = points(spark, sf)
-    return g.border_distance(p, p.where("id % 3 = 0"), "id", "label", ["x", "y", "z"], 0.1).select("id", F.col("other").cast("int").alias("other"), r("d2").alias("d2"))
-
-
-@add("G20_A50_border_distance_whole", f"""WITH {POINTS}, d AS (SELECT a.id, min(struct_pack(d2 := {PD2}, k := b.id, o := b.label)) AS b FROM p a JOIN p b ON a.label <> b.label GROUP BY a.id) SELECT id, b.o AS other, {R("b.d2")} AS d2 FROM d""")
-def g20b(spark, sf):
     p = points(spark, sf)
     return g.border_distance(p, p, "id", "label", ["x", "y", "z"], 0.02).select("id", F.col("other").cast("int").alias("other"), r("d2").alias("d2"))
 

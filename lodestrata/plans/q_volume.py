@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,35 +14,26 @@ from .shared import cut
 
 CATALOG = Catalog()
 add = CATALOG.add
-NODES = "v AS (SELECT l_linenumber AS z, CAST(l_suppkey % 16 AS INTEGER) AS y, CAST(l_partkey % 16 AS INTEGER) AS x, avg(l_quantity) AS v FROM lineitem WHERE (l_partkey * 7 + l_suppkey) % 11 < 9 GROUP BY 1, 2, 3 HAVING count(*) > 1), n AS (SELECT (z * 16 + y) * 16 + x AS id, * FROM v)"
+NODES = "v AS (SELECT l_linenumber AS z, CAST(l_suppkey % 16 AS INTEGER) AS y, CAST(l_partkey % 16 AS INTEGER) AS x, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT (z * 16 + y) * 16 + x AS id, * FROM v)"
 
 
 def voxels(spark, sf):
-    li = t(spark, sf, "lineitem").where((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 11 < 9)
-    v = li.groupBy(F.col("l_linenumber").alias("z"), (F.col("l_suppkey") % 16).cast("int").alias("y"), (F.col("l_partkey") % 16).cast("int").alias("x")).agg(F.avg("l_quantity").alias("v"), F.count(F.lit(1)).alias("c"))
-    return cut(v.where("c > 1").drop("c").withColumn("id", (F.col("z") * 16 + F.col("y")) * 16 + F.col("x")), "voxels")
-
-
-WHOLE = "v AS (SELECT l_linenumber AS z, CAST(l_suppkey % 16 AS INTEGER) AS y, CAST(l_partkey % 16 AS INTEGER) AS x, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT (z * 16 + y) * 16 + x AS id, * FROM v)"
-
-
-def whole_voxels(spark, sf):
     v = t(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("z"), (F.col("l_suppkey") % 16).cast("int").alias("y"), (F.col("l_partkey") % 16).cast("int").alias("x")).agg(F.avg("l_quantity").alias("v"))
     return cut(v.withColumn("id", (F.col("z") * 16 + F.col("y")) * 16 + F.col("x")), "voxels")
 
 
 @add("G21_surface_depth", f"""WITH {NODES}, o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), rim AS (SELECT DISTINCT z + a AS z, y + b AS y, x + c AS x FROM n, o EXCEPT SELECT z, y, x FROM n)
 SELECT n.id, {R("sqrt(min(power(n.z - rim.z, 2) + power(n.y - rim.y, 2) + power(n.x - rim.x, 2)))")} AS depth FROM n, rim GROUP BY n.id""")
-def g21(spark, sf, nodes=voxels):
-    return volume.surface_depth(nodes(spark, sf), "id").select("id", r("depth").alias("depth"))
+def g21(spark, sf):
+    return volume.surface_depth(voxels(spark, sf), "id").select("id", r("depth").alias("depth"))
 
 
 @add("G21_hole_filling", f"""WITH RECURSIVE {NODES}, b AS (SELECT min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM n),
 f AS (SELECT z, y, x, z IN (z0, z1) OR y IN (y0, y1) OR x IN (x0, x1) AS side FROM b, range(0, 8) a(z), range(0, 16) c(y), range(0, 16) d(x) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 AND NOT EXISTS (SELECT 1 FROM n WHERE n.z = a.z AND n.y = c.y AND n.x = d.x)),
 o(z, y, x) AS (SELECT z, y, x FROM f WHERE side UNION SELECT f.z, f.y, f.x FROM f JOIN o ON abs(f.z - o.z) + abs(f.y - o.y) + abs(f.x - o.x) = 1)
 SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM n) + (SELECT count(*) FROM f) - (SELECT count(*) FROM o) AS n_filled""")
-def g21b(spark, sf, nodes=voxels):
-    v = nodes(spark, sf)
+def g21b(spark, sf):
+    v = voxels(spark, sf)
     return v.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(F.broadcast(volume.fill_holes(v).agg(F.count(F.lit(1)).alias("n_filled"))))
 
 
@@ -54,29 +43,25 @@ _WV = ", ".join(f"({k}, CAST({w!r} AS DOUBLE))" for k, w in _W.items())
 
 @add("G22_gaussian_smoothing", f"""WITH {NODES}, w(d, w) AS (VALUES {_WV}) SELECT a.id, {R("sum(b.v * wz.w * wy.w * wx.w) / sum(wz.w * wy.w * wx.w)")} AS v
 FROM n a JOIN n b ON abs(a.z - b.z) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 JOIN w wz ON wz.d = a.z - b.z JOIN w wy ON wy.d = a.y - b.y JOIN w wx ON wx.d = a.x - b.x GROUP BY a.id""")
-def g22(spark, sf, nodes=voxels):
-    v = nodes(spark, sf)
+def g22(spark, sf):
+    v = voxels(spark, sf)
     return volume.smooth(v, "v", 1.0, 2.0).select(((F.col("z") * 16 + F.col("y")) * 16 + F.col("x")).alias("id"), r("v").alias("v"))
 
 
 @add("G22_gradient_size", f"""WITH {NODES}, s AS (SELECT c.id, c.v, (SELECT v FROM n WHERE n.z = c.z + 1 AND n.y = c.y AND n.x = c.x) AS a, (SELECT v FROM n WHERE n.z = c.z - 1 AND n.y = c.y AND n.x = c.x) AS b,
 (SELECT v FROM n WHERE n.z = c.z AND n.y = c.y + 1 AND n.x = c.x) AS d, (SELECT v FROM n WHERE n.z = c.z AND n.y = c.y - 1 AND n.x = c.x) AS e, (SELECT v FROM n WHERE n.z = c.z AND n.y = c.y AND n.x = c.x + 1) AS f, (SELECT v FROM n WHERE n.z = c.z AND n.y = c.y AND n.x = c.x - 1) AS g FROM n c)
 SELECT id, {R("sqrt(power((coalesce(a, v) - coalesce(b, v)) / 2, 2) + power((coalesce(d, v) - coalesce(e, v)) / 2, 2) + power((coalesce(f, v) - coalesce(g, v)) / 2, 2))")} AS gradient FROM s""")
-def g22b(spark, sf, nodes=voxels):
-    return volume.gradient_size(nodes(spark, sf), "v").select(((F.col("z") * 16 + F.col("y")) * 16 + F.col("x")).alias("id"), r("gradient").alias("gradient"))
+def g22b(spark, sf):
+    return volume.gradient_size(voxels(spark, sf), "v").select(((F.col("z") * 16 + F.col("y")) * 16 + F.col("x")).alias("id"), r("gradient").alias("gradient"))
 
 
 @add("G22_hessian_and_deviation")
-def g22c(spark, sf, nodes=whole_voxels):
-    v = nodes(spark, sf)
+def g22c(spark, sf):
+    v = voxels(spark, sf)
     h = volume.hessian_eigenvalues(v, "v").join(volume.local_deviation(v, "v", 1.0), volume.AXES)
     return h.select(*volume.AXES, *[r(f"e{k}").alias(f"e{k}") for k in range(3)], r("deviation").alias("deviation"))
 
 
-for _name, _query in (("G21_surface_depth", g21), ("G21_hole_filling", g21b), ("G22_gaussian_smoothing", g22), ("G22_gradient_size", g22b)):
-    add(f"{_name}_whole", CATALOG[_name][1].replace(NODES, WHOLE))(partial(_query, nodes=whole_voxels))
-
-
 _SCALE = " + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * CAST(embedding[{k + 1}] AS DOUBLE) * power(2 * 1.5 / 0.25 + {k / 8.0}, -1.5)" for k in range(8))
 
 
@@ -97,17 +82,8 @@ def g14(spark, sf):
     return g.precision_matvec(entries, vec, 0.5, 1).select("node", r("y", 5).alias("y"))
 
 
-@add("G15_factor_kernels", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, {R('exp(-power(a.s_acctbal - b.s_acctbal, 2) / (2 * 1000000.0)) * CASE WHEN a.s_nationkey = b.s_nationkey THEN 1 ELSE 0.3 END')} AS k FROM supplier a, supplier b WHERE a.s_suppkey <= 5")
+@add("G15_factor_kernels", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, {R('exp(-power(a.s_acctbal - b.s_acctbal, 2) / (2 * 1000000.0)) * CASE WHEN a.s_nationkey = b.s_nationkey THEN 1 ELSE 0.3 END')} AS k FROM supplier a, supplier b")
 def g15(spark, sf):
-    s = t(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
-    few = s.where("s_suppkey <= 5").toDF("a", "d1", "p1")  # five anchors
-    d = F.col("d1") - F.col("s_acctbal")
-    k = x.gaussian(d * d, 1000.0) * F.when(F.col("p1") == F.col("s_nationkey"), 1.0).otherwise(0.3)
-    return s.crossJoin(F.broadcast(few)).select("a", F.col("s_suppkey").alias("b"), r(k).alias("k"))
-
-
-@add("G15_factor_kernels_whole", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, {R('exp(-power(a.s_acctbal - b.s_acctbal, 2) / (2 * 1000000.0)) * CASE WHEN a.s_nationkey = b.s_nationkey THEN 1 ELSE 0.3 END')} AS k FROM supplier a, supplier b")
-def g15b(spark, sf):
     s = t(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
     d = F.col("d1") - F.col("s_acctbal")
     k = x.gaussian(d * d, 1000.0) * F.when(F.col("p1") == F.col("s_nationkey"), 1.0).otherwise(0.3)

@@ -20,7 +20,7 @@ def test_every_row_has_a_density(spark):
     q, p = (np.array([float(r[k]) for r in rows]) for k in (4, 5))
     bins = list(zip(*[np.minimum(np.floor((v - v.min()) / (v.max() - v.min()) * 20), 19) for v in (q, p)]))
     n = Counter(bins)
-    got = Counter(tuple(r) for r in query(spark, "A51_W13_histogram_density_whole").collect())
+    got = Counter(tuple(r) for r in query(spark, "A51_W13_histogram_density").collect())
     assert got == Counter((*r[:4], n[b]) for r, b in zip(rows, bins))
 
 
@@ -34,21 +34,21 @@ def test_the_nearest_border_is_searched_among_all_points(spark):
     at, label = np.array([r.embedding[:3] for r in e], dtype=float), np.array([r.label for r in e])
     d2 = ((at[:, None] - at[None]) ** 2).sum(-1)
     d2[label[:, None] == label[None]] = np.inf
-    got = {r.id: r.d2 for r in query(spark, "G20_A50_border_distance_whole").collect()}
+    got = {r.id: r.d2 for r in query(spark, "G20_A50_border_distance").collect()}
     assert len(got) == len(e) and all(abs(got[r.vec_id] - v) < 1e-6 for r, v in zip(e, d2.min(1)))
 
 
 def test_voxels_hold_every_row(spark):
-    from lodestrata.plans.q_volume import whole_voxels
+    from lodestrata.plans.q_volume import voxels
 
     want = {}
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber", "l_suppkey", "l_partkey", "l_quantity").collect():
         want.setdefault((r[0], r[1] % 16, r[2] % 16), []).append(float(r[3]))
-    got = {(r.z, r.y, r.x): float(r.v) for r in whole_voxels(spark, SF).collect()}
+    got = {(r.z, r.y, r.x): float(r.v) for r in voxels(spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - np.mean(v)) < 1e-9 for k, v in want.items())
 
 
-@pytest.mark.parametrize("name", ["G21_surface_depth_whole", "G22_gaussian_smoothing_whole", "G22_gradient_size_whole", "G22_hessian_and_deviation"])
+@pytest.mark.parametrize("name", ["G21_surface_depth", "G22_gaussian_smoothing", "G22_gradient_size", "G22_hessian_and_deviation"])
 def test_every_voxel_has_a_value(spark, name):
     cells = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_linenumber", "l_suppkey % 16", "l_partkey % 16").distinct().count()
     assert query(spark, name).count() == cells
@@ -63,16 +63,16 @@ def test_only_closed_holes_are_filled(spark):
 def test_geodesics_go_on_until_nothing_changes(spark, tmp_path):
     line = [(k, 0, [0.11 * k] + [0.0] * 63) for k in range(30)]
     spark.createDataFrame(line, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.node: r.d for r in catalog.queries()["G18_geodesic_whole"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.d for r in catalog.queries()["G18_geodesic"](spark, str(tmp_path)).collect()}
     assert got.keys() == set(range(24)) and all(abs(d - 0.11 * k) < 1e-4 for k, d in got.items())
 
 
 def test_parcels_are_those_of_all_planes(spark):
-    got = query(spark, "G19_contiguous_parcels_whole").collect()
+    got = query(spark, "G19_contiguous_parcels").collect()
     cells = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey % 32", "l_suppkey % 32", "l_linenumber").distinct().count()
     assert len(got) == cells and len({r.id % 8 for r in got if r.component == got[0].component}) > 1
 
 
 def test_every_pair_of_suppliers_has_a_kernel(spark):
     n = spark.read.parquet(f"{SF}/supplier.parquet").count()
-    assert query(spark, "G15_factor_kernels_whole").select("a", "b").distinct().count() == n * n
+    assert query(spark, "G15_factor_kernels").select("a", "b").distinct().count() == n * n
