@@ -93,27 +93,28 @@ def chain_features(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def forward_backward(evidence: np.ndarray, there: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For chains in rows, filled from the left: log forward and backward tables (chains, lines, 2) and log Z.
+    """For chains in rows, filled from the left and the longest first: log forward and backward tables (chains, lines, 2) and log Z.
 
-    evidence: score of label 1 for every line (label 0 has 0); step: (2, 2) transition scores.
+    evidence: score of label 1 for every line (label 0 has 0); step: (2, 2) transition scores. A step works on the chains that
+    are still going on, so the work is that of the lines that are there.
     """
     chains, length = evidence.shape
-    unary = np.stack([np.zeros_like(evidence), evidence], axis=2)
+    going, sizes = there.sum(axis=0), there.sum(axis=1)
     ahead, behind = np.zeros((chains, length, 2)), np.zeros((chains, length, 2))
-    ahead[:, 0] = unary[:, 0]
+    ahead[:, 0, 1] = evidence[:, 0]
     for t in range(1, length):
-        new = _log_sum(ahead[:, t - 1, :, None] + step[None], 1) + unary[:, t]
-        ahead[:, t] = np.where(there[:, t, None], new, ahead[:, t - 1])
+        n = going[t]
+        a, b = ahead[:n, t - 1, 0], ahead[:n, t - 1, 1]
+        ahead[:n, t, 0] = np.logaddexp(a + step[0, 0], b + step[1, 0])
+        ahead[:n, t, 1] = np.logaddexp(a + step[0, 1], b + step[1, 1]) + evidence[:n, t]
     for t in range(length - 2, -1, -1):
-        new = _log_sum(step[None] + (unary[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-        behind[:, t] = np.where(there[:, t + 1, None], new, behind[:, t + 1])
-    return ahead, behind, _log_sum(ahead[:, -1], 1)
+        n = going[t + 1]
+        a, b = behind[:n, t + 1, 0], behind[:n, t + 1, 1] + evidence[:n, t + 1]
+        behind[:n, t, 0] = np.logaddexp(a + step[0, 0], b + step[0, 1])
+        behind[:n, t, 1] = np.logaddexp(a + step[1, 0], b + step[1, 1])
+    end = ahead[np.arange(chains), sizes - 1]
+    return ahead, behind, np.logaddexp(end[:, 0], end[:, 1])
 
 
 def likelihood(theta, x, row, col, there, gold, steps) -> tuple[float, np.ndarray]:
@@ -127,11 +128,9 @@ def likelihood(theta, x, row, col, there, gold, steps) -> tuple[float, np.ndarra
     e[row, col] = x @ w
     ahead, behind, z = forward_backward(e, there, step)
     p1 = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None])[row, col]
-    unary = np.stack([np.zeros_like(e), e], axis=2)
-    expected = np.zeros((2, 2))
-    if there.shape[1] > 1:
-        pair = ahead[:, :-1, :, None] + step + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        expected = np.exp(np.where(there[:, 1:, None, None], pair, -np.inf)).sum(axis=(0, 1))
+    r, c = row[col > 0], col[col > 0]
+    after = behind[r, c] + np.stack([np.zeros(len(r)), e[r, c]], axis=1)
+    expected = np.exp(ahead[r, c - 1][:, :, None] + step + after[:, None, :] - z[r, None, None]).sum(axis=0)
     value = (gold * e[row, col]).sum() + (np.diag(steps) * step).sum() - z.sum()
     gradient = np.concatenate([x.T @ (gold - p1), (np.diag(steps) - expected).ravel()])
     return value / len(x) - RIDGE / 2 * (theta**2).sum(), gradient / len(x) - RIDGE * theta
@@ -147,6 +146,8 @@ class LineField:
     def fit(cls, chains: list[np.ndarray], labels: list[int]) -> LineField:
         """chains: features of the lines of each document; labels: 0 or 1 for each document."""
         prior = float(np.mean(labels)) if labels else 0.5
+        order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+        chains, labels = [chains[i] for i in order], [labels[i] for i in order]
         x = np.concatenate(chains) if chains else np.zeros((0, 3 + 3 * N_OWN), dtype=np.float32)
         if len(set(labels)) < 2:
             return cls(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1]), np.zeros((2, 2)), prior)
@@ -179,14 +180,14 @@ class LineField:
             f = chain_features(lines) if lines else np.zeros((0, len(self.mean)), dtype=np.float32)
             evidence.append(((f - self.mean) / self.scale) @ self.weights)
             weights.append(np.array([len(x) for x in lines], dtype=np.float64))
-        order = sorted((i for i in range(len(texts)) if weights[i].sum() > 0), key=lambda i: len(evidence[i]))
+        order = sorted((i for i in range(len(texts)) if weights[i].sum() > 0), key=lambda i: -len(evidence[i]))
         at = 0
         while at < len(order):
             end = at + 1  # chains of like length together, as many as fit
-            while end < len(order) and (end - at + 1) * len(evidence[order[end]]) <= CELLS:
+            while end < len(order) and (end - at + 1) * len(evidence[order[at]]) <= CELLS:
                 end += 1
             group = order[at:end]
-            e = np.zeros((len(group), len(evidence[group[-1]])))
+            e = np.zeros((len(group), len(evidence[group[0]])))
             there = np.zeros(e.shape, dtype=bool)
             w = np.zeros(e.shape)
             for k, i in enumerate(group):

@@ -59,5 +59,6 @@ def standardise_coordinates(df: DataFrame, coords: list[str]) -> DataFrame:
 
 def compact_labels(df: DataFrame, label: str, name: str) -> DataFrame:
     """Labels as 0, 1, 2 ... in their order. Ranks are worked out on the distinct labels and joined back."""
-    ranks = df.select(label).distinct().withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(ranks, label)
+    from .bins import global_rank
+
+    return df.join(global_rank(df.select(label).distinct(), [label], name).withColumn(name, F.col(name).cast("int")), label)

@@ -68,36 +68,54 @@ def score_z(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pr
 
 
 def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """keys, spearman: correlation of average ranks."""
-    narrow = cut(pairs.select(*keys, y, p), "pairs")  # read by the ranges' samples, too
-    ranked = average_rank(average_rank(narrow, keys, y, "_ry").select(*keys, p, "_ry"), keys, p, "_rp")
-    sums = ranked.groupBy(*keys).agg(F.covar_pop("_ry", "_rp").alias("c"), F.stddev_pop("_ry").alias("a"), F.stddev_pop("_rp").alias("b"))
-    return sums.select(*keys, ratio("c", F.nullif(F.col("a") * F.col("b"), F.lit(0.0))).alias("spearman"))
+    """keys, spearman: correlation of average ranks; null where all values of a side are equal."""
+    narrow = cut(pairs.select(*keys, y, p), "pairs")  # read by the splits, too
+    ranked = average_ranks(narrow, keys, {y: "_ry", p: "_rp"})
+    spread = [F.min("_ry") < F.max("_ry"), F.min("_rp") < F.max("_rp")]
+    sums = ranked.groupBy(*keys).agg(F.covar_pop("_ry", "_rp").alias("c"), F.stddev_pop("_ry").alias("a"), F.stddev_pop("_rp").alias("b"), (spread[0] & spread[1]).alias("varies"))
+    return sums.select(*keys, F.when(F.col("varies"), ratio("c", F.nullif(F.col("a") * F.col("b"), F.lit(0.0)))).alias("spearman"))
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks within keys from 1, equal values share the mean of their places.
+def average_ranks(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """df with ranks within keys from 1 of each of the values (column: name of its rank); equal values share the mean of their places.
 
-    Distinct values are counted first, so that a value which most rows hold is one row here. They are dealt by ranges of
-    (keys, value): a value's rank is the rows up to it in its range plus the rows of its key in the ranges before, of which
-    there is one number for each key and range. Ranks come back to the rows by a join.
+    Approximate quantiles split the values of a key, as many as there are shuffle partitions. A row's rank is that in
+    its part plus the rows of its key in the parts before. Rows that equal a split are a part of their own, of which the count says all, so
+    a value which many rows hold is sorted nowhere; of any other value a task has few. Nulls come first, NaN last.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    # written once: ranges come from a sample, so a second evaluation could draw other ones
-    ranged = cut(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
-    upto = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    held = ranged.groupBy("_part", *keys).agg(F.sum("_n").alias("_held"))
-    before = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = held.select("_part", *keys, F.coalesce(before, F.lit(0)).alias("_before"))
-    ranks = _null_safe(ranged.withColumn("_upto", upto), offsets, ["_part", *keys])
-    ranks = ranks.select(*keys, value, (F.col("_upto") + F.col("_before") - (F.col("_n") - 1) / 2.0).alias(name))
-    return _null_safe(df, ranks, [*keys, value]).select(*df.columns, name)
-
-
-def _null_safe(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """An inner join on columns of one name, where nulls meet nulls."""
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    fine = lambda v: F.col(v).isNotNull() & ~F.isnan(v)
+    # splits only balance the parts, so a sample sets them, as it does for ranges
+    splits = df.sample(0.05, seed=1).groupBy(*keys).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(F.when(fine(v), F.col(v)), shares, 50 * parts))).alias(f"_s_{v}") for v in values])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
+
+    def part(v: str) -> Column:
+        s, x = F.col(f"_s_{v}"), F.col(v)
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(s, at + step - 1) < x, F.lit(False)), at + step).otherwise(at))
+        inside = F.transform(F.array(below), lambda n: 2 * n + F.when(F.coalesce(F.get(s, n) == x, F.lit(False)), 1).otherwise(0))[0]
+        return F.when(x.isNull(), F.lit(-1)).when(F.isnan(x), F.lit(2 * parts + 1)).otherwise(inside)
+
+    # written once: splits are approximate, so a second evaluation could draw other ones
+    held = cut(_null_safe(df, splits, keys, "left").select(*df.columns, *[part(v).alias(f"_b_{v}") for v in values]), "parts")
+    out = held
+    for v, name in values.items():
+        b = f"_b_{v}"
+        counts = held.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))
+        met = _null_safe(out, counts.withColumn("_before", F.coalesce(before, F.lit(0))), [*keys, b])
+        alike = met.where(F.col(b) % 2 != 0).withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2.0)
+        place = F.rank().over(Window.partitionBy(*keys, b).orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, b, v)) - 1) / 2.0
+        out = met.where(F.col(b) % 2 == 0).withColumn(name, F.col("_before") + place).unionByName(alike).drop("_n", "_before")
+    return out.select(*df.columns, *values.values())
+
+
+def _null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of one name, where nulls meet nulls."""
+    if not on:  # b is one row
+        return a.crossJoin(F.broadcast(b))
     own = b.withColumnsRenamed({c: f"_on{k}" for k, c in enumerate(on)})
-    return a.join(own, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_on{k}")) for k, c in enumerate(on)])).drop(*[f"_on{k}" for k in range(len(on))])
+    return a.join(own, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_on{k}")) for k, c in enumerate(on)]), how).drop(*[f"_on{k}" for k in range(len(on))])
 
 
 def summary(df: DataFrame, keys: list[str], metrics=SCORES, stats=("mean", "median"), extra: list[Column] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import erfc, portable_hash, portable_uniform, ratio
-from .metrics import average_rank
+from .metrics import average_ranks
 
 #: Cumulative probabilities of a Poisson number with mean 1, up to 3; the rest counts as 4.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184)
@@ -33,9 +33,10 @@ def sample_per_group(df: DataFrame, groups: list[str], n: int, seed: int, *key:
 
 def group_folds(df: DataFrame, group: list[str], folds: int, seed: int) -> DataFrame:
     """(group, fold): groups dealt to folds in hash order, so that folds differ by one group at most."""
-    found = df.select(*group).distinct()
-    place = F.dense_rank().over(Window.orderBy(portable_hash(seed, *group), *group)) - 1
-    return found.withColumn("fold", (place % folds).cast("int"))
+    from .bins import global_rank
+
+    found = df.select(*group).distinct().withColumn("_hash", portable_hash(seed, *group))
+    return global_rank(found, ["_hash", *group], "fold").withColumn("fold", (F.col("fold") % folds).cast("int")).drop("_hash")
 
 
 def split(df: DataFrame, share: float, seed: int, *key: str) -> DataFrame:
@@ -80,7 +81,7 @@ def sign_test(df: DataFrame, delta: str) -> DataFrame:
 
 def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
     """n (no zeros), w_plus, w_minus: sums of the average ranks of the sizes of positive and negative differences."""
-    ranked = average_rank(df.where(F.col(delta) != 0).withColumn("_abs", F.abs(delta)), [], "_abs", "_r")
+    ranked = average_ranks(df.where(F.col(delta) != 0).withColumn("_abs", F.abs(delta)), [], {"_abs": "_r"})
     up, down = F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0), F.when(F.col(delta) < 0, F.col("_r")).otherwise(0.0)
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(up).alias("w_plus"), F.sum(down).alias("w_minus"))
 

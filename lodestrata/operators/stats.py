@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, ratio
-from .metrics import average_rank
+from .metrics import average_ranks
 
 
 def digitise(value: Column | str, edges: list[float]) -> Column:
@@ -150,5 +150,5 @@ def ddpm_schedule(spark: SparkSession, steps: int, first: float, last: float) ->
 
 
 def ranks_corr(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    ranked = average_rank(average_rank(df, keys, a, "_ra"), keys, b, "_rb")
+    ranked = average_ranks(df, keys, {a: "_ra", b: "_rb"})
     return ranked.groupBy(*keys).agg(ratio(F.covar_pop("_ra", "_rb"), F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))).alias("rho"))

@@ -84,8 +84,10 @@ def whole_sections(df: DataFrame, section: str, order: list[Column], cap: int) -
     Counts are one aggregation; the rows come back by a semi-join on the sections chosen.
     """
     counts = df.groupBy(section).agg(F.count(F.lit(1)).alias("_n"))
-    run = F.sum("_n").over(Window.orderBy(*order, section).rowsBetween(Window.unboundedPreceding, 0))
-    chosen = counts.withColumn("_run", run).where((F.col("_run") <= cap) | (F.col("_run") == F.col("_n"))).select(section)
+    from ..operators.bins import global_rank
+
+    ranked = global_rank(counts, [*order, F.col(section)], "_k", running={"_run": "_n"})
+    chosen = ranked.where((F.col("_run") <= cap) | (F.col("_run") == F.col("_n"))).select(section)
     return df.join(chosen, section, "left_semi")
 
 

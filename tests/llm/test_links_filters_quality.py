@@ -169,7 +169,7 @@ def test_forward_backward_equals_enumeration():
 
 def test_the_gradient_equals_differences():
     rng = np.random.default_rng(3)
-    sizes = np.array([4, 1, 3])
+    sizes = np.array([4, 3, 1])
     row, col = np.repeat(np.arange(3), sizes), np.concatenate([np.arange(n) for n in sizes])
     there = np.zeros((3, 4), dtype=bool)
     there[row, col] = True
