@@ -24,6 +24,8 @@ K = 5
 SCALE = 256
 #: Vectors in a block of queries and in a block of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 4096
+#: Query blocks whose best scores so far a worker keeps as bounds for the blocks of candidates that follow.
+HELD_BLOCKS = 64
 #: Dimensions that are accumulated at a time.
 DIMS = 16
 
@@ -124,6 +126,7 @@ def _pack(size: int):
 
 def _search(k: int):
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[bytes, bytes], list] = {}  # of the latest query blocks, the k best scores of each query so far
         for frame in frames:
             out = []
             for row in frame.itertuples():
@@ -131,8 +134,14 @@ def _search(k: int):
                 block = Candidates(ids, data.reshape(len(ids), -1))
                 q_ids = np.frombuffer(row.q_ids, dtype=np.int64)
                 queries = quantise(np.frombuffer(row.q_data, dtype=np.float64).reshape(len(q_ids), -1))
-                for query_id, query in zip(q_ids.tolist(), queries, strict=True):
-                    out += [(query_id, vec_id, min(max(-neg, _LONG.min), _LONG.max)) for neg, vec_id in block.best(query_id, query, k)]
+                known = held.pop((row.q_ids, row.q_data), None) or [[] for _ in q_ids]
+                for at, (query_id, query) in enumerate(zip(q_ids.tolist(), queries, strict=True)):
+                    best = block.best(query_id, query, k, known[at][-1] if len(known[at]) == k else None)
+                    known[at] = sorted(known[at] + [-neg for neg, _ in best], reverse=True)[:k]
+                    out += [(query_id, vec_id, min(max(-neg, _LONG.min), _LONG.max)) for neg, vec_id in best]
+                held[row.q_ids, row.q_data] = known
+                if len(held) > HELD_BLOCKS:
+                    held.pop(next(iter(held)))
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return of
