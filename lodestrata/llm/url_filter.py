@@ -12,6 +12,7 @@ listed key however large the corpus is. Urls are then judged by expressions alon
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -57,6 +58,7 @@ class Bloom:
     bits: int
     hashes: int
     words: list[int]
+    column: Column | None = None
 
     @staticmethod
     def shape(n: int, rate: float) -> tuple[int, int]:
@@ -70,10 +72,11 @@ class Bloom:
         return [F.pmod(first.bitwiseAND(half) + F.lit(i) * second.bitwiseAND(half), F.lit(self.bits)) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
+        if self.column is None:  # one literal, folded into one array by the optimiser
+            self.column = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
         found = F.lit(True)
         for place in self.places(key):
-            found = found & (F.getbit(F.element_at(words, (F.floor(place / 64) + 1).cast("int")), (place % 64).cast("int")) == 1)
+            found = found & (F.getbit(F.element_at(self.column, (F.floor(place / 64) + 1).cast("int")), (place % 64).cast("int")) == 1)
         return found
 
     def fill(self, keys: DataFrame) -> Bloom:
@@ -96,8 +99,8 @@ class Cascade:
         """listed: the keys; universe: a table (key), repeats allowed, of every key that will be asked for."""
         if not listed:
             return cls([])
-        spark = universe.sparkSession
-        inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+        known = F.from_json(F.lit(json.dumps(sorted(set(listed)))), "array<string>")
+        inside = universe.sparkSession.range(1).select(F.explode(known).alias("key"))
         size = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
         here, n, levels, bits_left = inside, len(set(listed)), [], MOST_BITS
         there = None
@@ -110,7 +113,7 @@ class Cascade:
             bloom = Bloom(level, bits, hashes, [0] * (bits // 64)).fill(here)
             levels.append(bloom)
             if level == 0:
-                other = universe.where(bloom.has(F.col("key"))).distinct().where(~F.col("key").isin(*set(listed)))
+                other = universe.where(bloom.has(F.col("key"))).distinct().join(inside, "key", "left_anti")
             else:
                 other = there.where(bloom.has(F.col("key")))
             other = cut(other.select("key"), "keys")
@@ -150,7 +153,8 @@ def judge(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataFrame:
     Of the rules that fit, the longest (host and path together) wins, of equally long ones the first by
     code point; a key listed both ways is blocked. A url that no rule fits, a null one or one
     without :// gets a null rule and the verdict of the block list's cascade, not listed: `otherwise`.
-    Repeated rows and null page_ids give a row each; an empty table gives none; other columns are not read.
+    Repeated rows and null page_ids give a row each; an empty table gives none; a very long url is read whole; other columns are
+    not read, whatever their names.
     """
     rows = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
     shapes = keys_of(rules, F.col("host"), F.col("path"))
