@@ -401,7 +401,17 @@ def b13(spark, sf):
     return sampling.weighted_sample(t(spark, sf, "customer"), "c_acctbal", 50, 6, "c_custkey").select("c_custkey")
 
 
-@add("B14_farthest_points")
+def _farthest_sql(n: int) -> str:
+    """One CTE for each point chosen: the others with their distance to the nearest chosen one, and the farthest of them."""
+    d2 = "(m.x - c.x) * (m.x - c.x) + (m.y - c.y) * (m.y - c.y) + (m.z - c.z) * (m.z - c.z)"
+    ctes = ["m0 AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, CAST('infinity' AS DOUBLE) AS d FROM embeddings)", "c0 AS (SELECT * FROM m0 ORDER BY vec_id LIMIT 1)"]
+    for k in range(1, n):
+        ctes.append(f"m{k} AS (SELECT m.vec_id, m.x, m.y, m.z, least(m.d, {d2}) AS d FROM m{k - 1} m, c{k - 1} c WHERE m.vec_id <> c.vec_id)")
+        ctes.append(f"c{k} AS (SELECT * FROM m{k} ORDER BY d DESC, vec_id LIMIT 1)")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT vec_id, {k} AS nth FROM c{k}" for k in range(n))
+
+
+@add("B14_farthest_points", _farthest_sql(12))
 def b14(spark, sf):
     e = t(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xyz")])
     return sampling.farthest_points(e, "vec_id", ["x", "y", "z"], 12)

@@ -154,7 +154,9 @@ def m6(spark, sf):
     return learn.GraphConvolution(parts, 1).smooth(f, ["x"]).select("node", r("x").alias("x"))
 
 
-@add("M11_factor_posterior")
+@add("M11_factor_posterior", f"""WITH {POINTS}, a AS (SELECT 1 + sum(x * x) / 0.1 AS a, sum(x * y) / 0.1 AS b, 1 + sum(y * y) / 0.1 AS c, sum(x * z) / 0.1 AS p, sum(y * z) / 0.1 AS q FROM p)
+SELECT 0 AS factor, {R("(c * p - b * q) / (a * c - b * b)", 5)} AS mean, {R("c / (a * c - b * b)")} AS variance FROM a
+UNION ALL SELECT 1, {R("(a * q - b * p) / (a * c - b * b)", 5)}, {R("a / (a * c - b * b)")} FROM a""")
 def m11(spark, sf):
     p = points(spark, sf)
     mean, cov = learn.factor_posterior(p, ["x", "y"], ["z"], 0.1)
