@@ -49,8 +49,9 @@ def fill_holes(nodes: DataFrame) -> DataFrame:
     own = nodes.select(*[F.col(a).cast("long").alias(a) for a in AXES])
     box = own.agg(*[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
     span = [F.explode(F.sequence(f"lo_{a}", f"hi_{a}")) for a in AXES]
-    grid = box
-    for a, e in zip(AXES, span, strict=True):
+    # the box is one row: its first axis is dealt out before planes are laid out, so that no task lays out the whole
+    grid = box.withColumn(AXES[0], span[0]).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), AXES[0])
+    for a, e in zip(AXES[1:], span[1:], strict=True):
         grid = grid.withColumn(a, e)
     free = cut(grid.join(own, AXES, "left_anti"), "free")
     size = {a: F.col(f"hi_{a}") - F.col(f"lo_{a}") + 1 for a in AXES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +25,34 @@ def compute_or_load(spark: SparkSession, path: str, compute: Callable[[], DataFr
             return df
         except Exception as e:  # a corrupt table is computed again
             print(f"recomputing {path}: {type(e).__name__}")
-    compute().write.mode("overwrite").parquet(path)
+    publish(compute(), path)
     return spark.read.parquet(path)
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """Writes a table beside its place and moves it there once it is whole: a reader finds the old table or the new one, and a
+    run that fails leaves the old one. Works on any store of the session that can rename folders."""
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    at = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
+    store = at[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new)
+        if store.exists(at[path]):
+            store.rename(at[path], at[old])
+        if not store.rename(at[new], at[path]):
+            raise OSError(f"could not move {new} to {path}")
+    finally:
+        if store.exists(at[old]) and not store.exists(at[path]):
+            store.rename(at[old], at[path])
+        for p in (new, old):
+            store.delete(at[p], True)
+
+
 def write_reports(reports: dict[str, DataFrame], root: str, fmt: str = "csv") -> None:
-    """One table per report. Reports are small summaries, so each is one file."""
+    """One table per report. Reports are small summaries, so each is one file; they are worked out in parallel all the same."""
     for name, df in reports.items():
-        df.coalesce(1).write.mode("overwrite").option("header", "true").format(fmt).save(f"{root}/{name}")
+        df.repartition(1).write.mode("overwrite").option("header", "true").format(fmt).save(f"{root}/{name}")
 
 
 def write_volume(df: DataFrame, path: str, channel: str = "channel") -> None:

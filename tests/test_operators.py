@@ -311,3 +311,14 @@ def test_plane_projection_and_layout(spark):
     assert readers.swiss_roll(spark, 10).count() == 10 and readers.box_and_cylinder(spark, 50).where("label = 2").count() < 50
     sec = spark.createDataFrame([("m", 0.0, 1, 10), ("m", 1.0, 2, 20), ("m", 1.0, 3, 5), ("m", 3.0, 4, 10)], "m string, z double, id int, n int")
     assert [(r.id, r.next) for r in spatial.adjacent_pairs(sec, ["m"], "z", "id", "n", 100).orderBy("id").collect()] == [(1, 2), (3, 4)]
+
+
+def test_a_failed_run_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    sinks.publish(spark.range(3), path)
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.publish(broken, path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.publish(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir() if "table." in p.name] == []
