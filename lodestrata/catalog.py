@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_graph, q_relational, q_reports, q_stats, q_stream, q_volume
+from .plans import q_graph, q_relational, q_reports, q_sources, q_stats, q_stream, q_volume
 
-_MODULES = [q_reports, q_relational, q_graph, q_stats, q_volume, q_stream]
+_MODULES = [q_reports, q_relational, q_sources, q_graph, q_stats, q_volume, q_stream]
 
 
 def queries() -> dict:

@@ -31,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}-{name}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; it is cleared when the session's process ends."""
+    path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}-{name}"
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def cut_narrow(df: DataFrame, name: str = "part") -> DataFrame:
