@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, line_dedup, mixing, quality_crf, simhash_dedup, token_counts, tool_links, topk_search, url_filter
+from . import byte_bpe, embedding_dedup, line_dedup, mixing, quality_crf, secret_scan, simhash_dedup, token_counts, tool_links, topk_search, url_filter
 
-MODULES = [tool_links, line_dedup, mixing, quality_crf, topk_search, token_counts, byte_bpe, url_filter, simhash_dedup, embedding_dedup]
+MODULES = [tool_links, line_dedup, mixing, quality_crf, topk_search, token_counts, byte_bpe, url_filter, simhash_dedup, embedding_dedup, secret_scan]
 
 
 def queries() -> dict:
