@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, line_dedup, merkle_manifest, mixing, quality_crf, secret_scan, simhash_dedup, token_counts, tool_links, topk_search, url_filter
+from . import byte_bpe, conversation_trie, embedding_dedup, line_dedup, merkle_manifest, mixing, quality_crf, secret_scan, simhash_dedup, token_counts, tool_links, topk_search, url_filter
 
-MODULES = [tool_links, line_dedup, merkle_manifest, mixing, quality_crf, topk_search, token_counts, byte_bpe, url_filter, simhash_dedup, embedding_dedup, secret_scan, merkle_manifest]
+MODULES = [tool_links, line_dedup, merkle_manifest, mixing, quality_crf, topk_search, token_counts, byte_bpe, url_filter, simhash_dedup, embedding_dedup, secret_scan, conversation_trie, merkle_manifest]
 
 
 def queries() -> dict:
