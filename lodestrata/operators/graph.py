@@ -162,6 +162,36 @@ def geodesic(edges: DataFrame, sources: DataFrame, most: float, rounds: int | No
     return known
 
 
+def geodesic_knn(edges: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame:
+    """(source, node, d, rank): the k nodes nearest to every node along the edges (length sqrt d2), ties to smaller nodes; with
+    nodes (node, place), only those that stand before it in that order: the conditioning sets of a sequential factorisation.
+
+    A frontier search from all nodes at once. An entry goes on only while it is no farther than the k-th eligible node that its source has met, so
+    a source sees about k n / place nodes. Rounds end with the last improvement. Nodes that no path reaches are no neighbours.
+    """
+    both = cut(symmetric(edges.select("src", "dst", F.sqrt("d2").alias("len"))), "lengths")
+    places = both.select(F.col("src").alias("node")).distinct().withColumn("place", F.lit(0)) if nodes is None else nodes.select("node", "place")
+    places = cut(places, "places")
+    here, there = places.select(F.col("node").alias("source"), F.col("place").alias("_a")), places.select("node", F.col("place").alias("_b"))
+    fits = F.col("source") != F.col("node") if nodes is None else F.col("_b") < F.col("_a")
+    front = places.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"))
+    known = None
+    nearest = Window.partitionBy("source").orderBy("d", "node")
+    while True:
+        known = front if known is None else known.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d"))
+        known = cut(known, "known")
+        eligible = known.join(here, "source").join(there, "node").where(fits).select("source", "node", "d")
+        # row_number up to k is cut before the shuffle, so a source that has met many nodes sends few
+        best = cut(eligible.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "best")
+        bound = best.where(F.col("rank") == k).select("source", F.col("d").alias("most"))
+        step = front.join(both, front["node"] == both["src"]).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("len")).alias("d"))
+        step = step.groupBy("source", "node").agg(F.min("d").alias("d")).join(bound, "source", "left").where(F.col("most").isNull() | (F.col("d") <= F.col("most")))
+        old = known.select("source", "node", F.col("d").alias("old"))
+        front = cut(step.join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("source", "node", "d"), "front")
+        if front.isEmpty():
+            return best
+
+
 def border_distance(nodes: DataFrame, border: DataFrame, key: str, label: str, coords: list[str], cell: float) -> DataFrame:
     """(key, other, d2): the nearest border node of another label, found in growing cells."""
     from .spatial import radius_join
@@ -181,52 +211,6 @@ def border_distance(nodes: DataFrame, border: DataFrame, key: str, label: str, c
         cell *= 2
 
 
-def eigenpairs(entries: DataFrame, nodes: DataFrame, modes: int, most: int = 4000):
-    """(eigenvalues, node ids, vectors) of the smallest eigenvalues. Whole on the driver up to `most` nodes, an explicit bound; beyond it use
-    subspace_iteration."""
-    import numpy as np
-
-    ids = [r[0] for r in nodes.select("node").orderBy("node").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} nodes")
-    at = {n: k for k, n in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for r in entries.collect():
-        m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["v"]
-    lam, vec = np.linalg.eigh(m)
-    vec = vec[:, :modes] * np.sign(vec[np.abs(vec[:, :modes]).argmax(axis=0), np.arange(min(modes, len(ids)))])
-    return lam[:modes], ids, vec
-
-
-def subspace_iteration(entries: DataFrame, nodes: DataFrame, modes: int, shift: float, rounds: int = 30, seed: int = 0) -> tuple[list[float], DataFrame]:
-    """(eigenvalues, table (node, phi)): block subspace iteration on shift * I - L. A round is one join and one aggregation over
-    the edges for all modes at once; only modes x modes moments come to the driver."""
-    import numpy as np
-
-    both = cut(entries.unionByName(entries.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), "entries")
-    phi = cut(nodes.select("node", F.array(*[portable_hash_normal(seed, k) for k in range(modes)]).alias("phi")), "phi")
-    lam = [0.0] * modes
-    for _ in range(rounds):
-        x = phi.select(F.col("node").alias("j"), F.col("phi").alias("_p"))
-        prod = both.join(x, "j").groupBy("i").agg(*[F.sum(F.col("v") * F.col("_p")[k]).alias(f"_y{k}") for k in range(modes)])
-        y = cut(phi.join(prod, phi["node"] == prod["i"]).select("node", F.array(*[shift * F.col("phi")[k] - F.col(f"_y{k}") for k in range(modes)]).alias("y"), "phi"), "y")
-        g = y.agg(*[F.sum(F.col("y")[a] * F.col("y")[b]).alias(f"g{a}_{b}") for a in range(modes) for b in range(a, modes)], *[F.sum(F.col("phi")[a] * F.col("y")[b]).alias(f"h{a}_{b}") for a in range(modes) for b in range(modes)]).first()
-        gram = np.array([[g[f"g{min(a, b)}_{max(a, b)}"] for b in range(modes)] for a in range(modes)])
-        inv = np.linalg.inv(np.linalg.cholesky(gram + 1e-14 * np.eye(modes)))
-        lit = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inv])
-        phi = cut(y.select("node", F.transform(lit, lambda w: F.aggregate(F.zip_with(w, F.col("y"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("phi")), "phi")
-        h = np.array([[g[f"h{a}_{b}"] for b in range(modes)] for a in range(modes)])
-        lam = sorted(shift - float(v) for v in np.linalg.eigvalsh((h + h.T) / 2))
-    return lam, phi
-
-
-def portable_hash_normal(seed: int, k: int) -> Column:
-    """A roughly normal number from md5 of the node and a counter: a sum of four uniform ones."""
-    h = portable_hash(seed * 1000 + k, "node")
-    parts = [F.conv(F.substring(h, 1 + 8 * q, 8), 16, 10).cast("double") / 4294967296.0 - 0.5 for q in range(4)]
-    return parts[0] + parts[1] + parts[2] + parts[3]
-
-
 def build(neighbours: DataFrame, grid_edges: DataFrame | None = None) -> DataFrame:
     """The union of neighbour and grid edges, each once with its smallest d2."""
     e = edges_from(neighbours)
@@ -243,6 +227,30 @@ def contiguous(nodes: DataFrame, edges: DataFrame, key: str, label: str, least:
     return out.join(sizes, "component").select(key, label, "component", "n", (F.col("n") < least).alias("small"))
 
 
+def dissolve(nodes: DataFrame, edges: DataFrame, key: str, label: str, coords: list[str], least: int, share: float) -> DataFrame:
+    """(key, label, new_label, component, dissolved): components of equal labels survive with at least `least` nodes and the given share of
+    their label; where a label has none, its largest does (ties to the smaller root). Nodes of the others take the label of the nearest surviving node (ties to the
+    smaller one). new_label counts the labels that are left from 0, in order.
+    """
+    from .knn_tree import tree_knn
+
+    parts = cut(contiguous(nodes, edges, key, label, least).select(key, label, "component", "n"), "components")
+    sizes = parts.groupBy(label, "component").agg(F.max("n").alias("n"))
+    totals = sizes.groupBy(label).agg(F.sum("n").alias("_t"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("_m"))
+    judged = sizes.join(totals, label).withColumn("_need", F.greatest(F.floor(F.lit(share) * F.col("_t")), F.lit(least)))
+    alive = judged.where((F.col("n") >= F.col("_need")) | ((F.col("_m.n") < F.col("_need")) & (F.col("component") == -F.col("_m.c")))).select(F.col("component").alias("_alive"))
+    marked = cut(parts.join(alive, F.col("component") == F.col("_alive"), "left").select(key, label, "component", F.col("_alive").isNull().alias("dissolved")), "marked")
+    placed = nodes.select(key, *coords)
+    lost = placed.join(marked.where("dissolved").select(key), key)
+    kept = placed.join(marked.where(~F.col("dissolved")).select(key), key)
+    near = tree_knn(lost, kept, key, coords, 1).select(F.col("src").alias(key), F.col("dst").alias("_dst"))
+    given = near.join(marked.select(F.col(key).alias("_dst"), F.col(label).alias("_given")), "_dst").select(key, "_given")
+    out = cut(marked.join(given, key, "left").withColumn("_label", F.coalesce("_given", label)), "filled")
+    # as many rows as labels
+    compact = out.select("_label").distinct().withColumn("new_label", (F.row_number().over(Window.orderBy("_label")) - 1).cast("long"))
+    return out.join(compact, "_label").select(key, label, "new_label", "component", "dissolved")
+
+
 def precision_matvec(entries: DataFrame, vector: DataFrame, scale: float, nu: int, node: str = "node", value: str = "x") -> DataFrame:
     """(node, y): (2 nu / scale^2 I + L)^nu times a vector, for a whole nu."""
     now = vector.select(F.col(node).alias("node"), F.col(value).alias("x"))

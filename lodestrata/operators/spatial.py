@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
-
 
 def _cells(coords: list[str], cell: float) -> list[Column]:
     return [F.floor(F.col(c) / cell).cast("long").alias(f"_g{k}") for k, c in enumerate(coords)]
@@ -52,35 +50,6 @@ def snap(points: DataFrame, nodes: DataFrame, point_key: str, node_key: str, coo
     return best.select(point_key, F.col("b.node").alias("node"), F.col("b.d2").alias("d2"))
 
 
-def grid_knn(points: DataFrame, refs: DataFrame, key: str, coords: list[str], k: int, cell: float, same: bool = False) -> DataFrame:
-    """(src, dst, d2, rank) of the k nearest references of each point in few dimensions, exact, ties to smaller keys.
-
-    A point is settled when k neighbours lie within one cell's side; the others go on with doubled cells. Where
-    a cell has grown beyond the whole extent, what was found is everything there is.
-    """
-    left, found = points.select(key, *coords), None
-    box = refs.agg(*[(F.max(c) - F.min(c)).alias(c) for c in coords], *[F.max(F.abs(c)).alias(f"m_{c}") for c in coords]).first()
-    extent = max([float(box[c] or 0.0) for c in coords] + [2 * float(box[f"m_{c}"] or 0.0) for c in coords])
-    outer = points.agg(*[F.max(F.abs(c)).alias(c) for c in coords]).first()
-    extent += 2 * max(float(outer[c] or 0.0) for c in coords)
-    while True:
-        met = radius_join(left, refs.select(key, *coords), coords, cell)
-        if same:
-            met = met.where(F.col(f"l_{key}") != F.col(f"r_{key}"))
-        place = F.row_number().over(Window.partitionBy(f"l_{key}").orderBy("d2", f"r_{key}"))
-        near = met.withColumn("rank", place).where(F.col("rank") <= k).select(F.col(f"l_{key}").alias("src"), F.col(f"r_{key}").alias("dst"), "d2", "rank")
-        near = cut(near, "near")
-        last = cell > extent * len(coords)
-        settled = near if last else near.join(near.where(F.col("rank") == k).select("src"), "src", "left_semi")
-        found = settled if found is None else found.unionByName(settled)
-        if last:
-            return found
-        left = cut(left.join(settled.select(F.col("src").alias(key)).distinct(), key, "left_anti"), "left")
-        if left.isEmpty():
-            return found
-        cell *= 2
-
-
 def _pack(key: str, vector: str, size: int):
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import graph as g
-from ..operators import sampling, spatial, stats
+from ..operators import eigen, local_gp, sampling, spatial, stats
+from ..operators.knn_tree import tree_knn
 from .registry import Catalog, R, r, t
+from .shared import cut
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -68,7 +70,19 @@ def j15(spark, sf):
 @add("J16_z_weighted_knn", f"WITH {POINTS}, q AS (SELECT id, x, y, 3 * z AS z FROM p), d AS (SELECT a.id AS src, b.id AS dst, {PD2} AS d2 FROM q a, q b WHERE a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM d) SELECT src, dst, {R('d2', 5)} AS d2, rank FROM k WHERE rank <= 4")
 def j16(spark, sf):
     p = points(spark, sf).withColumn("z", 3 * F.col("z"))
-    return spatial.grid_knn(p, p, "id", ["x", "y", "z"], 4, 0.1, same=True).select("src", "dst", r("d2", 5).alias("d2"), F.col("rank").cast("bigint").alias("rank"))
+    return tree_knn(p, p, "id", ["x", "y", "z"], 4, same=True).select("src", "dst", r("d2", 5).alias("d2"), F.col("rank").cast("bigint").alias("rank"))
+
+
+ORDER_POINTS = "SELECT o_orderkey AS id, o_totalprice::DOUBLE / 1000 AS x, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE / 10 AS y, 3 * (o_custkey % 97)::DOUBLE AS z FROM orders"
+
+
+@add("J14_J16_knn_in_space", f"""WITH p AS ({ORDER_POINTS}), n AS (SELECT a.id AS src, unnest(min({{'d2': {PD2}, 'dst': b.id}}, 15)) AS e FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id)
+SELECT src, e.dst AS dst, {R('e.d2')} AS d2 FROM n""")
+def knn_in_space(spark, sf):
+    o = t(spark, sf, "orders")
+    day = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1995-01-01")))
+    p = o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("x"), (day / 10).alias("y"), (3 * (F.col("o_custkey") % 97)).cast("double").alias("z"))
+    return tree_knn(p, p, "id", ["x", "y", "z"], 15, same=True).select("src", "dst", r("d2").alias("d2"))
 
 
 @add("W15_preceding_neighbours", f"WITH {knn_sql('b.vec_id < a.vec_id', 3)} SELECT src, dst, rank FROM knn")
@@ -237,8 +251,6 @@ c(bw, a, b) AS (SELECT bw, vec_id, vec_id FROM embeddings, (VALUES (0.25), (0.3)
 m AS (SELECT bw, a, min(b) AS root FROM c GROUP BY 1, 2), z AS (SELECT bw, root, count(*) AS n FROM m GROUP BY 1, 2)
 SELECT {R("bw")} AS bw, count(*) AS n_components, {R("max(n) * 1.0 / sum(n)")} AS largest_share, {R("count(*) FILTER (n = 1) * 1.0 / sum(n)")} AS isolated_share FROM z GROUP BY bw""")
 def g16(spark, sf):
-    from .shared import cut
-
     e = cut(edges(spark, sf), "edges")
     out = g.connectivity(vectors(spark, sf).select(F.col("vec_id").alias("node")), e, [0.25, 0.3], 0.1)
     return out.select(r("bw").alias("bw"), "n_components", r("largest_share").alias("largest_share"), r("isolated_share").alias("isolated_share"))
@@ -295,12 +307,55 @@ def g26(spark, sf):
 
 @add("G9_G31_eigenpairs")
 def g9(spark, sf):
-    from .shared import cut
-
+    """The six smallest eigenpairs of the graph Laplacian with their residuals; orthonormal is the same in every row."""
     parts = g.laplacian(cut(edges(spark, sf), "edges"), BW)
-    entries = cut(g.laplacian_entries(parts, BW), "entries")
-    lam, _, _ = g.eigenpairs(entries, parts["nodes"], 6)
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(lam)], "mode int, eigenvalue double")
+    pairs, vectors_ = eigen.smallest(cut(g.laplacian_entries(parts, BW), "entries"), 6)
+    straight = eigen.orthonormality_error(vectors_) < 1e-9
+    return spark.createDataFrame([(p["mode"], round(p["eigenvalue"], 6) + 0.0, p["residual"] < 1e-6, straight) for p in pairs], "mode int, eigenvalue double, residual_under_1e6 boolean, orthonormal boolean")
+
+
+GEODESIC = f"""RECURSIVE {EDGES}, w AS (SELECT src, dst, sqrt(d2) AS len FROM e UNION ALL SELECT dst, src, sqrt(d2) FROM e UNION ALL SELECT vec_id, vec_id, 0.0 FROM embeddings),
+walk(step, a, b, d) AS (SELECT 0, vec_id, vec_id, 0.0::DOUBLE FROM embeddings
+  UNION ALL SELECT step + 1, a, w.dst, min(d + len) FROM walk JOIN w ON w.src = walk.b WHERE step < 30 GROUP BY step, a, w.dst)"""
+
+
+def geodesic_sql(where: str) -> str:
+    return f"WITH {GEODESIC} SELECT * FROM (SELECT a AS source, b AS node, {R('d', 5)} AS d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM walk WHERE step = 30 AND {where}) WHERE rank <= 5"
+
+
+@add("G18_geodesic_knn", geodesic_sql("a <> b"))
+def g18_knn(spark, sf):
+    return g.geodesic_knn(cut(edges(spark, sf), "edges"), 5).select("source", "node", r("d", 5).alias("d"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@add("G18_geodesic_preceding", geodesic_sql("b < a"))
+def g18_preceding(spark, sf):
+    order = vectors(spark, sf).select(F.col("vec_id").alias("node"), F.col("vec_id").alias("place"))
+    return g.geodesic_knn(cut(edges(spark, sf), "edges"), 5, order).select("source", "node", r("d", 5).alias("d"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@add("G19_dissolved_parcels", f"""WITH RECURSIVE {VOX}, e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.region = b.region AND a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+c(a, b) AS (SELECT id, id FROM n UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), m AS (SELECT a AS id, min(b) AS component FROM c GROUP BY a),
+size AS (SELECT region, component, count(*) AS n FROM m JOIN n USING (id) GROUP BY ALL), need AS (SELECT region, greatest(floor(0.15 * sum(n)), 3) AS need, max(n) AS most FROM size GROUP BY region),
+alive AS (SELECT component FROM size JOIN need USING (region) WHERE n >= need UNION SELECT min(component) FROM size JOIN need USING (region) WHERE n = most AND most < need GROUP BY region),
+j AS (SELECT n.id, n.region, n.x, n.y, n.z, component, component NOT IN (SELECT component FROM alive) AS dissolved FROM m JOIN n USING (id)),
+near AS (SELECT a.id, min({{'d2': {PD2}, 'id': b.id}}).id AS dst FROM j a, j b WHERE a.dissolved AND NOT b.dissolved GROUP BY a.id),
+f AS (SELECT j.*, coalesce(k.region, j.region) AS label FROM j LEFT JOIN near USING (id) LEFT JOIN j k ON k.id = near.dst)
+SELECT id, region, dense_rank() OVER (ORDER BY label) - 1 AS new_label, component, dissolved FROM f""")
+def g19_dissolved(spark, sf):
+    v = cut(voxels(spark, sf), "voxels")
+    e = spatial.adjacency(v, "id", ["x", "y", "z"], spatial.half_neighbourhood(3))
+    return g.dissolve(v, e, "id", "region", ["x", "y", "z"], 3, 0.15).select("id", "region", "new_label", "component", "dissolved")
+
+
+@add("M10_nearest_neighbour_gp")
+def m10(spark, sf):
+    """Two channels over three coordinates: every fifth row is predicted from the fifteen nearest others, with settings of the highest likelihood."""
+    p = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(["x", "y", "z", "a", "b"])])
+    train, new, xyz = cut(p.where("id % 5 <> 0"), "train"), p.where("id % 5 = 0"), ["x", "y", "z"]
+    fitted = local_gp.fit(train, local_gp.preceding(train, "id", xyz, 15), "id", xyz, ["a", "b"], [0.05, 0.2, 0.8], [0.1, 1.0])
+    near = tree_knn(new, train, "id", xyz, 15)
+    return local_gp.predict(new, near, train, "id", xyz, fitted).select("id", "channel", r("mean", 5).alias("mean"), r("variance", 5).alias("variance"))
 
 
 @add("G6_label_nodes", f"WITH {VOX} SELECT n.id, coalesce(r_name, 'none') AS label FROM n LEFT JOIN region ON r_regionkey = n.region AND r_regionkey <> 3")

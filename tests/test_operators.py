@@ -116,15 +116,6 @@ def brute_knn(p, k):
     return out
 
 
-@pytest.mark.parametrize("cell", [0.05, 1.0, 50.0])
-def test_grid_knn_equals_brute_force(spark, cell):
-    rng = np.random.default_rng(0)
-    p = np.vstack([rng.normal(size=(60, 3)), rng.integers(0, 3, (20, 3)), [[90.0, 0, 0]]])  # clusters, ties and an outlier
-    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, x double, y double, z double")
-    got = {(r.src, r.dst) for r in spatial.grid_knn(df, df, "id", ["x", "y", "z"], 4, cell, same=True).collect()}
-    assert got == brute_knn(p, 4)
-
-
 def test_vector_knn_and_radius(spark):
     rng = np.random.default_rng(1)
     p = rng.integers(0, 3, (70, 6)).astype(float)
@@ -179,13 +170,13 @@ def test_graph_properties(spark):
     one = graph.random_walk(parts, df.select(F.col("id").alias("node"), F.lit(1.0).alias("x")))
     assert all(abs(r.y - 1) < 1e-9 for r in one.collect())
     entries = graph.laplacian_entries(parts, 0.8)
-    lam, ids, vec = graph.eigenpairs(entries, parts["nodes"], 4)
-    assert abs(lam[0]) < 1e-9
-    m = graph.matvec(entries, spark.createDataFrame([(int(n), float(v)) for n, v in zip(ids, vec[:, 2], strict=True)], "node long, x double"))
-    got = {r.node: r.y for r in m.collect()}
-    assert all(abs(got[n] - lam[2] * v) < 1e-8 for n, v in zip(ids, vec[:, 2], strict=True))
-    sub, _ = graph.subspace_iteration(entries, parts["nodes"], 2, shift=2.0 / 0.64, rounds=6)
-    assert abs(sub[0]) < 0.2
+    x = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=40))], "node long, x double")
+    whole = np.zeros((40, 40))
+    for r in entries.collect():
+        whole[r.i, r.j] = whole[r.j, r.i] = r.v
+    got = {r.node: r.y for r in graph.matvec(entries, x).collect()}
+    want = whole @ np.array([r.x for r in x.orderBy("node").collect()])
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(40))
 
 
 def test_votes_bridges_and_parcels(spark):
