@@ -127,12 +127,14 @@ def p11(spark, sf):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 0).alias("n_positive"), r(F.avg(F.when(F.col("value") > 0, F.ln("value")))).alias("log_mean"))
 
 
-@add("P19_config_grid", "SELECT DISTINCT metric || '-' || CASE WHEN metric = 'geo' THEN 'all' ELSE CAST(m AS VARCHAR) END || '-' || s AS slug FROM (VALUES ('geo'), ('spectral')) a(metric), (VALUES (10), (50)) b(m), (VALUES (2), (4)) c(s)")
+@add("P19_config_grid", """SELECT DISTINCT metric || '-' || CASE WHEN metric = 'N' THEN 'all' ELSE CAST(m AS VARCHAR) END || '-' || s AS slug
+FROM (SELECT DISTINCT l_returnflag AS metric FROM lineitem), (SELECT DISTINCT l_linenumber AS m FROM lineitem), (SELECT DISTINCT l_linestatus AS s FROM lineitem)""")
 def p19(spark, sf):
-    a, b, c = (spark.createDataFrame([(v,) for v in vs], f"{n} {ty}") for n, ty, vs in (("metric", "string", ["geo", "spectral"]), ("m", "int", [10, 50]), ("s", "int", [2, 4])))
-    grid = a.crossJoin(b).crossJoin(c)  # a handful of options
-    m = F.when(F.col("metric") == "geo", F.lit("all")).otherwise(F.col("m").cast("string"))
-    return grid.select(F.concat_ws("-", "metric", m, F.col("s").cast("string")).alias("slug")).distinct()
+    li = t(spark, sf, "lineitem")
+    a, b, c = (li.select(F.col(column).alias(name)).distinct() for column, name in (("l_returnflag", "metric"), ("l_linenumber", "m"), ("l_linestatus", "s")))
+    grid = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # options: a handful of values each
+    m = F.when(F.col("metric") == "N", F.lit("all")).otherwise(F.col("m").cast("string"))
+    return grid.select(F.concat_ws("-", "metric", m, "s").alias("slug")).distinct()
 
 
 @add(
@@ -222,15 +224,15 @@ def f10(spark, sf):
 
 @add(
     "F12_F13_F14_F15_F16_kernels",
-    f"""WITH d AS (SELECT k / 10.0 AS d FROM range(0, 40) g(k))
-SELECT {R("d")} AS d, {R("exp(-d * d / (4 * 0.25))")} AS heat, {R("exp(-d * d / (2 * 0.25))")} AS gauss, {R("CASE WHEN d < 2 THEN exp(0.5 / (d * d - 4) + 0.5 / 4) ELSE 0 END")} AS bump,
+    f"""WITH d AS (SELECT o_orderkey, o_totalprice / 125000 AS d FROM orders)
+SELECT o_orderkey, {R("exp(-d * d / (4 * 0.25))")} AS heat, {R("exp(-d * d / (2 * 0.25))")} AS gauss, {R("CASE WHEN d < 2 THEN exp(0.5 / (d * d - 4) + 0.5 / 4) ELSE 0 END")} AS bump,
   {R("exp(-d / 0.7)")} AS m12, {R("(1 + d / 0.7 * sqrt(3)) * exp(-d / 0.7 * sqrt(3))")} AS m32, {R("(1 + d / 0.7 * sqrt(5) + power(d / 0.7 * sqrt(5), 2) / 3) * exp(-d / 0.7 * sqrt(5))")} AS m52,
   {R("power(2 * 1.5 / 0.49 + d, -1.5)")} AS spec, {R("exp(-d * d / 1.5)")} AS med FROM d""",
 )
 def f12(spark, sf):
     d = F.col("d")
-    rows = spark.range(40).select((F.col("id") / 10.0).alias("d"))
-    return rows.select(r("d").alias("d"), r(x.heat(d * d, 0.5)).alias("heat"), r(x.gaussian(d * d, 0.5)).alias("gauss"), r(x.bump("d", 2.0, 0.5)).alias("bump"), *[r(x.matern("d", 0.7, nu)).alias(n) for nu, n in ((0.5, "m12"), (1.5, "m32"), (2.5, "m52"))], r(x.spectral_density("d", 0.7, 1.5)).alias("spec"), r(x.median_affinity(d * d, F.lit(1.5))).alias("med"))
+    rows = t(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 125000).alias("d"))
+    return rows.select("o_orderkey", r(x.heat(d * d, 0.5)).alias("heat"), r(x.gaussian(d * d, 0.5)).alias("gauss"), r(x.bump("d", 2.0, 0.5)).alias("bump"), *[r(x.matern("d", 0.7, nu)).alias(n) for nu, n in ((0.5, "m12"), (1.5, "m32"), (2.5, "m52"))], r(x.spectral_density("d", 0.7, 1.5)).alias("spec"), r(x.median_affinity(d * d, F.lit(1.5))).alias("med"))
 
 
 @add("F17_fold_midline", f"SELECT s_suppkey, {R('abs(s_acctbal - 2500)')} AS folded FROM supplier")
@@ -288,14 +290,17 @@ def f36(spark, sf):
 
 @add(
     "F37_F38_diffusion_schedule",
-    f"""WITH b AS (SELECT t, 1e-4 + (0.02 - 1e-4) * t / 99.0 AS beta FROM range(100) g(t)), a AS (SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS abar FROM b)
-SELECT t, {R("beta", 8)} AS beta, {R("abar", 8)} AS abar, {R("beta * (1 - coalesce(lag(abar) OVER (ORDER BY t), 1)) / (1 - abar)", 8)} AS posterior, {R("sqrt(abar) * 2 + 0.5 + sqrt(1 - abar) * 0.1", 8)} AS noised FROM a""",
+    f"""WITH b AS (SELECT t, 1e-4 + (0.02 - 1e-4) * t / 99.0 AS beta FROM range(100) g(t)), a AS (SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS abar FROM b),
+p AS (SELECT t, beta, abar, beta * (1 - coalesce(lag(abar) OVER (ORDER BY t), 1)) / (1 - abar) AS posterior FROM a)
+SELECT c_custkey, {R("beta", 8)} AS beta, {R("posterior", 8)} AS posterior, {R("sqrt(abar) * c_acctbal / 1000 + c_nationkey / 25 + sqrt(1 - abar) * (c_custkey % 7 - 3)", 5)} AS noised FROM customer JOIN p ON t = c_custkey % 100""",
 )
 def f37(spark, sf):
     from ..operators.stats import ddpm_schedule
 
-    noised = F.sqrt("abar") * 2 + 0.5 + F.sqrt(1 - F.col("abar")) * 0.1
-    return ddpm_schedule(spark, 100, 1e-4, 0.02).select("t", r("beta", 8).alias("beta"), r("abar", 8).alias("abar"), r("posterior", 8).alias("posterior"), r(noised, 8).alias("noised"))
+    steps = F.broadcast(ddpm_schedule(spark, 100, 1e-4, 0.02))  # a hundred rows, set by the schedule
+    met = t(spark, sf, "customer").withColumn("t", F.col("c_custkey") % 100).join(steps, "t")
+    noised = F.sqrt("abar") * F.col("c_acctbal") / 1000 + F.col("c_nationkey") / 25 + F.sqrt(1 - F.col("abar")) * (F.col("c_custkey") % 7 - 3)
+    return met.select("c_custkey", r("beta", 8).alias("beta"), r("posterior", 8).alias("posterior"), r(noised, 5).alias("noised"))
 
 
 @add("J3_join_on_grid_index", f"WITH a AS (SELECT k, k * 0.01 AS bw FROM range(1, 9) g(k)), b AS (SELECT k, count(*) AS n FROM (SELECT o_orderkey % 12 AS k FROM orders) GROUP BY k) SELECT a.k, {R('bw')} AS bw, n FROM a JOIN b ON a.k = b.k")

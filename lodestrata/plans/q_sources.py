@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learn
+from ..operators import learn, metrics
 from ..sources import readers, sinks
 from .registry import Catalog, R, r, t
 from .shared import scratch
@@ -49,6 +49,12 @@ def k5(spark, sf):
     return spark.range(1).select(F.lit(same[0]).alias("orders_have_lines"), F.lit(same[1]).alias("customers_have_orders"), F.lit(same[2]).alias("nations_fill_regions"))
 
 
-@add("U1_learners", "SELECT unnest([" + ", ".join(f"'{n}'" for n in sorted(learn.REGISTRY)) + "]) AS learner")
+@add("U1_learners", f"""WITH a AS (SELECT count(*) AS n, stddev_pop(l_extendedprice) AS s, corr(l_extendedprice, l_quantity) AS c FROM lineitem)
+SELECT 'mean' AS learner, n, {R("s", 3)} AS rmse FROM a UNION ALL SELECT 'ridge', n, {R("s * sqrt(1 - c * c)", 3)} FROM a""")
 def u1(spark, sf):
-    return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in learn.REGISTRY])).alias("learner"))
+    """Learners by their registered names under one contract, fitted to all rows and scored on them."""
+    li, out = t(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), []
+    for name, model in (("mean", learn.REGISTRY["mean"]()), ("ridge", learn.REGISTRY["ridge"](0.0))):
+        scored = metrics.score(model.fit(li, ["l_quantity"], "l_extendedprice").predict(li), [], "l_extendedprice", "prediction")
+        out.append(scored.select(F.lit(name).alias("learner"), "n", r("rmse", 3).alias("rmse")))
+    return out[0].unionByName(out[1])

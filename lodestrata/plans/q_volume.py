@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import graph as g
-from ..operators import grouped, learn, metrics, sampling, spatial, volume
+from ..operators import grouped, learn, metrics, sampling, spatial, transport, volume
 from .q_graph import BW, EDGES, LAP, POINTS, SYM, edges, points, vectors
 from .registry import Catalog, R, i, r, t
 from .shared import cut
@@ -194,3 +194,22 @@ def m12(spark, sf):
     p = points(spark, sf).select("id", *[(F.col(c) + 0.5).alias(c) for c in "xyz"], (F.col("x") * 2 - F.col("y")).alias("target"))
     model = learn.HashField((4, 8), 512, 4).fit(p, "id", ["x", "y", "z"], "target")
     return metrics.score(model.predict(p), [], "target", "prediction").select("n", r("rmse", 2).alias("rmse"))
+
+
+STEPS = 60
+
+
+@add("M12_section_transport", f"""WITH RECURSIVE p AS (SELECT c_nationkey AS s, c_custkey AS id, c_acctbal / 5000 AS x, (c_custkey % 53) / 25.0 AS y, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+w(step, s, i, j, c, na, nb, u, v) AS (
+  SELECT 0, a.s, a.id, b.id, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 2.0, a.n, b.n, 0.0::DOUBLE, 0.0::DOUBLE FROM p a JOIN p b ON b.s = a.s + 1
+  UNION ALL SELECT step + 1, s, i, j, c, na, nb, u, -ln(sum(exp(u - c) / na) OVER (PARTITION BY s, j)) FROM (
+    SELECT step, s, i, j, c, na, nb, -ln(sum(exp(v - c) / nb) OVER (PARTITION BY s, i)) AS u FROM w WHERE step < {STEPS})),
+m AS (SELECT w.s, i, sum(exp(u + v - c) / na / nb) AS mass, sum(exp(u + v - c) / na / nb * c) * 2.0 AS cost, sum(exp(u + v - c) / na / nb * x) AS y0, sum(exp(u + v - c) / na / nb * y) AS y1
+  FROM w JOIN p ON p.id = j WHERE step = {STEPS} GROUP BY w.s, i)
+SELECT s AS section, i AS id, {R("cost * 1000", 3)} AS cost, {R("y0 / mass", 4)} AS x, {R("y1 / mass", 4)} AS y FROM m""")
+def m12_transport(spark, sf):
+    """Every customer's place in the next nation's section, under the plans between all neighbouring sections."""
+    p = t(spark, sf, "customer").select("c_nationkey", "c_custkey", (F.col("c_acctbal") / 5000).alias("x"), ((F.col("c_custkey") % 53) / 25.0).alias("y"))
+    pairs = p.select(F.col("c_nationkey").alias("a")).distinct().select("a", (F.col("a") + 1).alias("b"))
+    solved = transport.Transport(p, "c_nationkey", "c_custkey", ["x", "y"], pairs, 2.0, tolerance=1e-9).carried()
+    return solved.select(F.col("a").alias("section"), F.col("key").alias("id"), r(F.col("cost") * 1000, 3).alias("cost"), r("y0", 4).alias("x"), r("y1", 4).alias("y"))
