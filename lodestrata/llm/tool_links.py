@@ -86,7 +86,8 @@ def references(arguments: Column) -> Column:
 
     written = F.to_json(F.try_parse_json(arguments))
     all_ = F.transform(F.array(_pieces(written)), found)[0]
-    return F.when(arguments.contains("ref"), F.coalesce(F.array_distinct(F.filter(all_, lambda x: x.isNotNull())), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    # asked of the parsed text, where a name is written in one way however it was escaped
+    return F.when(written.contains('"$ref"'), F.coalesce(F.array_distinct(F.filter(all_, lambda x: x.isNotNull())), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
 
 
 def dialogue_events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,19 +125,23 @@ def errors_of(name: Column, arguments: Column, schemas: dict) -> Column:
     for tool, fields in schemas.items():
         wrong = []
         for field, rule in fields.items():
-            kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
-            here = kind.isNotNull()
-            wrong.append(F.when(here & ~kind.rlike(f"^({_TYPES[rule['type']]})$"), F.lit(f"{field}: not a {rule['type']}")))
+            place = "$['" + field + "']"  # quoted, so that a name with a dot is one name
+            kind = F.schema_of_variant(F.try_variant_get(value, place, "variant"))
+            here, number = kind.isNotNull(), F.try_variant_get(value, place, "double")
+            fits = kind.rlike(f"^({_TYPES[rule['type']]})$")
+            if rule["type"] == "integer":  # by value: 1.0 is one, and so are whole numbers beyond 64 bits
+                fits = fits | (kind.rlike(f"^({_TYPES['number']})$") & (number % 1 == 0))
+            wrong.append(F.when(here & ~fits, F.lit(f"{field}: not a {rule['type']}")))
             if rule.get("required"):
                 wrong.append(F.when(~here, F.lit(f"{field}: missing")))
-            text, number = F.try_variant_get(value, f"$.{field}", "string"), F.try_variant_get(value, f"$.{field}", "double")
+            text = F.try_variant_get(value, place, "string")
             bounds = [("minLength", F.length(text), "short"), ("maxLength", F.length(text), "long"), ("minimum", number, "small"), ("maximum", number, "large")]
             for bound, size, what in bounds:
                 if bound in rule:
                     beyond = size < rule[bound] if bound.startswith("min") else size > rule[bound]
                     wrong.append(F.when(here & beyond, F.lit(f"{field}: too {what}")))
             if "enum" in rule:
-                wrong.append(F.when(here & ~F.try_variant_get(value, f"$.{field}", "string").isin(rule["enum"]), F.lit(f"{field}: not allowed")))
+                wrong.append(F.when(here & ~text.isin(rule["enum"]), F.lit(f"{field}: not allowed")))
         others = F.transform(F.array_sort(F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, fields)))), lambda k: F.concat(k, F.lit(": not known")))
         found = F.concat(F.filter(F.array(*wrong), lambda w: w.isNotNull()), F.coalesce(others, F.array().cast("array<string>")))
         known = F.when(name == tool, found).otherwise(known)
