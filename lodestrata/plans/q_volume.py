@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import graph as g
-from ..operators import grouped, learn, metrics, sampling, spatial, transport, volume
+from ..operators import enhance, experts, grouped, guard, learn, metrics, sampling, sparse_gp, spatial, transport, volume
 from .q_graph import BW, EDGES, LAP, POINTS, SYM, edges, points, vectors
 from .registry import Catalog, R, i, r, t
 from .shared import cut
@@ -213,3 +213,41 @@ def m12_transport(spark, sf):
     pairs = p.select(F.col("c_nationkey").alias("a")).distinct().select("a", (F.col("a") + 1).alias("b"))
     solved = transport.Transport(p, "c_nationkey", "c_custkey", ["x", "y"], pairs, 2.0, tolerance=1e-9).carried()
     return solved.select(F.col("a").alias("section"), F.col("key").alias("id"), r(F.col("cost") * 1000, 3).alias("cost"), r("y0", 4).alias("x"), r("y1", 4).alias("y"))
+
+
+@add("G29_pattern_enhancement")
+def g29_patterns(spark, sf):
+    """Every order's two channels in the images of its section, enhanced in both ways."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey", F.dayofyear("o_orderdate").cast("double").alias("a"), (F.col("o_orderkey") % 101).cast("double").alias("b"))
+    shown = lambda mode: enhance.enhance(o, "o_orderpriority", "o_totalprice", "o_custkey", ["a", "b"], 64, mode).select("o_orderkey", F.lit(mode).alias("mode"), r("a", 5).alias("a"), r("b", 5).alias("b"))
+    return shown("envelope").unionByName(shown("anti-leakage"))
+
+
+@add("K16_bad_row_guard", """WITH b AS (SELECT l_linenumber AS batch, count(*) AS n, count(*) FILTER (l_discount = 0) AS bad FROM lineitem GROUP BY 1),
+g AS (SELECT *, bad > 0.09 * n AS fails, sum(CASE WHEN bad > 0.09 * n THEN 0 ELSE 1 END) OVER (ORDER BY batch) AS run FROM b)
+SELECT batch, n, bad, CASE WHEN fails THEN sum(CASE WHEN fails THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY batch) ELSE 0 END AS streak FROM g""")
+def k16(spark, sf):
+    """Line items batch by batch; rows whose logarithm of the discount is missing are bad, and batches with more than 9 % of them."""
+    li = t(spark, sf, "lineitem").select("l_linenumber", F.ln("l_discount").alias("v"))
+    watch, rows = guard.Guard(["v"], share=0.09), []
+    for (batch,) in sorted(li.select("l_linenumber").distinct().collect()):  # seven batches
+        watch.watch(li.where(F.col("l_linenumber") == batch)).write.format("noop").mode("overwrite").save()
+        seen = watch.settle()
+        rows.append((batch, seen["n"], seen["bad"], seen["streak"]))
+    return spark.createDataFrame(rows, "batch long, n long, bad long, streak long")
+
+
+@add("M17_sparse_tasks")
+def m17(spark, sf):
+    """Two tasks over three coordinates with 64 inducing points drawn by hash; every row's posterior."""
+    p = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(["x", "y", "z", "a", "b"])])
+    inducing = [tuple(row) for row in p.orderBy(x.portable_hash(0, "id"), "id").select("x", "y", "z").limit(64).collect()]
+    model = sparse_gp.SparseTasks(inducing, [0.2, 0.2, 0.4], [0.02, 0.02], [0.01, 0.01]).fit(p, ["x", "y", "z"], ["a", "b"])
+    return model.predict(p, "id").select("id", "task", r("mean", 5).alias("mean"), r("variance", 5).alias("variance"))
+
+
+@add("M8_fitted_experts")
+def m8_fitted(spark, sf):
+    """Four experts for the price of an order, fitted to all orders; every order's prediction."""
+    o = t(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") / 1000).alias("a"), (F.dayofyear("o_orderdate") / 100).alias("b"), (F.col("o_totalprice") / 100000).alias("y"))
+    return experts.MixtureOfExperts(4, rounds=8).fit(o, ["a", "b"], "y").predict(o).select("o_orderkey", r("prediction", 4).alias("prediction"))
