@@ -211,6 +211,22 @@ def border_distance(nodes: DataFrame, border: DataFrame, key: str, label: str, c
         cell *= 2
 
 
+def border_field(nodes: DataFrame, distances: DataFrame, key: str, label: str, scale: float, share: float = 0.95) -> DataFrame:
+    """(key, label, other, d, z, rel) for border_distance()'s table: the distance in units of `scale`, its z-score over all nodes, and
+    its part of the label's percentile, at most 1. A node without any other label has no distance. Only one row a label is joined back."""
+    d = nodes.select(key, label).join(distances, key, "left").withColumn("d", F.sqrt("d2") * scale)
+    d = cut(d.select(key, label, "other", "d"), "border-field")
+    whole = d.agg(F.avg("d").alias("_mean"), F.stddev_pop("d").alias("_std"))
+    parts = d.groupBy(F.col(label).alias("_l")).agg(F.percentile("d", F.lit(share)).alias("_p"))
+    met = d.join(parts, F.col(label).eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(whole))
+    return met.select(key, label, "other", "d", ((F.col("d") - F.col("_mean")) / (F.col("_std") + 1e-8)).alias("z"), F.least(F.greatest(F.col("d") / F.greatest("_p", F.lit(1e-8)), F.lit(0.0)), F.lit(1.0)).alias("rel"))
+
+
+def border_summary(field: DataFrame, label: str, scale: float) -> DataFrame:
+    """(mean, most, adjacent, labels): of a border_field(); adjacent is the share of nodes within one unit of `scale`."""
+    return field.agg(F.avg("d").alias("mean"), F.max("d").alias("most"), F.avg((F.col("d") <= scale).cast("double")).alias("adjacent"), F.countDistinct(label).alias("labels"))
+
+
 def build(neighbours: DataFrame, grid_edges: DataFrame | None = None) -> DataFrame:
     """The union of neighbour and grid edges, each once with its smallest d2."""
     e = edges_from(neighbours)

@@ -68,12 +68,30 @@ def score_z(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pr
 
 
 def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """keys, spearman: correlation of average ranks; null where all values of a side are equal."""
-    narrow = cut(pairs.select(*keys, y, p), "pairs")  # read by the splits, too
-    ranked = average_ranks(narrow, keys, {y: "_ry", p: "_rp"})
-    spread = [F.min("_ry") < F.max("_ry"), F.min("_rp") < F.max("_rp")]
-    sums = ranked.groupBy(*keys).agg(F.covar_pop("_ry", "_rp").alias("c"), F.stddev_pop("_ry").alias("a"), F.stddev_pop("_rp").alias("b"), (spread[0] & spread[1]).alias("varies"))
-    return sums.select(*keys, F.when(F.col("varies"), ratio("c", F.nullif(F.col("a") * F.col("b"), F.lit(0.0)))).alias("spearman"))
+    """keys, spearman: correlation of average ranks; null where all values of a side are equal.
+
+    No row is ranked: each distinct value of a key is counted, its rank follows from the counts before it, and moments are weighted by counts. A value
+    that many rows hold is one row by partial aggregation.
+    """
+    narrow = cut(pairs.select(*keys, y, p), "pairs")
+    left, right = _value_ranks(narrow, keys, y, "_ry"), _value_ranks(narrow, keys, p, "_rp")
+    spread = lambda ranks, r, name: ranks.groupBy(*keys).agg(F.sum(F.col("_n") * F.col(r) * F.col(r)).alias(name))
+    sides = _null_safe(spread(left, "_ry", "_a"), spread(right, "_rp", "_b"), keys)
+    by_p = _null_safe(narrow, left.select(*keys, y, "_ry"), [*keys, y]).groupBy(*keys, p).agg(F.sum("_ry").alias("_s"))
+    met = _null_safe(by_p, right.select(*keys, p, "_rp"), [*keys, p]).groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_rp")).alias("_c"))
+    return _null_safe(sides, met, keys).select(*keys, F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / F.sqrt(F.col("_a") * F.col("_b"))).alias("spearman"))
+
+
+def _value_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, value, _n, name: every distinct value of a key, how many rows hold it, and their average rank less the key's mean rank. Nulls come
+    first, NaN last."""
+    from .bins import global_rank
+
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = cut(global_rank(counts, [*keys, value], "_place", running={"_upto": "_n"}), "values")
+    spans = ranked.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"), F.sum("_n").alias("_all"))
+    rank = F.col("_upto") - F.col("_n") - F.col("_base") + (F.col("_n") + 1) / 2.0 - (F.col("_all") + 1) / 2.0
+    return _null_safe(ranked, spans, keys).select(*keys, value, "_n", rank.alias(name))
 
 
 def average_ranks(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product
+from itertools import product, repeat
 
 import numpy as np
 import pandas as pd
@@ -50,53 +50,83 @@ def snap(points: DataFrame, nodes: DataFrame, point_key: str, node_key: str, coo
     return best.select(point_key, F.col("b.node").alias("node"), F.col("b.d2").alias("d2"))
 
 
-def _pack(key: str, vector: str, size: int):
+def _pack(key: str, vector: str, size: int, by_lane: bool = False):
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
+        lane = None
         for f in frames:
-            for row in zip(f["key"], f["label"], f["vector"], strict=True):
-                held.append(row)
-                if len(held) == size:
-                    yield _block(held)
+            for row in zip(f["key"], f["label"], f["vector"], f["lane"] if by_lane else repeat(None), strict=False):
+                if held and (len(held) == size or row[3] != lane):
+                    yield _block(held, lane)
                     held = []
+                lane = row[3]
+                held.append(row)
         if held:
-            yield _block(held)
+            yield _block(held, lane)
 
     return of
 
 
-def _block(rows: list) -> pd.DataFrame:
+def _block(rows: list, lane: int | None) -> pd.DataFrame:
     keys = np.array([r[0] for r in rows], dtype=np.int64)
     labels = np.array([r[1] for r in rows], dtype=np.int64)
-    return pd.DataFrame({"keys": [keys.tobytes()], "labels": [labels.tobytes()], "data": [np.array([r[2] for r in rows], dtype=np.float64).tobytes()]})
+    out = {"keys": [keys.tobytes()], "labels": [labels.tobytes()], "data": [np.array([r[2] for r in rows], dtype=np.float64).tobytes()]}
+    return pd.DataFrame(out if lane is None else {**out, "lane": [lane]})
+
+
+#: Bytes of reference vectors that a task holds at a time, and candidates whose exact distances are worked out at once.
+HELD_BYTES, STEP = 64 << 20, 1 << 16
+
+
+def _near(x, keys, labels, block, k: int, rule: str, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, key, d2) of each query's k nearest in a block and within its limit: a matrix product finds them but for rounding, and the
+    distances of those alone are then worked out exactly."""
+    b, lb, y, ny = block
+    nx = (x * x).sum(axis=1)
+    rough = nx[:, None] + ny[None, :] - 2 * (x @ y.T)
+    for word, wrong in (("self", lambda: keys[:, None] == b), ("same", lambda: labels[:, None] != lb), ("other", lambda: labels[:, None] == lb), ("before", lambda: b >= keys[:, None])):
+        if word in rule:
+            rough[wrong()] = np.inf
+    slack = 1e-13 * (x.shape[1] + 8) * (nx + ny.max())
+    bound = limit if rough.shape[1] <= k else np.minimum(np.partition(rough, k - 1, axis=1)[:, k - 1] + slack, limit)
+    row, col = np.nonzero((rough <= (bound + slack)[:, None]) & np.isfinite(rough))
+    d2 = np.concatenate([((y[col[at : at + STEP]] - x[row[at : at + STEP]]) ** 2).sum(axis=1) for at in range(0, len(row), STEP)] or [np.zeros(0)])
+    return _best(row, b[col], d2, k)
+
+
+def _best(row: np.ndarray, key: np.ndarray, d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k smallest by (d2, key), in order."""
+    order = np.lexsort((key, d2, row))
+    row, key, d2 = row[order], key[order], d2[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], key[kept], d2[kept]
 
 
 def _nearest(k: int, rule: str):
+    """mapInPandas over rows sorted by (lane, queries): the reference blocks of a lane are held, query blocks stream past them."""
+
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane, held = None, []
         for f in frames:
-            out = []
+            found = []
             for row in f.itertuples():
-                a, b = np.frombuffer(row.p_keys, dtype=np.int64), np.frombuffer(row.keys, dtype=np.int64)
-                la, lb = np.frombuffer(row.p_labels, dtype=np.int64), np.frombuffer(row.labels, dtype=np.int64)
-                x, y = np.frombuffer(row.p_data).reshape(len(a), -1), np.frombuffer(row.data).reshape(len(b), -1)
-                for i in range(len(a)):
-                    d2 = ((y - x[i]) ** 2).sum(axis=1)
-                    ok = np.ones(len(b), dtype=bool)
-                    if "self" in rule:
-                        ok &= b != a[i]
-                    if "same" in rule:
-                        ok &= lb == la[i]
-                    if "other" in rule:
-                        ok &= lb != la[i]
-                    if "before" in rule:
-                        ok &= b < a[i]
-                    at = np.flatnonzero(ok)
-                    if len(at) > k:
-                        edge = np.partition(d2[at], k - 1)[k - 1]
-                        at = at[d2[at] <= edge]
-                    at = at[np.lexsort((b[at], d2[at]))][:k]
-                    out += [(a[i], b[j], d2[j]) for j in at]
-            yield pd.DataFrame(out, columns=["src", "dst", "d2"]).astype({"src": "int64", "dst": "int64", "d2": "float64"})
+                if row.lane != lane:
+                    lane, held = row.lane, []
+                keys, labels = np.frombuffer(row.keys, dtype=np.int64), np.frombuffer(row.labels, dtype=np.int64)
+                x = np.frombuffer(row.data).reshape(len(keys), -1)
+                if not row.queries:
+                    held.append((keys, labels, x, (x * x).sum(axis=1)))
+                    continue
+                limit = np.full(len(keys), np.inf)
+                best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for block in held:
+                    more = _near(x, keys, labels, block, k, rule, limit)
+                    best = _best(*[np.concatenate(c) for c in zip(best, more, strict=True)], k)
+                    last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
+                    limit[best[0][last]] = best[2][last]
+                found.append((keys[best[0]], best[1], best[2]))
+            if found:
+                yield pd.DataFrame(dict(zip(("src", "dst", "d2"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
 
     return of
 
@@ -104,19 +134,21 @@ def _nearest(k: int, rule: str):
 def vector_knn(points: DataFrame, refs: DataFrame, key: str, vector: str, k: int, label: str | None = None, rule: str = "self", block: int = 512) -> DataFrame:
     """(src, dst, d2, rank): exact k nearest neighbours of vectors of many dimensions, ties to smaller keys.
 
-    rule, words of: self (not itself), same / other (label equal / different), before (smaller keys only). Both sides
-    are packed into blocks and every pair of blocks is one row of work, spread over all tasks; each keeps k
-    per point, and the rest is a top-k over at most k rows for each block.
+    rule, words of: self (not itself), same / other (label equal / different), before (smaller keys only). References are dealt into lanes of at most
+    about HELD_BYTES; a task holds one lane's and lets all query blocks pass, so references travel once and queries once a lane. Each
+    lane keeps k per query, and the rest is a top-k over at most k rows for each lane.
     """
     spark = points.sparkSession
     lab = (F.col(label).cast("long") if label else F.lit(0).cast("long")).alias("label")
     narrow = lambda df: df.select(F.col(key).cast("long").alias("key"), lab, F.col(vector).cast("array<double>").alias("vector"))
+    n, dims = refs.agg(F.count("*"), F.max(F.size(vector))).first()
+    lanes = max(min(spark.sparkContext.defaultParallelism, -(-n // block)), -(-(n * max(dims or 1, 1) * 8) // HELD_BYTES), 1)
     shape = "keys binary, labels binary, data binary"
-    a = narrow(points).mapInPandas(_pack(key, vector, block), shape).select(*[F.col(c).alias(f"p_{c}") for c in ("keys", "labels", "data")])
-    lanes = max(4, spark.sparkContext.defaultParallelism)
-    b = narrow(refs).mapInPandas(_pack(key, vector, 4 * block), shape).withColumn("lane", F.pmod(F.xxhash64("keys"), F.lit(lanes)))
-    a = a.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
-    found = a.join(b, "lane").drop("lane").mapInPandas(_nearest(k, rule), "src long, dst long, d2 double")
+    a = narrow(points).mapInPandas(_pack(key, vector, block), shape).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
+    b = narrow(refs).withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes))).repartition(lanes, "lane").sortWithinPartitions("lane")
+    b = b.mapInPandas(_pack(key, vector, 4 * block, by_lane=True), f"{shape}, lane long")
+    rows = b.withColumn("queries", F.lit(False)).unionByName(a.withColumn("queries", F.lit(True)))
+    found = rows.repartition(lanes, "lane").sortWithinPartitions("lane", "queries").mapInPandas(_nearest(k, rule), "src long, dst long, d2 double")
     place = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 

@@ -285,6 +285,25 @@ def g20(spark, sf):
     return g.border_distance(p, p, "id", "label", ["x", "y", "z"], 0.02).select("id", F.col("other").cast("int").alias("other"), r("d2").alias("d2"))
 
 
+BORDER = f"""WITH {VOX}, d AS (SELECT a.id, any_value(a.region) AS region, min({{'d2': {PD2}, 'id': b.id, 'o': b.region}}) AS b FROM n a JOIN n b ON a.region <> b.region GROUP BY a.id),
+f AS (SELECT id, region, b.o AS other, sqrt(b.d2) * 0.25 AS d FROM d), p AS (SELECT region, quantile_cont(d, 0.95) AS p FROM f GROUP BY region)"""
+
+
+def border(spark, sf):
+    v = cut(voxels(spark, sf).withColumns({c: F.col(c).cast("double") for c in "xyz"}), "voxels")
+    return g.border_field(v, g.border_distance(v, v, "id", "region", ["x", "y", "z"], 1.0), "id", "region", 0.25)
+
+
+@add("G20_A50_border_field", f"{BORDER} SELECT id, region, other, {R('d')} AS d, {R('(d - avg(d) OVER ()) / (stddev_pop(d) OVER () + 1e-8)')} AS z, {R('least(greatest(d / greatest(p, 1e-8), 0), 1)')} AS rel FROM f JOIN p USING (region)")
+def g20_field(spark, sf):
+    return border(spark, sf).select("id", "region", "other", r("d").alias("d"), r("z").alias("z"), r("rel").alias("rel"))
+
+
+@add("G20_A50_border_summary", f"{BORDER} SELECT {R('avg(d)')} AS mean, {R('max(d)')} AS most, {R('avg(CASE WHEN d <= 0.25 THEN 1.0 ELSE 0.0 END)')} AS adjacent, count(DISTINCT region) AS labels FROM f")
+def g20_summary(spark, sf):
+    return g.border_summary(border(spark, sf), "region", 0.25).select(r("mean").alias("mean"), r("most").alias("most"), r("adjacent").alias("adjacent"), "labels")
+
+
 @add("G24_representatives", f"""WITH {POINTS}, c AS (SELECT *, CAST(floor(x / 0.1) AS BIGINT) AS cell FROM p), m AS (SELECT cell, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM c GROUP BY cell),
 k AS (SELECT cell, id, n, row_number() OVER (PARTITION BY cell ORDER BY round(power(x - mx, 2) + power(y - my, 2), 9), id) AS k FROM c JOIN m USING (cell)) SELECT cell, id AS node, n FROM k WHERE k = 1""")
 def g24(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import graph as g
-from ..operators import enhance, experts, grouped, guard, learn, metrics, sampling, sparse_gp, spatial, transport, volume
+from ..operators import convolution, enhance, experts, grouped, guard, learn, metrics, sampling, sparse_gp, spatial, transport, volume
 from .q_graph import BW, EDGES, LAP, POINTS, SYM, edges, points, vectors
 from .registry import Catalog, R, i, r, t
 from .shared import cut
@@ -251,3 +251,12 @@ def m8_fitted(spark, sf):
     """Four experts for the price of an order, fitted to all orders; every order's prediction."""
     o = t(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") / 1000).alias("a"), (F.dayofyear("o_orderdate") / 100).alias("b"), (F.col("o_totalprice") / 100000).alias("y"))
     return experts.MixtureOfExperts(4, rounds=8).fit(o, ["a", "b"], "y").predict(o).select("o_orderkey", r("prediction", 4).alias("prediction"))
+
+
+@add("M6_trained_convolution")
+def m6_trained(spark, sf):
+    """Read out at every vector from its three nearest others, trained on four fifths of them."""
+    v = t(spark, sf, "embeddings").select("vec_id", "embedding", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)])
+    near = cut(spatial.vector_knn(v, v, "vec_id", "embedding", 3).select("src", "dst", "d2"), "near")
+    model = convolution.TrainedConvolution(4, rounds=6).prepare(v, "vec_id", ["e0", "e1", "e2"], cut(edges(spark, sf), "edges"), near)
+    return model.fit(v.where("vec_id % 5 <> 0"), "vec_id", "e3").predict().select(F.col("i").alias("vec_id"), r("prediction", 4).alias("prediction"))

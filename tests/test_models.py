@@ -165,3 +165,55 @@ def test_a_guarded_stream(spark, tmp_path):
     query = stream.writeStream.foreachBatch(watch.for_each_batch(lambda df, i: sizes.append(df.count()))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
     query.awaitTermination(60)
     assert sizes == [2] and watch.step == 1 and watch.streak == 0
+
+
+def plain_convolution(model, x, edges, neighbours, n, y, weights, shift):
+    """Loss with the best read-out, by dense matrices."""
+    mid = np.sort([d for _, _, d in edges])[(len(edges) - 1) // 2]
+    w = np.eye(n)
+    for a, b, d in edges:
+        w[a, b] = w[b, a] = np.exp(-d / mid)
+    s = w / np.sqrt(w.sum(1)[:, None] * w.sum(1)[None])
+    r = np.zeros((len(y), n))
+    for i, j, d in neighbours:
+        r[i, j] = 1 / (d**0.5 + 1e-8)
+    r /= r.sum(1, keepdims=True)
+    z = np.column_stack([r @ s @ np.maximum(s @ x @ weights + shift, 0), np.ones(len(y))])
+    ridge = model.penalty * len(y) * np.diag([1.0] * model.hidden + [1e-12])
+    out = np.linalg.solve(z.T @ z + ridge, z.T @ y)
+    return ((z @ out - y) ** 2).mean() + model.penalty * (out[:-1] ** 2).sum(), z @ out
+
+
+def test_graph_convolution_gradient_and_training(spark):
+    from lodestrata.operators import convolution
+
+    rng = np.random.default_rng(6)
+    n, m = 30, 40
+    x, at = rng.random((n, 2)), rng.random((m, 2))
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    edges = sorted({(min(i, int(j)), max(i, int(j)), float(d[i, j])) for i in range(n) for j in np.argsort(d[i])[1:4]})
+    far = ((at[:, None] - x[None]) ** 2).sum(-1)
+    neighbours = [(i, int(j), float(far[i, j])) for i in range(m) for j in np.argsort(far[i])[:3]]
+    y = np.abs(at[:, 0] - 0.5) + 0.3 * at[:, 1]
+    nodes = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "node long, a double, b double")
+    e, k = spark.createDataFrame(edges, "src long, dst long, d2 double"), spark.createDataFrame(neighbours, "src long, dst long, d2 double")
+    train = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "i long, y double")
+    model = convolution.TrainedConvolution(3, rounds=12).prepare(nodes, "node", ["a", "b"], e, k)
+    loss, by_w, by_c = model.evaluate(train)
+    plain = lambda w, c: plain_convolution(model, x, edges, neighbours, n, y, w, c)[0]
+    assert abs(loss - plain(model.weights, model.shift)) < 1e-9
+    for place in np.ndindex(by_w.shape):
+        step = np.zeros_like(by_w)
+        step[place] = 1e-6
+        assert abs((plain(model.weights + step, model.shift) - plain(model.weights - step, model.shift)) / 2e-6 - by_w[place]) < 1e-6
+    for j in range(3):
+        step = np.eye(3)[j] * 1e-6
+        assert abs((plain(model.weights, model.shift + step) - plain(model.weights, model.shift - step)) / 2e-6 - by_c[j]) < 1e-6
+    model.fit(train, "i", "y")
+    assert min(model.losses) < 0.9 * model.losses[0]
+    got = {r.i: r.prediction for r in model.predict().collect()}
+    assert np.allclose([got[i] for i in range(m)], plain_convolution(model, x, edges, neighbours, n, y, model.weights, model.shift)[1], atol=1e-6)
+    # smoothing alone is the same read-out of the smoothed features without a layer between
+    mse = np.mean([(got[i] - y[i]) ** 2 for i in range(m)])
+    flat = plain_convolution(convolution.TrainedConvolution(2), x, edges, neighbours, n, y, np.eye(2), np.zeros(2))[1]
+    assert mse < ((flat - y) ** 2).mean()
