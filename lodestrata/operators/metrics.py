@@ -67,12 +67,22 @@ def score_z(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pr
     return out.select(*keys, "n", "rmse_z", "corr", "r2", *(["mean_sigma"] if sigma else []))
 
 
+#: Rows of a key that one task sorts (by spilling if need be).
+WINDOW_ROWS = 1 << 22
+
+
 def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """keys, spearman: correlation of average ranks; null where all values of a side are equal.
 
-    No row is ranked: each distinct value of a key is counted, its rank follows from the counts before it, and moments are weighted by counts. A value
-    that many rows hold is one row by partial aggregation.
+    Where no key has more than WINDOW_ROWS rows, each key is sorted in one task. Beyond that no row is ranked: each distinct value of a key is
+    counted, its rank follows from the counts before it over ranges of values, and moments are weighted by counts.
     """
+    most = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= WINDOW_ROWS:
+        place = lambda v: F.rank().over(Window.partitionBy(*keys).orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, v)) - 1) / 2.0
+        ranked = pairs.select(*keys, y, p).withColumn("_ry", place(y)).withColumn("_rp", place(p)).groupBy(*keys)
+        varies = (F.min("_ry") < F.max("_ry")) & (F.min("_rp") < F.max("_rp"))
+        return ranked.agg(F.when(varies, F.covar_pop("_ry", "_rp") / (F.stddev_pop("_ry") * F.stddev_pop("_rp"))).alias("spearman"))
     narrow = cut(pairs.select(*keys, y, p), "pairs")
     left, right = _value_ranks(narrow, keys, y, "_ry"), _value_ranks(narrow, keys, p, "_rp")
     spread = lambda ranks, r, name: ranks.groupBy(*keys).agg(F.sum(F.col("_n") * F.col(r) * F.col(r)).alias(name))

@@ -227,6 +227,13 @@ def test_statistics_equal_numpy(spark):
         return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
 
     assert math.isclose(metrics.spearman(s, [], "a", "b").first()[0], np.corrcoef(rank(rows[:, 0]), rank(rows[:, 1]))[0, 1], rel_tol=1e-9)
+    several = spark.createDataFrame([(k, *map(float, r)) for k in ("x", "y", None) for r in rows[: 60 if k == "x" else 25]] + [("flat", 1.0, float(i)) for i in range(4)], "k string, a double, b double")
+    plain = {k: np.corrcoef(rank(rows[:n, 0]), rank(rows[:n, 1]))[0, 1] for k, n in (("x", 60), ("y", 25), (None, 25))}
+    for most in (metrics.WINDOW_ROWS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(metrics, "WINDOW_ROWS", most)
+            got = {r.k: r.spearman for r in metrics.spearman(several, ["k"], "a", "b").collect()}
+        assert got.pop("flat") is None and got.keys() == plain.keys() and all(math.isclose(got[k], plain[k], rel_tol=1e-9) for k in plain)
     grid = spark.createDataFrame([(float(k), float(k**3)) for k in (1, 2, 4, 9)], "x double, y double")
     assert all(abs(r.slope - 3) < 1e-9 for r in stats.log_slope(grid, "x", "y").collect())
     sums = df.agg(*stats.weighted_std("y", "g")).select(stats.finish_weighted_std().alias("s")).first().s
