@@ -6,7 +6,7 @@ The rules that fit a url are its keys that are listed. Level 0 of a cascade hold
 keys; level 1 the keys of the whole corpus that level 0 takes for listed and that are not; level 2
 the listed keys that level 1 takes for such, and so on until nothing is left, so over the keys of
 that corpus the cascade is exact. Level 0 lets about as many keys through as there are
-listed ones and later levels halve the rest, so all levels together have a few bits for each
+listed ones and later levels an eighth of the rest, so all levels together have a few bits for each
 listed key however large the corpus is. Urls are then judged by expressions alone, without a join.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +31,12 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: A cascade as a whole has at most so many bits; it is shipped inside the plan.
-MOST_BITS = 1 << 22
+#: A filter of up to so many bits is a literal of the plan; a larger one is the one row of a broadcast table. A filter has a few bits for each listed key, and the
+#: driver holds the listed keys themselves, so the filter is the smaller of the two however long the list.
+PLAN_BITS = 1 << 22
 MOST_LEVELS = 64
+#: Share of keys that a later level takes wrongly. A half would need the fewest bits, but three times as many levels, each a pass over the keys left.
+LATER_RATE = 0.125
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,6 +63,7 @@ class Bloom:
     hashes: int
     words: list[int]
     column: Column | None = None
+    name: str = ""
 
     @staticmethod
     def shape(n: int, rate: float) -> tuple[int, int]:
@@ -71,9 +76,19 @@ class Bloom:
         half = F.lit((1 << 31) - 1)
         return [F.pmod(first.bitwiseAND(half) + F.lit(i) * second.bitwiseAND(half), F.lit(self.bits)) for i in range(self.hashes)]
 
+    def on(self, df: DataFrame) -> DataFrame:
+        """df as has() needs it: beside the words, if they are too many for a literal."""
+        if self.bits <= PLAN_BITS:
+            return df
+        self.column, name = F.col(self.name), self.name
+        return df if name in df.columns else df.crossJoin(F.broadcast(df.sparkSession.range(1).select(self._literal().alias(name))))
+
+    def _literal(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+
     def has(self, key: Column) -> Column:
         if self.column is None:  # one literal, folded into one array by the optimiser
-            self.column = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+            self.column = self._literal()
         found = F.lit(True)
         for place in self.places(key):
             found = found & (F.getbit(F.element_at(self.column, (F.floor(place / 64) + 1).cast("int")), (place % 64).cast("int")) == 1)
@@ -102,20 +117,17 @@ class Cascade:
         known = F.from_json(F.lit(json.dumps(sorted(set(listed)))), "array<string>")
         inside = universe.sparkSession.range(1).select(F.explode(known).alias("key"))
         size = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
-        here, n, levels, bits_left = inside, len(set(listed)), [], MOST_BITS
+        here, n, levels = inside, len(set(listed)), []
         there = None
         for level in range(MOST_LEVELS):
-            rate = min(0.5, n * math.sqrt(0.5) / size) if level == 0 else 0.5
+            rate = min(0.5, n * math.sqrt(0.5) / size) if level == 0 else LATER_RATE
             bits, hashes = Bloom.shape(n, rate)
-            bits_left -= bits
-            if bits_left < 0:
-                raise ValueError("the cascade would be larger than MOST_BITS")
-            bloom = Bloom(level, bits, hashes, [0] * (bits // 64)).fill(here)
+            bloom = Bloom(level, bits, hashes, [0] * (bits // 64), name=f"_words_{uuid.uuid4().hex}").fill(here)
             levels.append(bloom)
             if level == 0:
-                other = universe.where(bloom.has(F.col("key"))).distinct().join(inside, "key", "left_anti")
+                other = bloom.on(universe).where(bloom.has(F.col("key"))).select("key").distinct().join(inside, "key", "left_anti")
             else:
-                other = there.where(bloom.has(F.col("key")))
+                other = bloom.on(there).where(bloom.has(F.col("key")))
             other = cut(other.select("key"), "keys")
             n = other.count()
             if not n:
@@ -125,6 +137,11 @@ class Cascade:
             raise RuntimeError(f"a cascade did not end in {MOST_LEVELS} levels")
         return cls(levels)
 
+    def on(self, df: DataFrame) -> DataFrame:
+        for bloom in self.levels:
+            df = bloom.on(df)
+        return df
+
     def has(self, key: Column) -> Column:
         """Passing an even last level means listed; the first level that a key fails at decides otherwise."""
         answer = F.lit(len(self.levels) % 2 == 1)
@@ -137,14 +154,22 @@ class Cascade:
         return sum(b.bits for b in self.levels)
 
 
-def keys_of(rules, host: Column, path: Column) -> list[tuple[int, int, Column]]:
-    """(labels, path length, key) for every shape that a rule has; the key is null where the url is too short."""
-    found = []
-    for labels, length in sorted({(h.count(".") + 1, len(p)) for _, h, p in rules}):
-        suffix = F.substring_index(host, ".", -labels)
-        enough = (F.length(host) > 0) & (F.size(F.split(host, r"\.")) >= labels) & (F.length(path) >= length)
-        found.append((labels, length, F.when(enough, F.concat(suffix, F.substring(path, 1, length) if length else F.lit("")))))
-    return found
+def keys_of(rules, rows: DataFrame) -> DataFrame:
+    """rows (page_id, host, path) with keys: one for each shape (labels, path length) that a rule has and the url is long enough for.
+    Whatever the number of rules, a url has as many keys as they have shapes."""
+    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
+    cut_ = {f"s{labels}": F.substring_index("host", ".", -labels) for labels, _ in shapes}
+    rows = rows.withColumns({"depth": F.when(F.length("host") > 0, F.size(F.split("host", r"\."))).otherwise(0), "long": F.length("path"), **cut_})
+    found = [F.when((F.col("depth") >= labels) & (F.col("long") >= length), F.concat(F.col(f"s{labels}"), F.substring("path", 1, length) if length else F.lit(""))) for labels, length in shapes]
+    keys = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return rows.select("page_id", "host", "path", keys.alias("keys"))
+
+
+def _listed(cascade: Cascade, verdict: str) -> Column:
+    """What a cascade lists of a url's keys. All of them go through one expression, so the plan grows with the levels and not with the rules."""
+    found = F.filter("keys", lambda key: cascade.has(key))
+    order = F.lit("a" if verdict == "block" else "b")
+    return F.transform(found, lambda key: F.struct((-F.length(key)).alias("n"), key.alias("rule"), order.alias("o"), F.lit(verdict).alias("verdict")))
 
 
 def judge(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataFrame:
@@ -156,19 +181,16 @@ def judge(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataFrame:
     Repeated rows and null page_ids give a row each; an empty table gives none; a very long url is read whole; other columns are
     not read, whatever their names.
     """
-    rows = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
-    shapes = keys_of(rules, F.col("host"), F.col("path"))
-    universe = rows.select(F.explode(F.array(*[k for _, _, k in shapes])).alias("key")).where("key is not null")
-    cascades = {}
+    rows = keys_of(rules, pages.select("page_id", host_of().alias("host"), path_of().alias("path")))
+    universe = rows.select(F.explode("keys").alias("key"))
+    fits, judged = [], rows
     for verdict in ("block", "allow"):
-        cascades[verdict] = Cascade.build([h + p for v, h, p in rules if v == verdict], universe)
-    fits = []
-    for verdict, cascade in cascades.items():
-        for _, _, key in shapes if cascade.levels else []:
-            found = F.when(key.isNotNull() & cascade.has(key), key)
-            fits.append(F.when(found.isNotNull(), F.struct((-F.length(found)).alias("n"), found.alias("rule"), F.lit("a" if verdict == "block" else "b").alias("o"), F.lit(verdict).alias("verdict"))))
-    best = F.array_min(F.filter(F.array(*fits), lambda x: x.isNotNull())) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
-    out = rows.withColumn("best", best)
+        cascade = Cascade.build([h + p for v, h, p in rules if v == verdict], universe)
+        if cascade.levels:
+            judged = cascade.on(judged)
+            fits.append(_listed(cascade, verdict))
+    best = F.array_min(F.concat(*fits)) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
+    out = judged.withColumn("best", best)
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
 
 
