@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: columnar branch-and-bound over dimension blocks.
 
 Vectors become integers floor(256 * x). Queries and candidates are packed into blocks of
-bounded size; every block of queries meets every block of candidates in one place, so the work
-is spread by pairs of blocks and no task holds more than one block of each. Candidates lie in
+bounded size, and blocks of candidates are dealt into lanes of a bounded size. A task holds the
+candidates of a lane and every block of queries streams past them, so candidates travel once and
+queries once a lane. Candidates lie in
 vertical layout (a row for each dimension). For each query the dimensions come in order of the
 query's mass; partial scores are accumulated block by block of dimensions, the remaining
 dimensions are bounded by the product of the remaining masses (Cauchy-Schwarz), and candidates
@@ -24,8 +25,8 @@ K = 5
 SCALE = 256
 #: Vectors in a block of queries and in a block of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 4096
-#: Query blocks whose best scores so far a worker keeps as bounds for the blocks of candidates that follow.
-HELD_BLOCKS = 64
+#: Bytes of candidates in a lane, about.
+HELD_BYTES = 32 << 20
 #: Dimensions that are accumulated at a time.
 DIMS = 16
 
@@ -125,23 +126,25 @@ def _pack(size: int):
 
 
 def _search(k: int):
+    """Rows sorted by lane, dimension and role (candidates first) -> each query's k best of the lane."""
+
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[bytes, bytes], list] = {}  # of the latest query blocks, the k best scores of each query so far
+        place, held = None, []
         for frame in frames:
             out = []
             for row in frame.itertuples():
+                if (row.lane, row.dim) != place:
+                    place, held = (row.lane, row.dim), []
                 ids, data = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.data, dtype=np.float64)
-                block = Candidates(ids, data.reshape(len(ids), -1))
-                q_ids = np.frombuffer(row.q_ids, dtype=np.int64)
-                queries = quantise(np.frombuffer(row.q_data, dtype=np.float64).reshape(len(q_ids), -1))
-                known = held.pop((row.q_ids, row.q_data), None) or [[] for _ in q_ids]
-                for at, (query_id, query) in enumerate(zip(q_ids.tolist(), queries, strict=True)):
-                    best = block.best(query_id, query, k, known[at][-1] if len(known[at]) == k else None)
-                    known[at] = sorted(known[at] + [-neg for neg, _ in best], reverse=True)[:k]
-                    out += [(query_id, vec_id, min(max(-neg, _LONG.min), _LONG.max)) for neg, vec_id in best]
-                held[row.q_ids, row.q_data] = known
-                if len(held) > HELD_BLOCKS:
-                    held.pop(next(iter(held)))
+                matrix = data.reshape(len(ids), -1)
+                if not row.asks:
+                    held.append(Candidates(ids, matrix))
+                    continue
+                for query_id, query in zip(ids.tolist(), quantise(matrix), strict=True):
+                    known: list[tuple[int, int]] = []
+                    for block in held:  # the best so far bound what the next blocks have to show
+                        known = sorted(known + block.best(query_id, query, k, -known[-1][0] if len(known) == k else None))[:k]
+                    out += [(query_id, vec_id, min(max(-neg, _LONG.min), _LONG.max)) for neg, vec_id in known]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return of
@@ -159,15 +162,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embed
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(vector)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     shape = "dim int, ids binary, data binary"
     queries = rows.where("q").select("vec_id", "v").coalesce(max(1, spark.sparkContext.defaultParallelism // 4))
-    q_blocks = queries.mapInPandas(_pack(QUERY_BLOCK), shape).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    c_blocks = rows.select("vec_id", "v").mapInPandas(_pack(CANDIDATE_BLOCK), shape)
-    # a stated query set against all rows in blocks: every pair of blocks of one dimension is a row of work
-    lanes = max(8, spark.sparkContext.defaultParallelism * 2)
-    dealt = F.pmod(F.xxhash64("ids"), F.lit(lanes))
-    c_dealt = c_blocks.withColumn("lane", dealt)
-    q_dealt = q_blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
-    pairs = c_dealt.join(q_dealt, ["dim", "lane"])
-    found = pairs.select("ids", "data", "q_ids", "q_data").mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    size = 8 * (rows.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0)
+    # a stated query set against all rows in blocks
+    lanes = max(8, spark.sparkContext.defaultParallelism * 2, -(-size // HELD_BYTES))
+    c_blocks = rows.select("vec_id", "v").mapInPandas(_pack(CANDIDATE_BLOCK), shape).withColumns({"asks": F.lit(False), "lane": F.pmod(F.xxhash64("ids"), F.lit(lanes))})
+    q_blocks = queries.mapInPandas(_pack(QUERY_BLOCK), shape).withColumns({"asks": F.lit(True), "lane": F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>"))})
+    dealt = c_blocks.unionByName(q_blocks).repartition(lanes, "lane").sortWithinPartitions("lane", "dim", "asks")
+    found = dealt.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     return best_per_query(found, k)
 
 
