@@ -85,7 +85,7 @@ def numbered(docs: DataFrame, who: str, nth: str) -> DataFrame:
     """
     named = docs.withColumn(who, name_of_row())
     id_, n, part, order, before = fresh(named, "_ls_id", "_ls_n", "_ls_part", "_ls_order", "_ls_before")
-    ids = cut(docs.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(id_), "ids")
+    ids = cut_narrow(docs.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(id_), "ids")
     if ids.isEmpty():
         return named.withColumn(nth, F.lit(0).cast("long"))
     ids = F.broadcast(ids) if stored_bytes(ids) <= BROADCAST_BYTES else ids
@@ -123,7 +123,7 @@ class Mix:
 
     def _expected(self, weights: tuple[int, ...], most: int) -> DataFrame:
         """source, x, source_size, target, whole and f of a size class's documents, and the words that sampling has to bring its source."""
-        strata = cut(self.narrow.groupBy("source", "x").agg(F.sum("size").alias("words")), "strata")
+        strata = cut_narrow(self.narrow.groupBy("source", "x").agg(F.sum("size").alias("words")), "strata")
         goals = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("source", "_s")
         classes = strata.join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         down = Window.partitionBy("source").orderBy(F.col("x").desc())
@@ -138,7 +138,7 @@ class Mix:
         classes = classes.withColumn("e", F.least(F.lit(float(most)), F.coalesce(level["col2"], F.lit(0.0)) * F.col("x")))
         classes = classes.withColumn("whole", F.floor("e").cast("long")).withColumn("f", F.col("e") - F.col("whole"))
         gap = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every)
-        return cut(classes.select("source", "x", "source_size", "target", "whole", "f", gap.alias("gap")), "facts")
+        return cut_narrow(classes.select("source", "x", "source_size", "target", "whole", "f", gap.alias("gap")), "facts")
 
     def _decide(self) -> DataFrame:
         """source, x with all that a row needs: whole, f, the edge bucket and the last place taken in it, and the rows that fill up."""
@@ -149,7 +149,7 @@ class Mix:
         sources = self.facts.groupBy("source").agg(F.max("gap").alias("gap"))
         first = self._edge(drawn.withColumn("b", F.floor(F.col("b") / BUCKETS)), sources.withColumn("base", F.lit(0).cast("long")))
         inside = _meet(drawn, first.select("source", F.col("edge").alias("e1")), ("source",), small).where(F.floor(F.col("b") / BUCKETS) == F.col("e1"))
-        second = cut(self._edge(inside, first.select("source", "gap", "base")), "edges")
+        second = cut_narrow(self._edge(inside, first.select("source", "gap", "base")), "edges")
         # a source without an edge takes all it ranks; one whose first bucket is cut has its base there
         at_edge = _meet(inside.drop("gap"), second.select("source", "edge", "base", "gap"), ("source",), small).where("b = edge")
         place = _place(*map(F.col, ("key", "size", "who", "nth")))
@@ -159,7 +159,7 @@ class Mix:
         taken = F.coalesce("upto", "base")
         state = state.select("source", F.coalesce("edge", F.lit(BUCKETS * BUCKETS)).alias("edge"), "place", (F.col("gap") - taken).alias("left"))
         own = self.facts.select("source", "x", "whole", "f", (F.col("target") * TOLERANCE).alias("slack"))
-        state = cut(_meet(own, state, ("source",), False), "state")
+        state = cut_narrow(_meet(own, state, ("source",), False), "state")
         small = stored_bytes(state) <= BROADCAST_BYTES
         # fillers: the next rows of each class that could still fit
         rest = _meet(drawn.drop("gap"), state.select("source", "x", "edge", "place", "left", "slack"), ("source", "x"), small)
@@ -176,7 +176,7 @@ class Mix:
 
         filled = filled.select("source", F.aggregate("all", start, step)["fill"].alias("fill"))
         cuts = _meet(state.drop("left", "slack"), filled, ("source",), False, "left")
-        return cut(cuts.withColumn("fill", F.coalesce("fill", F.array().cast("array<struct<who:string,nth:bigint>>"))), "cuts")
+        return cut_narrow(cuts.withColumn("fill", F.coalesce("fill", F.array().cast("array<struct<who:string,nth:bigint>>"))), "cuts")
 
     @staticmethod
     def _edge(rows: DataFrame, sources: DataFrame) -> DataFrame:
