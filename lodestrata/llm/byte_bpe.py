@@ -22,10 +22,12 @@ from .common import file_bytes, table
 #: A text is cut into blocks of about so many characters.
 BLOCK_CHARS = 1 << 17
 
-#: Where a block may end: before one space or line feed that stands between two ASCII letters or digits. No
+#: Where a block may end. Before one space or line feed that stands between two letters or digits of any script: no
 #: alternative of the splitting pattern holds white space except at its start, and a single white space
-#: before a letter belongs to what follows (space) or is a match of its own (line feed).
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n][A-Za-z0-9])")
+#: before a letter belongs to what follows (space) or is a match of its own (line feed). And, for scripts that need no spaces, between
+#: a letter and a full stop, comma or the like: a run of letters ends there, and what follows begins a match.
+_LETTERS = "\u0620-\u064a\u0905-\u0939\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3"
+_SAFE = re.compile(rf"(?<=[^\W_])(?=[ \n][^\W_])|(?<=[{_LETTERS}])(?=[\u060c\u061b\u061f\u06d4\u0964\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 _encodings: dict[tuple[str, str], object] = {}
 

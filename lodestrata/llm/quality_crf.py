@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineFi
 
     A document of more than SAMPLE_LINES lines, however long, teaches by a stretch of so many, with the neighbours they have in
     the whole text. Documents whose labels disagree or are null, or without doc_id or text, teach nothing. If
-    both classes are not there, every text scores the share of good ones. Other columns are not read, whatever their names.
+    both classes are not there, every text scores the share of good ones. doc_id may be of any type that both tables share. Other columns are not
+    read, whatever their names.
     """
     agreed = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
     # a bounded number of ids: the only thing that is broadcast
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineFi
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "y": f["y"], "x": [stretch(chain_features(lines_of(t)), i).tobytes() for i, t in zip(f["id"], f["text"], strict=True)]})
 
-    found = first.orderBy(F.xxhash64("id"), "id").limit(sample).mapInPandas(features, "id long, y int, x binary").collect()
+    found = first.orderBy(F.xxhash64("id"), "id").limit(sample).mapInPandas(features, f"id {ids.schema['id'].dataType.simpleString()}, y int, x binary").collect()
     rows = sorted(found, key=lambda r: r.id)
     width = 3 + 3 * N_OWN
     return LineField.fit([np.frombuffer(r.x, dtype=np.float32).reshape(-1, width) for r in rows], [r.y for r in rows])
