@@ -19,7 +19,7 @@ def gp_regression(train: pd.DataFrame, test: pd.DataFrame, coords: list[str], ta
     best on every fifth training point is used. Returns the mean and that noise."""
 
     def kernel(a, b):
-        d2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+        d2 = sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1]))  # one axis at a time: n x m at most
         return np.exp(-d2 / (2 * scale * scale))
 
     x, y = train[coords].to_numpy(float), train[target].to_numpy(float)

@@ -230,9 +230,12 @@ def factor_posterior(latent: DataFrame, factors: list[str], outputs: list[str],
 class SpectralRegression:
     """Gaussian-process regression on spectral features: weights of mode k have prior variance density[k].
 
-    The posterior comes from one aggregation of modes x modes moments; mean and variance of a row are expressions.
+    The posterior comes from one aggregation of modes x modes moments; mean and variance of a row are expressions. With more than MANY
+    modes the moments are matrix products where the rows lie, and so is the prediction, so that no plan grows with their square.
     """
 
+    MANY = 16
+
     def __init__(self, density: list[float], noise: float):
         self.density, self.noise = density, noise
 
@@ -240,10 +243,21 @@ class SpectralRegression:
         import numpy as np
 
         k, cols = len(features), [F.col(c).cast("double") for c in features]
+        if k > self.MANY:
+            from .eigen import _moments
+
+            # a null makes no product, as in a sum
+            m = _moments(train.select(*[F.coalesce(c, F.lit(0.0)).alias(f"x{i}") for i, c in enumerate([*cols, F.col(target).cast("double")])]), *[[f"x{i}" for i in range(n)] for n in (k, k + 1)])
+            return self._solve(features, m[:, :k], m[:, k])
         aggs = [F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(c * F.col(target)).alias(f"b{i}") for i, c in enumerate(cols)]
         row = train.agg(*aggs).first()
         a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         b = np.array([row[f"b{i}"] or 0.0 for i in range(k)])
+        return self._solve(features, a, b)
+
+    def _solve(self, features: list[str], a, b) -> SpectralRegression:
+        import numpy as np
+
         self.features = features
         self.covariance = np.linalg.inv(a / self.noise + np.diag(1 / np.array(self.density)))
         self.weights = self.covariance @ b / self.noise
@@ -251,6 +265,8 @@ class SpectralRegression:
 
     def predict(self, df: DataFrame, name: str = "prediction", variance: str | None = None) -> DataFrame:
         cols = [F.col(c).cast("double") for c in self.features]
+        if len(cols) > self.MANY:
+            return self._predict_many(df, cols, name, variance)
         mean = sum((float(w) * c for w, c in zip(self.weights, cols, strict=True)), F.lit(0.0))
         out = df.withColumn(name, mean)
         if variance:
@@ -259,6 +275,22 @@ class SpectralRegression:
         return out
 
 
+    def _predict_many(self, df: DataFrame, cols: list, name: str, variance: str | None) -> DataFrame:
+        import pandas as pd
+
+        weights, covariance, noise = self.weights, self.covariance, self.noise
+
+        @F.pandas_udf("mean double, variance double")
+        def of(batch: pd.DataFrame) -> pd.DataFrame:
+            x = batch.to_numpy(dtype=float)
+            # a missing feature makes both NaN, which is null in what comes back
+            return pd.DataFrame({"mean": x @ weights, "variance": noise + ((x @ covariance) * x).sum(axis=1)})
+
+        made = of(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(cols)]))
+        out = df.withColumn("_spectral", made).withColumn(name, F.col("_spectral.mean"))
+        return (out.withColumn(variance, F.col("_spectral.variance")) if variance else out).drop("_spectral")
+
+
 @register("hash_field")
 class HashField:
     """A field over space: tables of numbers on hashed grids of several resolutions, read by trilinear weights and summed.

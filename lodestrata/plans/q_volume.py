@@ -260,3 +260,12 @@ def m6_trained(spark, sf):
     near = cut(spatial.vector_knn(v, v, "vec_id", "embedding", 3).select("src", "dst", "d2"), "near")
     model = convolution.TrainedConvolution(4, rounds=6).prepare(v, "vec_id", ["e0", "e1", "e2"], cut(edges(spark, sf), "edges"), near)
     return model.fit(v.where("vec_id % 5 <> 0"), "vec_id", "e3").predict().select(F.col("i").alias("vec_id"), r("prediction", 4).alias("prediction"))
+
+
+@add("M9_many_modes")
+def m9_many(spark, sf):
+    """Sixty-three modes at once: the last component of every vector from all others, with its variance."""
+    v = t(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
+    names = [f"e{k}" for k in range(63)]
+    made = learn.SpectralRegression([1.0 / (1 + k) for k in range(63)], 0.05).fit(v, names, "e63").predict(v, "mean", "variance")
+    return made.select("vec_id", r("mean", 5).alias("mean"), r("variance").alias("variance"))

@@ -166,6 +166,17 @@ def arrays(spark: SparkSession, path: str, columns: list[str], step: int = 1 <<
     return files.select("content").mapInPandas(rows, "row_id long, " + ", ".join(f"`{c}` double" for c in columns))
 
 
+def array_slices(spark: SparkSession, path: str, columns: list[str], rows: int = 1 << 20) -> DataFrame:
+    """(file, row_id, columns...) of the .npy files that a path or glob names, in any numeric type and either order: each file is planned as slices of at
+    most so many rows, and a task maps its slice alone into memory. For folders that driver and executors see as a file system; arrays() reads
+    from any store, a file a task. Arrays of more dimensions have their later ones flattened. A file whose width is not that of columns is an error.
+    """
+    from .array_source import ArraySlices
+
+    spark.dataSource.register(ArraySlices)
+    return spark.read.format("npy_slices").option("columns", "\n".join(columns)).option("rows", str(rows)).load(path)
+
+
 def swiss_roll(spark: SparkSession, n: int, turns: float = 1.5, height: float = 10.0, seed: int = 0) -> DataFrame:
     """(id, t, x, y, z) on a rolled sheet, for tests."""
     u, v = (F.rand(seed + k) for k in (1, 2))

@@ -217,3 +217,42 @@ def test_graph_convolution_gradient_and_training(spark):
     mse = np.mean([(got[i] - y[i]) ** 2 for i in range(m)])
     flat = plain_convolution(convolution.TrainedConvolution(2), x, edges, neighbours, n, y, np.eye(2), np.zeros(2))[1]
     assert mse < ((flat - y) ** 2).mean()
+
+
+@pytest.mark.parametrize("many", [0, 99])
+def test_spectral_regression_of_many_modes(spark, monkeypatch, many):
+    from lodestrata.operators import learn
+
+    monkeypatch.setattr(learn.SpectralRegression, "MANY", many)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50, 5))
+    y = x @ rng.normal(size=5) + 0.1 * rng.normal(size=50)
+    rows = [(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    names = [f"f{k}" for k in range(5)]
+    df = spark.createDataFrame([*rows, (50, 1.0, None, 0.0, 0.0, 0.0, None)], "id long, " + ", ".join(f"{n} double" for n in [*names, "y"]))
+    density = [1.0, 0.5, 0.2, 2.0, 1.0]
+    got = {r.id: r for r in learn.SpectralRegression(density, 0.3).fit(df, names, "y").predict(df, "mean", "variance").collect()}
+    a = x.T @ x
+    a[0, 0] += 1.0  # what the row with nulls still says
+    cov = np.linalg.inv(a / 0.3 + np.diag(1 / np.array(density)))
+    assert np.allclose([got[i]["mean"] for i in range(50)], x @ cov @ x.T @ y / 0.3)
+    assert np.allclose([got[i]["variance"] for i in range(50)], 0.3 + ((x @ cov) * x).sum(1))
+    assert got[50]["mean"] is None and got[50]["variance"] is None
+
+
+def test_array_files_in_slices(spark, tmp_path):
+    from lodestrata.sources import readers
+
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(25, 2, 2)), np.asfortranarray(rng.integers(0, 9, (7, 4)).astype("int16"))
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", b)
+    np.save(tmp_path / "c.npy", np.zeros((0, 4)))
+    df = readers.array_slices(spark, f"file://{tmp_path}/*.npy", list("pqrs"), rows=4)
+    assert df.rdd.getNumPartitions() == 7 + 2
+    got = sorted((r.file.rsplit("/", 1)[1], r.row_id, r.p, r.q, r.r, r.s) for r in df.collect())
+    want = [("a.npy", i, *map(float, v.ravel())) for i, v in enumerate(a)] + [("b.npy", i, *map(float, v)) for i, v in enumerate(b)]
+    assert got == want
+    assert readers.array_slices(spark, f"{tmp_path}/none*.npy", ["x"]).count() == 0
+    with pytest.raises(Exception, match="columns"):
+        readers.array_slices(spark, f"{tmp_path}/a.npy", ["x"]).count()
