@@ -55,6 +55,24 @@ def preceding(points: DataFrame, key: str, coords: list[str], k: int, seed: int
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("src", "dst", "rank")
 
 
+def along_graph(train: DataFrame, key: str, edges: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Neighbours by shortest paths over edges (src, dst, d2) of the training rows instead of straight lines: (src, dst, rank) before each row in the
+    order of order_of, for fit(); and the k nearest of each row, itself first, for rows that snap to it."""
+    from .graph import geodesic_knn
+
+    order = cut(train.select(F.col(key).cast("long").alias("id")).withColumn("place", order_of(seed)).select(F.col("id").alias("node"), "place"), "order")
+    before = geodesic_knn(edges, k, order).select(F.col("source").alias("src"), F.col("node").alias("dst"), "rank")
+    near = geodesic_knn(edges, k - 1).select(F.col("source").alias("src"), F.col("node").alias("dst"), (F.col("rank") + 1).alias("rank"))
+    own = order.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("rank"))
+    return before, near.unionByName(own)
+
+
+def snapped(new: DataFrame, train: DataFrame, key: str, coords: list[str], near: DataFrame) -> DataFrame:
+    """(src, dst, rank): new rows with the neighbours of the training row they lie nearest to."""
+    at = tree_knn(new, train, key, coords, 1).select(F.col("src").alias("_new"), F.col("dst").alias("_at"))
+    return at.join(near, F.col("_at") == F.col("src")).select(F.col("_new").alias("src"), "dst", "rank")
+
+
 def _gathered(rows: DataFrame, neighbours: DataFrame, values: DataFrame, key: str, coords: list[str], channels: list[str]) -> DataFrame:
     """id, own coordinates and channels where rows have them, and the neighbours' as two flat arrays, nearest first."""
     v = values.select(F.col(key).alias("dst"), F.array(*[F.col(c).cast("double") for c in coords]).alias("nx"), F.array(*[F.col(c).cast("double") for c in channels]).alias("ny"))

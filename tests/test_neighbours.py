@@ -177,3 +177,18 @@ def test_few_neighbours_come_close_and_rows_without_any_get_the_mean(spark):
     alone = local_gp.predict(asked.limit(1), near.limit(0), train, "id", names, fitted).first()
     assert abs(alone["mean"] - fitted[0]["mean"]) < 1e-12 and abs(alone["variance"] - fitted[0]["variance"] * (1 + fitted[0]["noise"])) < 1e-12
     assert local_gp.fit(train.limit(0), order.limit(0), "id", names, ["a"], [1.0], [1.0]) == []
+
+
+def test_neighbours_along_a_graph_condition_the_process(spark):
+    # a horseshoe: its two ends lie side by side, but far apart along it
+    turn = np.linspace(0, 2 * np.pi * 0.97, 120)
+    x = np.column_stack([np.cos(turn), np.sin(turn)])
+    train, names = frame(spark, x[::2], a=turn[::2])
+    e = spatial.edges_from(knn_tree.tree_knn(train, train, "id", names, 2, same=True))
+    e = e.where("abs(src - dst) < 30")
+    before, near = local_gp.along_graph(train, "id", e.cache(), 6)
+    assert all(abs(r.src - r.dst) < 30 for r in near.collect()) and before.groupBy("src").count().agg(F.max("count")).first()[0] <= 6
+    fitted = local_gp.fit(train, before, "id", names, ["a"], [0.3, 1.0], [1e-3, 1e-2])
+    new, _ = frame(spark, x[1::2])
+    got = {r.id: r.mean for r in local_gp.predict(new, local_gp.snapped(new, train, "id", names, near), train, "id", names, fitted).collect()}
+    assert len(got) == 60 and max(abs(got[i] - turn[1::2][i]) for i in range(60)) < 0.3
