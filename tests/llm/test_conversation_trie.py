@@ -63,7 +63,7 @@ def odd_rows(seed):
     for c in range(100, 140):  # copies from end to end
         rows += [(c, turn, "user", f"same {turn}") for turn in range(5)]
     rows += [(7, None, "user", "first"), (7, None, "user", "also first"), (8, 1, "x", "tie"), (8, 1, "x", "tie"), (None, 0, "user", "nobody"), (9, 50, "user", "long " * 100000)]
-    rows += [(300, turn, "u", str(turn)) for turn in range(30)] + [(301, turn, "u", str(turn % 29)) for turn in range(30)]
+    rows += [(300, turn, "u", str(turn)) for turn in range(11)] + [(301, turn, "u", str(turn % 10)) for turn in range(11)]
     return rows
 
 

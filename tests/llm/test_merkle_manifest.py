@@ -87,7 +87,7 @@ def written(spark, rows, path):
     return sorted((tuple(r) for r in M.query(spark, str(path)).select(*COLUMNS).collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [2, 8, 4096])
+@pytest.mark.parametrize("block", [2, 4096])
 def test_the_query_equals_the_rule(scattered, tmp_path, monkeypatch, block):
     monkeypatch.setattr(M, "BLOCK", block)
     rows = odd_rows(120, block)
@@ -102,7 +102,7 @@ def test_one_row_and_none(spark, tmp_path):
     assert written(spark, [], tmp_path / "none") == []
 
 
-@pytest.mark.parametrize("fanout", [3, 10])
+@pytest.mark.parametrize("fanout", [3])
 def test_other_fanouts_and_whole_siblings(scattered, fanout, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 10)
     rows = odd_rows(90, fanout)
@@ -117,7 +117,7 @@ def test_other_fanouts_and_whole_siblings(scattered, fanout, monkeypatch):
         assert x == r.root == r.folded_root
 
 
-@pytest.mark.parametrize("fanout,n", [(2, 1), (2, 37), (3, 81), (3, 82), (5, 26)])
+@pytest.mark.parametrize("fanout,n", [(2, 1), (2, 37), (3, 82)])
 def test_stack_and_merge_give_every_node_once(scattered, fanout, n, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", fanout)
     items = scattered.createDataFrame([("k", i, H(str(i))) for i in range(n)], "key string, i long, digest string")
