@@ -7,6 +7,7 @@ gives the planner real sizes to choose joins by.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -30,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there."""
+    """df written as Parquet to the shared folder and read again: its lineage ends there.
+
+    On a local file system without native Hadoop libraries every folder and marker that the driver makes starts a `chmod`, which until it begins is
+    an image of the whole JVM. So the folders of the write are there before, and no marker is left: nobody else reads the table.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    if path.startswith("file:"):
+        os.makedirs(f"{path.removeprefix('file:')}/_temporary/0/_temporary")
+    out = df.write.mode("append").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -320,3 +320,14 @@ def test_a_failed_run_leaves_the_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     sinks.publish(spark.read.parquet(path).where("id > 0"), path)
     assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir() if "table." in p.name] == []
+
+
+def test_cut_starts_no_process_for_the_driver(spark, tmp_path, monkeypatch):
+    from lodestrata.plans import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = shared.cut(spark.range(10), "ten")
+    folder = next(tmp_path.iterdir())
+    assert sorted(r.id for r in got.collect()) == list(range(10))
+    # a marker that is not made needs no chmod; nothing of the write's own folders is left
+    assert {p.suffix for p in folder.iterdir()} == {".parquet", ".crc"}
