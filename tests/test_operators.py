@@ -331,3 +331,35 @@ def test_cut_starts_no_process_for_the_driver(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in got.collect()) == list(range(10))
     # a marker that is not made needs no chmod; nothing of the write's own folders is left
     assert {p.suffix for p in folder.iterdir()} == {".parquet", ".crc"}
+
+
+def test_vector_knn_tasks_are_bounded_cells(spark, monkeypatch):
+    """More rows make more tasks, not longer ones, and every cell has its own."""
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(240, 6))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(vec)], "id long, v array<double>")
+    monkeypatch.setattr(spatial, "SIDE", 40)
+    seen, real = [], spatial._nearest
+
+    def counted(k, rule):
+        def of(frames):
+            met = {True: 0, False: 0}
+
+            def passed():
+                for f in frames:
+                    for row in f.itertuples():
+                        met[row.queries] += len(row.keys) // 8
+                    yield f
+
+            found = list(real(k, rule)(passed()))
+            assert met[True] <= 80 and met[False] <= 80, met
+            yield from found
+
+        seen.append(k)
+        return of
+
+    monkeypatch.setattr(spatial, "_nearest", counted)
+    got = {r.src: r for r in spatial.vector_knn(df, df, "id", "v", 1, block=16).collect()}
+    d2 = ((vec[:, None] - vec[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    assert seen == [1] and all(got[i].dst == d2[i].argmin() for i in range(240))
