@@ -166,12 +166,14 @@ j AS (SELECT s.y, d.m AS md, e.m AS me FROM s JOIN d USING (bin) JOIN e ON e.bin
 SELECT {R("1 - sum(power(y - md, 2)) / (count(*) * var_pop(y))")} AS by_distance, {R("1 - sum(power(y - me, 2)) / (count(*) * var_pop(y))")} AS by_both FROM j""")
 def a39(spark, sf):
     s = value_pairs(spark, sf).withColumns({"y": F.col("va") * F.col("vb"), "same": F.col("la") == F.col("lb")})
-    d = s.groupBy("bin").agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("md")).where("_n > 5").drop("_n")
-    e = s.groupBy("bin", "same").agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("me")).where("_n > 5").drop("_n")
-    j = s.join(d, "bin").join(e, ["bin", "same"])
-    sst = F.count(F.lit(1)) * F.var_pop("y")
-    sq = lambda m: F.sum((F.col("y") - F.col(m)) * (F.col("y") - F.col(m)))
-    return j.agg(r(1 - sq("md") / sst).alias("by_distance"), r(1 - sq("me") / sst).alias("by_both"))
+    # pairs meet by partial aggregation alone: squares about any mean follow from the counts, means and variances of at most 8 x 3 groups
+    n, me, v = F.col("n"), F.col("me"), F.col("v")
+    of_bin, whole = Window.partitionBy("bin"), Window.partitionBy(F.lit(1))
+    j = s.groupBy("bin", "same").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("me"), F.var_pop("y").alias("v"))
+    j = j.withColumns({"_n": F.sum(n).over(of_bin), "md": F.sum(n * me).over(of_bin) / F.sum(n).over(of_bin)})
+    j = j.where("_n > 5 and n > 5 and bin is not null and same is not null").withColumn("m", F.sum(n * me).over(whole) / F.sum(n).over(whole))
+    sq = lambda c: F.sum(n * (v + (me - F.col(c)) * (me - F.col(c))))
+    return j.agg(r(1 - sq("md") / sq("m")).alias("by_distance"), r(1 - F.sum(n * v) / sq("m")).alias("by_both"))
 
 
 @add("A36_M1_regression_ceiling", f"""WITH b AS (SELECT l_linenumber AS fold, l_extendedprice AS y, l_quantity AS q FROM lineitem), f AS (SELECT DISTINCT fold FROM b),

@@ -94,3 +94,10 @@ def test_knn_join_asks_for_every_vector(spark):
     sf = "/root/testdata/sf0.001"
     asked = catalog.queries()["J13_T5_knn_join"](spark, sf).select("src").distinct().count()
     assert asked == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_distance_prize_joins_no_pairs_by_bin(spark):
+    from lodestrata import catalog
+
+    plan = catalog.queries()["A39_distance_and_border_prize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # of the points by place
