@@ -101,3 +101,15 @@ def test_distance_prize_joins_no_pairs_by_bin(spark):
 
     plan = catalog.queries()["A39_distance_and_border_prize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # of the points by place
+
+
+def test_pairs_of_suppliers_are_made_in_many_tasks(spark, monkeypatch):
+    from lodestrata.plans import q_volume
+
+    monkeypatch.setattr(q_volume, "PAIRS", 500, raising=False)
+    s = {r.s_suppkey: r for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    made = query(spark, "G15_factor_kernels")
+    assert made.rdd.getNumPartitions() >= len(s) ** 2 // 500
+    want = lambda a, b: np.exp(-((a.s_acctbal - b.s_acctbal) ** 2) / 2e6) * (1.0 if a.s_nationkey == b.s_nationkey else 0.3)
+    rows = made.collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == len(s) ** 2 and all(abs(r.k - want(s[r.a], s[r.b])) < 1e-6 for r in rows)
