@@ -17,6 +17,21 @@ def plain_transport(x, y, eps, rounds=3000):
     return u[:, None] * k * v[None, :], c
 
 
+def test_large_sections_meet_in_moments(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BLOCK", 700)
+    rng = np.random.default_rng(3)
+    x, y = rng.random((2500, 2)) * 1.2 - 0.5, rng.random((1500, 2)) * [1.0, 1.3]
+    rows = [(s, 10000 * s + i, *map(float, v)) for s, p in ((4, x), (5, y)) for i, v in enumerate(p)]
+    points = spark.createDataFrame(rows, "s long, id long, x double, y double")
+    solved = transport.Transport(points, "s", "id", ["x", "y"], spark.createDataFrame([(4, 5), (5, 6)], "a long, b long"), 0.5, tolerance=1e-10)
+    assert solved.cells
+    plan, c = plain_transport(x, y, 0.5, rounds=300)
+    got = sorted(solved.carried().collect(), key=lambda r: r.key)
+    assert [r.key for r in got] == [40000 + i for i in range(2500)]
+    assert np.allclose([r.mass * 2500 for r in got], 1.0, atol=1e-9) and np.allclose([r.cost for r in got], (plan * c).sum(1), rtol=1e-8)
+    assert np.allclose([[r.y0, r.y1] for r in got], (plan @ y) / plan.sum(1)[:, None], atol=1e-8)
+
+
 @pytest.mark.parametrize("block", [7, 2048])
 def test_transport_equals_plain_scaling_and_keeps_marginals(spark, monkeypatch, block):
     monkeypatch.setattr(transport, "BLOCK", block)
