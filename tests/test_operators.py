@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -241,6 +242,23 @@ def test_statistics_equal_numpy(spark):
     assert math.isclose(sums, math.sqrt(np.average((y[g > 0] - np.average(y[g > 0], weights=w)) ** 2, weights=w)), rel_tol=1e-9)
 
 
+def test_large_channels_of_a_process_are_solved_by_sums(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "ROWS", 300, raising=False)
+    monkeypatch.setattr(grouped, "DENSE", 100, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(k, i, *map(float, rng.random(2) * 0.4), float(rng.normal()), "test" if i % 5 == 0 else "train") for k, n in ((1, 900), (None, 700), (2, 60)) for i in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "c int, id long, x double, y double, v double, split string").repartition(5)
+    calls = []
+    monkeypatch.setattr(grouped, "_by_sums", lambda *a, f=grouped._by_sums: calls.append(1) or f(*a))
+    got = {(r.c, r.id): r for r in grouped.gp_by_channel(df, "c", ["x", "y"], "v", "split", "id", 0.3).collect()}
+    assert calls and len(got) == sum(r[5] == "test" for r in rows)
+    for c in (1, None, 2):
+        own = pd.DataFrame(sorted([r for r in rows if r[0] == c], key=lambda r: r[1]), columns=["c", "id", "x", "y", "v", "split"])
+        new = own[own.split == "test"]
+        want, noise = grouped.gp_regression(own[own.split == "train"], new, ["x", "y"], "v", 0.3)
+        assert np.allclose([got[c, i].prediction for i in new.id], want, atol=1e-8) and {got[c, i].noise for i in new.id} == {noise}
+
+
 def test_samples_and_tests(spark):
     df = spark.range(200).select("id", (F.col("id") % 4).alias("g"), (F.col("id") + 1.0).alias("w"))
     assert sampling.sample(df, 30, 1, "id").count() == 30
