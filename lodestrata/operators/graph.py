@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import count
+from math import inf
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import heat, portable_hash, ratio
 from ..plans.components import components
-from ..plans.shared import cut
+from ..plans.shared import cut, release
 from .spatial import edges_from, symmetric
 
 
@@ -162,34 +167,143 @@ def geodesic(edges: DataFrame, sources: DataFrame, most: float, rounds: int | No
     return known
 
 
-def geodesic_knn(edges: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame:
+#: Nodes of a block of the graph that one task searches: no more than BLOCK on the whole, and not cut finer than LEAST for more tasks.
+BLOCK, LEAST = 4096, 1024
+
+
+def blocks_for(spark, n: int) -> int:
+    """How many blocks n nodes are dealt into."""
+    return max(1, -(-n // BLOCK), min(2 * spark.sparkContext.defaultParallelism, n // LEAST))
+
+
+def geodesic_knn(edges: DataFrame, k: int, nodes: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """(source, node, d, rank): the k nodes nearest to every node along the edges (length sqrt d2), ties to smaller nodes; with
     nodes (node, place), only those that stand before it in that order: the conditioning sets of a sequential factorisation.
 
-    A frontier search from all nodes at once. An entry goes on only while it is no farther than the k-th eligible node that its source has met, so
-    a source sees about k n / place nodes. Rounds end with the last improvement. Nodes that no path reaches are no neighbours.
+    The graph lies in blocks, by hash or as blocks (node, block from 0) says; near nodes in one block make fewer rounds. A task searches one block from all
+    its nodes, or later from where paths came in, and sends paths that leave it on to other blocks. A path goes on only while it is no longer than its source's way to the
+    k-th eligible node met, so a source sees about k n / place nodes; what a task has searched is not kept, only its nodes at the border and k nodes a source.
+    Rounds grow with the blocks that a path crosses and end when none is shortened. Nodes that no path reaches are no neighbours.
     """
     both = cut(symmetric(edges.select("src", "dst", F.sqrt("d2").alias("len"))), "lengths")
-    places = both.select(F.col("src").alias("node")).distinct().withColumn("place", F.lit(0)) if nodes is None else nodes.select("node", "place")
-    places = cut(places, "places")
-    here, there = places.select(F.col("node").alias("source"), F.col("place").alias("_a")), places.select("node", F.col("place").alias("_b"))
-    fits = F.col("source") != F.col("node") if nodes is None else F.col("_b") < F.col("_a")
-    front = places.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"))
-    known = None
+    places = both.select(F.col("src").alias("node")).distinct()
+    places = places.withColumn("place", F.lit(0.0)) if nodes is None else places.join(nodes.select("node", F.col("place").cast("double").alias("place")), "node", "left")
+    many = blocks_for(edges.sparkSession, places.count()) if blocks is None else (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    own = F.pmod(F.xxhash64(F.col("node").cast("long")), F.lit(many)).cast("int")
+    places = cut(places.withColumn("block", own) if blocks is None else places.join(blocks, "node", "left").withColumn("block", F.coalesce("block", own)), "places")
+    here, there = places.select(F.col("node").alias("src"), "block"), places.select(F.col("node").alias("dst"), F.col("block").alias("other"))
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    rows = both.join(here, "src").join(there, "dst").select("block", F.lit(1).alias("kind"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.col("len").alias("d"), none.alias("place"), none.alias("most"), "other")
+    graph = cut(rows.unionByName(places.select("block", F.lit(0).alias("kind"), F.col("node").cast("long").alias("a"), zero.alias("b"), none.alias("d"), "place", none.alias("most"), F.lit(0).alias("other"))), "graph")
     nearest = Window.partitionBy("source").orderBy("d", "node")
+    best = sent = front = None
     while True:
-        known = front if known is None else known.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d"))
-        known = cut(known, "known")
-        eligible = known.join(here, "source").join(there, "node").where(fits).select("source", "node", "d")
+        seen = graph if front is None else graph.unionByName(front.select(F.col("other").alias("block"), F.lit(2).alias("kind"), F.col("source").alias("a"), F.col("node").alias("b"), "d", "place", "most", F.lit(0).alias("other")))
+        made = cut(seen.repartitionById(many, F.col("block")).mapInArrow(_searched(k, front is None, nodes is not None), "kind int, source long, node long, d double, place double, other int"), "round")
+        found = made.where(f"kind = {FOUND}").select("source", "node", "d")
+        old = best
+        found = found if best is None else found.unionByName(best.select("source", "node", "d")).groupBy("source", "node").agg(F.min("d").alias("d"))
         # row_number up to k is cut before the shuffle, so a source that has met many nodes sends few
-        best = cut(eligible.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "best")
+        best = cut(found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "best")
+        moved = made.where(f"kind <> {FOUND}").groupBy("source", "node").agg(
+            F.min(F.when(F.col("kind") == LEFT, F.col("d"))).alias("d"), F.min(F.when(F.col("kind") == EDGE, F.col("d"))).alias("known"), F.max("place").alias("place"), F.max("other").alias("other")
+        )
+        if sent is not None:
+            moved = moved.join(sent.withColumnRenamed("d", "old"), ["source", "node"], "left").withColumn("known", F.least("known", "old")).drop("old")
         bound = best.where(F.col("rank") == k).select("source", F.col("d").alias("most"))
-        step = front.join(both, front["node"] == both["src"]).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("len")).alias("d"))
-        step = step.groupBy("source", "node").agg(F.min("d").alias("d")).join(bound, "source", "left").where(F.col("most").isNull() | (F.col("d") <= F.col("most")))
-        old = known.select("source", "node", F.col("d").alias("old"))
-        front = cut(step.join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("source", "node", "d"), "front")
+        fresh = moved.where("d is not null and (known is null or d < known)").drop("known").join(bound, "source", "left").where("most is null or d <= most")
+        front = cut(fresh, "front")
         if front.isEmpty():
             return best
+        arrived = front.select("source", "node", "d").unionByName(made.where(f"kind = {EDGE}").select("source", "node", "d"))
+        before = sent
+        sent = cut((arrived if sent is None else arrived.unionByName(sent)).groupBy("source", "node").agg(F.min("d").alias("d")), "sent")
+        for done in (made, old, before):
+            if done is not None:
+                release(done)
+
+
+#: What a search of a block gives: eligible nodes, paths into other blocks, and nodes at the border of the own one.
+FOUND, LEFT, EDGE = 0, 1, 2
+
+
+def _searched(k: int, first: bool, ordered: bool):
+    """Searches of one block (rows of kind 0: a node with its place, 1: an edge, 2: a path that came in) from all its nodes, or from the paths that came in."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        whole = pa.Table.from_batches(parts)
+        kind, a, b, d, place, most, other = (whole[c].to_numpy() for c in ("kind", "a", "b", "d", "place", "most", "other"))
+        nodes, edges, came = (np.flatnonzero(kind == v) for v in (0, 1, 2))
+        if not first and not len(came):
+            return
+        nodes = nodes[np.argsort(a[nodes])]
+        ids, stands = a[nodes], place[nodes].tolist()
+        mine = np.isin(b[edges], ids)
+        inner: list[list] = [[] for _ in ids]
+        outer: list[list] = [[] for _ in ids]
+        for u, v, length in zip(np.searchsorted(ids, a[edges[mine]]).tolist(), np.searchsorted(ids, b[edges[mine]]).tolist(), d[edges[mine]].tolist(), strict=True):
+            inner[u].append((length, v))
+        away = edges[~mine]
+        goals = dict(zip(b[away].tolist(), other[away].tolist(), strict=True))
+        for u, v, length in zip(np.searchsorted(ids, a[away]).tolist(), b[away].tolist(), d[away].tolist(), strict=True):
+            outer[u].append((length, v))
+        names = ids.tolist()
+
+        def search(source: int, stand: float, limit: float, heap: list) -> list[tuple]:
+            short, met, left, edge = {u: at for at, u in heap}, [], {}, []
+            heapify(heap)
+            while heap:
+                at, u = heappop(heap)
+                if at > limit:
+                    break
+                if at > short[u]:
+                    continue
+                if stands[u] < stand if ordered else names[u] != source:
+                    met.append((at, names[u]))
+                    if len(met) == k:
+                        limit = min(limit, at)
+                for length, v in inner[u]:
+                    to = at + length
+                    if to <= limit and to < short.get(v, inf):
+                        short[v] = to
+                        heappush(heap, (to, v))
+                if outer[u]:
+                    edge.append((EDGE, source, names[u], at, stand, 0))
+                    for length, v in outer[u]:
+                        to = at + length
+                        if to <= limit and to < left.get(v, inf):
+                            left[v] = to
+            met.sort()
+            return [(FOUND, source, v, at, stand, 0) for at, v in met[:k]] + [(LEFT, source, v, to, stand, goals[v]) for v, to in left.items() if to <= limit] + edge
+
+        def starts() -> Iterator[tuple]:
+            if first:
+                yield from ((v, s, inf, [(0.0, u)]) for u, (v, s) in enumerate(zip(names, stands, strict=True)) if s == s)
+                return
+            at = came[np.argsort(a[came], kind="stable")]
+            cuts = np.flatnonzero(np.diff(a[at])) + 1
+            for group in np.split(at, cuts):
+                bound = most[group[0]]
+                yield int(a[group[0]]), float(place[group[0]]), inf if bound != bound else float(bound), list(zip(d[group].tolist(), np.searchsorted(ids, b[group]).tolist(), strict=True))
+
+        out: list[tuple] = []
+        for start in starts():
+            out += search(*start)
+            if len(out) >= 1 << 16:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    return of
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kind, source, node, d, place, other = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "source": pa.array(source, pa.int64()), "node": pa.array(node, pa.int64()), "d": pa.array(d, pa.float64()), "place": pa.array(place, pa.float64()), "other": pa.array(other, pa.int32())})
 
 
 def border_distance(nodes: DataFrame, border: DataFrame, key: str, label: str, coords: list[str], cell: float) -> DataFrame:

@@ -248,6 +248,18 @@ def _searched(queries: DataFrame, refs: DataFrame, dims: int, k: int, same: bool
     return q.groupBy("leaf", "chunk").cogroup(p.groupBy("leaf", "chunk")).applyInArrow(of, shape)
 
 
+def tree_blocks(points: DataFrame, key: str, coords: list[str], many: int) -> DataFrame:
+    """(node, block from 0): points dealt into about so many blocks of near ones and about equal counts, by the splits of a bounded sample."""
+    spark, dims, least = points.sparkSession, len(coords), 16
+    narrow = points.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(f"c{a}") for a, c in enumerate(coords)]).na.drop()
+    fraction = min(1.0, 8.0 * many * least / max(narrow.count(), 1))
+    sample = np.array([tuple(row) for row in narrow.sample(fraction, seed=7).drop("id").collect()], dtype=float).reshape(-1, dims)
+    tree = Tree(sample, min(many, CELLS), least)
+    shipped = spark.sparkContext.broadcast((tree, np.cumsum(tree.axis < 0) - 1))
+    made = _mapped(narrow, dims, lambda b, ids, at: _columns(ids, at, leaf=shipped.value[1][shipped.value[0].home(at)]), "leaf long")
+    return made.select(F.col("id").alias("node"), F.col("leaf").cast("int").alias("block"))
+
+
 def tree_knn(points: DataFrame, refs: DataFrame, key: str, coords: list[str], k: int, same: bool = False) -> DataFrame:
     """(src, dst, d2, rank) of the k nearest references of each point, exact, ties to smaller keys; with same, a key is no neighbour of itself.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import portable_hash
 from ..plans.shared import cut
-from .knn_tree import tree_knn
+from .knn_tree import tree_blocks, tree_knn
 
 #: A level of the order holds so many times the rows before it; the first one at least so many rows.
 GROWTH, FIRST = 8, 64
@@ -55,14 +55,16 @@ def preceding(points: DataFrame, key: str, coords: list[str], k: int, seed: int
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("src", "dst", "rank")
 
 
-def along_graph(train: DataFrame, key: str, edges: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def along_graph(train: DataFrame, key: str, edges: DataFrame, k: int, seed: int = 0, coords: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Neighbours by shortest paths over edges (src, dst, d2) of the training rows instead of straight lines: (src, dst, rank) before each row in the
-    order of order_of, for fit(); and the k nearest of each row, itself first, for rows that snap to it."""
-    from .graph import geodesic_knn
+    order of order_of, for fit(); and the k nearest of each row, itself first, for rows that snap to it. Coordinates, where edges join near rows, only
+    say which rows are searched together."""
+    from .graph import blocks_for, geodesic_knn
 
     order = cut(train.select(F.col(key).cast("long").alias("id")).withColumn("place", order_of(seed)).select(F.col("id").alias("node"), "place"), "order")
-    before = geodesic_knn(edges, k, order).select(F.col("source").alias("src"), F.col("node").alias("dst"), "rank")
-    near = geodesic_knn(edges, k - 1).select(F.col("source").alias("src"), F.col("node").alias("dst"), (F.col("rank") + 1).alias("rank"))
+    blocks = cut(tree_blocks(train, key, coords, blocks_for(train.sparkSession, order.count())), "blocks") if coords else None
+    before = geodesic_knn(edges, k, order, blocks).select(F.col("source").alias("src"), F.col("node").alias("dst"), "rank")
+    near = geodesic_knn(edges, k - 1, blocks=blocks).select(F.col("source").alias("src"), F.col("node").alias("dst"), (F.col("rank") + 1).alias("rank"))
     own = order.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("rank"))
     return before, near.unionByName(own)
 

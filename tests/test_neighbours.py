@@ -120,6 +120,30 @@ def test_geodesic_neighbours_equal_dijkstra(spark, before):
     assert {(r.source, r.rank): (r.node, round(r.d, 9)) for r in got} == want
 
 
+@pytest.mark.parametrize("before", [False, True])
+def test_geodesic_neighbours_across_blocks(spark, monkeypatch, before):
+    monkeypatch.setattr(graph, "BLOCK", 20)  # five blocks: paths leave them and come back
+    rng = np.random.default_rng(8)
+    edges = {(int(a), int(b)): float(w) for (a, b), w in zip(rng.integers(0, 80, (150, 2)), rng.integers(0, 4, 150) / 4, strict=True) if a < b}
+    edges |= {(i, i + 1): 0.25 for i in range(80, 95)}
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    order = spark.range(96).select(F.col("id").alias("node"), F.col("id").alias("place")) if before else None
+    table, want = spark.createDataFrame(rows, "src long, dst long, d2 double"), plain_geodesic(96, rows, 4, before)
+    runs = spark.range(96).select(F.col("id").alias("node"), F.floor(F.col("id") / 32).cast("int").alias("block"))
+    for blocks in (None, runs):
+        got = graph.geodesic_knn(table, 4, order, blocks).collect()
+        assert {(r.source, r.rank): (r.node, round(r.d, 9)) for r in got} == want
+
+
+def test_long_paths_take_rounds_by_blocks_and_not_by_hops(spark, monkeypatch):
+    calls, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="part": (calls.append(name), plain(df, name))[1])
+    chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("d2"))
+    order = spark.range(61).select(F.col("id").alias("node"), (60 - F.col("id")).alias("place"))
+    got = {(r.source, r.rank): r.node for r in graph.geodesic_knn(chain, 2, order).collect()}
+    assert got[0, 1] == 1 and got[58, 2] == 60 and len(got) == 119 and len(calls) < 10
+
+
 def test_dissolving_speckles(spark):
     cells = {(x, 0): (1 if x < 6 else 2) for x in range(12)} | {(x, 1): 2 for x in range(3)} | {(20, 20): 3, (22, 22): 3}
     rows = [(i, lab, float(x), float(y)) for i, ((x, y), lab) in enumerate(cells.items())]
