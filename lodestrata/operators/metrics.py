@@ -6,10 +6,15 @@ one final aggregation whatever the number of channels or models.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import both_finite, finite, ratio
 from ..plans.shared import cut
@@ -67,41 +72,173 @@ def score_z(pairs: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pr
     return out.select(*keys, "n", "rmse_z", "corr", "r2", *(["mean_sigma"] if sigma else []))
 
 
-#: Rows of a key that one task sorts (by spilling if need be).
-WINDOW_ROWS = 1 << 22
+#: Rows of a range of values that one task ranks; small tables are cut no finer than LEAST_ROWS for more tasks.
+WINDOW_ROWS, LEAST_ROWS = 1 << 20, 1 << 16
 
 
 def spearman(pairs: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """keys, spearman: correlation of average ranks; null where all values of a side are equal.
+    """keys, spearman: correlation of average ranks of doubles; null where all values of a side are equal. Nulls come first, NaN last."""
+    return spearman_models(pairs, keys, [p], y).select(*keys, "spearman")
 
-    Where no key has more than WINDOW_ROWS rows, each key is sorted in one task. Beyond that no row is ranked: each distinct value of a key is
-    counted, its rank follows from the counts before it over ranges of values, and moments are weighted by counts.
+
+def spearman_models(wide: DataFrame, keys: list[str], models: list[str], y: str = "y_true") -> DataFrame:
+    """keys, model, spearman of several predictions that stand side by side.
+
+    Rows are dealt into ranges of (keys, y), where the truth is ranked once, and then, a row for each model, into ranges of (keys, model, prediction). Both
+    ranks are those within a range; a range's sums are shifted by the rows of its key in the ranges before it, once all are known. Rows travel twice and are joined with nothing.
+    Equal truths may lie in several ranges: they are the first or last of each, and their rank follows from the counts of all. Equal
+    predictions of a range of truths are one row with their sums. So a value that many rows hold is no large task on either side.
     """
-    most = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if most <= WINDOW_ROWS:
-        place = lambda v: F.rank().over(Window.partitionBy(*keys).orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, v)) - 1) / 2.0
-        ranked = pairs.select(*keys, y, p).withColumn("_ry", place(y)).withColumn("_rp", place(p)).groupBy(*keys)
-        varies = (F.min("_ry") < F.max("_ry")) & (F.min("_rp") < F.max("_rp"))
-        return ranked.agg(F.when(varies, F.covar_pop("_ry", "_rp") / (F.stddev_pop("_ry") * F.stddev_pop("_rp"))).alias("spearman"))
-    narrow = cut(pairs.select(*keys, y, p), "pairs")
-    left, right = _value_ranks(narrow, keys, y, "_ry"), _value_ranks(narrow, keys, p, "_rp")
-    spread = lambda ranks, r, name: ranks.groupBy(*keys).agg(F.sum(F.col("_n") * F.col(r) * F.col(r)).alias(name))
-    sides = _null_safe(spread(left, "_ry", "_a"), spread(right, "_rp", "_b"), keys)
-    by_p = _null_safe(narrow, left.select(*keys, y, "_ry"), [*keys, y]).groupBy(*keys, p).agg(F.sum("_ry").alias("_s"))
-    met = _null_safe(by_p, right.select(*keys, p, "_rp"), [*keys, p]).groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_rp")).alias("_c"))
-    return _null_safe(sides, met, keys).select(*keys, F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / F.sqrt(F.col("_a") * F.col("_b"))).alias("spearman"))
-
-
-def _value_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """keys, value, _n, name: every distinct value of a key, how many rows hold it, and their average rank less the key's mean rank. Nulls come
-    first, NaN last."""
-    from .bins import global_rank
-
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = cut(global_rank(counts, [*keys, value], "_place", running={"_upto": "_n"}), "values")
-    spans = ranked.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"), F.sum("_n").alias("_all"))
-    rank = F.col("_upto") - F.col("_n") - F.col("_base") + (F.col("_n") + 1) / 2.0 - (F.col("_all") + 1) / 2.0
-    return _null_safe(ranked, spans, keys).select(*keys, value, "_n", rank.alias(name))
+    narrow = cut(wide.select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(m).cast("double").alias(f"_p{k}") for k, m in enumerate(models)]), "pairs")
+    n, own = narrow.count(), narrow.select(*keys).schema
+    parts = max(1, -(-n // max(WINDOW_ROWS, 1)), min(narrow.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    shape = lambda more: StructType([*own.fields, *StructType.fromDDL(more).fields])
+    dealt = narrow.repartitionByRange(parts, *keys, "_y", F.rand(7)).withColumn("_part", F.spark_partition_id())
+    ranked = dealt.mapInArrow(_truth_ranks(keys, len(models)), shape("_m int, _v double, _at int, _n long, _s double, _s2 double, _below long"))
+    again = ranked.repartitionByRange(parts * len(models), *keys, "_m", "_v").withColumn("_part", F.spark_partition_id())
+    sums = cut(again.mapInArrow(_range_sums(keys), shape("_m int, _v double, _at int, _n long, _s double, _s2 double, _below long, _part int, _q double, _x double, _kinds long")), "sums")
+
+    def before(rows: DataFrame, of: list[str]) -> DataFrame:
+        """Rows of a key in the ranges before each, and in all."""
+        held = rows.groupBy(*of, "_part").agg(F.sum("_n").alias("_n"))
+        w = Window.partitionBy(*of)
+        return held.select(*of, "_part", (F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"), F.sum("_n").over(w).alias("_all"))
+
+    # twice the ranks, less twice their mean: what a range lacks is one number for its inner values, and one for its first and last
+    truths = sums.where("_m < 0").withColumn("_part", F.floor(F.col("_at") / 3).cast("int"))
+    truths = _null_safe(truths, before(truths, keys), [*keys, "_part"])
+    same = Window.partitionBy(*keys, "_v")
+    doubled = F.when(F.col("_at") % 3 == 0, 2.0 * F.col("_off")).otherwise(2.0 * F.min(F.col("_off") + F.col("_below")).over(same) + F.col("_edge") + 1.0)
+    edge = F.sum(F.when(F.col("_at") % 3 != 0, F.col("_n"))).over(same)
+    inner = truths.where("_at % 3 = 0").withColumn("_edge", F.lit(0).cast("long"))
+    outer = truths.where("_at % 3 <> 0").withColumn("_edge", edge)
+    truths = cut(inner.withColumn("_o", 2.0 * F.col("_off") - F.col("_all") - 1).unionByName(outer.withColumn("_o", doubled - F.col("_all") - 1)), "truths")
+    spread = truths.groupBy(*keys).agg(F.sum(F.col("_s2") + 2 * F.col("_o") * F.col("_s") + F.col("_o") * F.col("_o") * F.col("_n")).alias("_a"))
+
+    predicted = sums.where("_m >= 0")
+    shifts = before(predicted.where("_at >= 0"), [*keys, "_m"])
+    predicted = _null_safe(predicted, shifts, [*keys, "_m", "_part"]).withColumn("_p", 2.0 * F.col("_off") - F.col("_all") - 1)
+    other = predicted.where("_at < 0").groupBy(*keys, "_m").agg(F.sum(F.col("_x") + 2 * F.col("_p") * F.col("_q") + F.col("_p") * F.col("_p") * F.col("_n")).alias("_b"), F.sum("_kinds").alias("_kinds"))
+    met = _null_safe(predicted.where("_at >= 0"), truths.select(*keys, "_at", "_o"), [*keys, "_at"])
+    met = met.groupBy(*keys, "_m").agg(F.sum(F.col("_x") + F.col("_p") * F.col("_s") + F.col("_o") * F.col("_q") + F.col("_o") * F.col("_p") * F.col("_n")).alias("_c"))
+    out = _null_safe(_null_safe(met, other, [*keys, "_m"]), spread, keys)
+    named = F.element_at(F.array(*map(F.lit, models)), F.col("_m") + 1).alias("model")
+    return out.select(*keys, named, F.when((F.col("_kinds") > 1) & (F.col("_a") > 0), F.col("_c") / F.sqrt(F.col("_a") * F.col("_b"))).alias("spearman"))
+
+
+def _codes(whole: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row that tells its key, from 0, and a row of each."""
+    code = np.zeros(len(whole), dtype=np.int64)
+    for name in names:
+        kind = whole[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code * len(kind.dictionary) + kind.indices.to_numpy()
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+class _Order:
+    """Rows by code and value (nulls first, NaN last): their order, the runs of equal ones, and twice their mean rank within the code."""
+
+    def __init__(self, code: np.ndarray, column: pa.ChunkedArray, weights: np.ndarray | None = None):
+        value = column.to_numpy()
+        rank = np.where(np.isnan(value), 2, 1)
+        rank[column.is_null().to_numpy()] = 0
+        value = np.where(rank == 1, value, 0.0)
+        self.order = np.lexsort((value, rank, code))
+        c, v, k = code[self.order], value[self.order], rank[self.order]
+        self.start = np.flatnonzero(np.concatenate([[True], (np.diff(c) != 0) | (v[1:] != v[:-1]) | (np.diff(k) != 0)]))
+        self.code = c[self.start]
+        held = np.diff(np.append(self.start, len(c))) if weights is None else np.add.reduceat(weights[self.order], self.start)
+        whole = np.cumsum(held) - held
+        self.first = np.concatenate([[True], np.diff(self.code) != 0])
+        self.last = np.append(self.first[1:], True)
+        self.held, self.below = held, whole - whole[np.flatnonzero(self.first)][np.cumsum(self.first) - 1]
+        self.run = np.repeat(np.arange(len(self.start)), np.diff(np.append(self.start, len(c))))
+        self.doubled = 2.0 * self.below + held + 1.0
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    parts = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(parts) if parts else None
+
+
+def _truth_ranks(keys: list[str], models: int):
+    """Of a range of truths: a row for each model, key, place (3 x the range: inner values, + 1: the first, + 2: the last one) and
+    prediction with its count and sum of ranks, which inner values have; and for model -1 what each place holds."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole(batches)
+        if whole is None:
+            return
+        code, _ = _codes(whole, keys)
+        by = _Order(code, whole["_y"])
+        place = 3 * whole["_part"][0].as_py() + np.where(by.first, 1, np.where(by.last, 2, 0))
+        rank = np.where(place % 3 == 0, by.doubled, 0.0)
+
+        def rows(model: int, at: np.ndarray, value: str, place: np.ndarray, n: np.ndarray, s: np.ndarray, s2: np.ndarray, below: np.ndarray) -> pa.Table:
+            made = whole.select([*keys, value]).take(pa.array(at)).rename_columns([*keys, "_v"])
+            for name, column, kind in (("_m", np.full(len(at), model), pa.int32()), ("_at", place, pa.int32()), ("_n", n, pa.int64()), ("_s", s, pa.float64()), ("_s2", s2, pa.float64()), ("_below", below, pa.int64())):
+                made = made.append_column(name, pa.array(column).cast(kind))
+            return made.select([*keys, "_m", "_v", "_at", "_n", "_s", "_s2", "_below"])
+
+        inner, runs = place % 3 == 0, np.flatnonzero(place % 3 != 0)
+        yield from rows(-1, by.order[by.start[runs]], "_y", place[runs], by.held[runs], 0.0 * runs, 0.0 * runs, by.below[runs]).to_batches()
+        if inner.any():
+            of_code = np.flatnonzero(np.bincount(by.code[inner]))
+            some = np.zeros(len(by.first.nonzero()[0]), dtype=np.int64)
+            some[by.code] = by.order[by.start]
+            add = lambda w: np.bincount(by.code[inner], weights=w[inner])[of_code]
+            zeros = 0 * of_code
+            base = 3 * whole["_part"][0].as_py() + zeros
+            yield from rows(-1, some[of_code], "_y", base, add(by.held).astype(np.int64), add(by.held * rank), add(by.held * rank * rank), zeros).to_batches()
+        at, s = np.empty(len(whole), dtype=np.int64), np.empty(len(whole))
+        at[by.order], s[by.order] = place[by.run], rank[by.run]
+        for model in range(models):
+            alike = _Order(3 * code + at % 3, whole[f"_p{model}"])
+            first = alike.order[alike.start]
+            nothing = 0 * first
+            yield from rows(model, first, f"_p{model}", at[first], alike.held, np.add.reduceat(s[alike.order], alike.start), nothing, nothing).to_batches()
+
+    return of
+
+
+def _range_sums(keys: list[str]):
+    """Of a range of predictions: for each key, model and place of the truth the count and the sums of ranks and of their products; at place -1
+    the sum of squares and how many values there are. What the truths hold passes through."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole(batches)
+        if whole is None:
+            return
+        part = whole["_part"][0].as_py()
+
+        def rows(made: pa.Table, **columns: np.ndarray) -> pa.Table:
+            for name, kind in (("_at", pa.int32()), ("_n", pa.int64()), ("_s", pa.float64()), ("_q", pa.float64()), ("_x", pa.float64()), ("_kinds", pa.int64())):
+                if name in columns or name not in made.column_names:
+                    column = pa.array(columns.get(name, np.zeros(len(made)))).cast(kind)
+                    made = made.set_column(made.column_names.index(name), name, column) if name in made.column_names else made.append_column(name, column)
+            made = made.set_column(made.column_names.index("_part"), "_part", pa.array(np.full(len(made), part, dtype=np.int32)))
+            return made.select([*keys, "_m", "_v", "_at", "_n", "_s", "_s2", "_below", "_part", "_q", "_x", "_kinds"])
+
+        truth = pc.less(whole["_m"], 0)
+        yield from rows(whole.filter(truth)).to_batches()
+        whole = whole.filter(pc.invert(truth))
+        if not len(whole):
+            return
+        code, some = _codes(whole, [*keys, "_m"])
+        n, s, at = whole["_n"].to_numpy(), whole["_s"].to_numpy(), whole["_at"].to_numpy()
+        by = _Order(code, whole["_v"], n)
+        rank = np.empty(len(whole))
+        rank[by.order] = by.doubled[by.run]
+        total = lambda w: np.bincount(by.code, weights=w, minlength=len(some))
+        n_all = total(by.held)
+        yield from rows(whole.take(pa.array(some)), _at=np.full(len(some), -1), _n=n_all, _s=0 * n_all, _q=total(by.held * by.doubled), _x=total(by.held * by.doubled**2), _kinds=total(np.ones(len(by.code)))).to_batches()
+        span = int(at.max()) + 1
+        _, first, group = np.unique(code * span + at, return_index=True, return_inverse=True)
+        add = lambda w: np.bincount(group, weights=w)
+        yield from rows(whole.take(pa.array(first)), _n=add(n), _s=add(s), _q=add(n * rank), _x=add(s * rank)).to_batches()
+
+    return of
 
 
 def average_ranks(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:

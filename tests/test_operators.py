@@ -242,6 +242,31 @@ def test_statistics_equal_numpy(spark):
     assert math.isclose(sums, math.sqrt(np.average((y[g > 0] - np.average(y[g > 0], weights=w)) ** 2, weights=w)), rel_tol=1e-9)
 
 
+def test_spearman_of_models_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "WINDOW_ROWS", 25)
+    rng = np.random.default_rng(12)
+    n = 240
+    key = rng.integers(0, 3, n)
+    y = np.where(rng.random(n) < 0.5, 7.0, np.round(rng.normal(7, 2, n), 1))  # half of the truths are equal: they lie in several ranges
+    p = {"tied": np.where(rng.random(n) < 0.6, 0.0, y), "near": y + rng.normal(size=n), "flat": np.full(n, 3.0)}
+    p["tied"][:5], y[5:8], y[8:10] = np.nan, np.nan, np.inf
+    rows = [(None if k == 2 else int(k), None if i in (20, 21) else float(y[i]), *[float(v[i]) for v in p.values()]) for i, k in enumerate(key)]
+    got = {(r.k, r.model): r.spearman for r in metrics.spearman_models(spark.createDataFrame(rows, "k int, y double, tied double, near double, flat double"), ["k"], list(p), "y").collect()}
+
+    def ranks(v):
+        place = [(0, 0.0) if a is None else (2, 0.0) if a != a else (1, a) for a in v]
+        return [sum(b < a for b in place) + (place.count(a) + 1) / 2 for a in place]
+
+    for k in (0, 1, None):
+        mine = [r for r in rows if r[0] == k]
+        for c, model in enumerate(p, 2):
+            a, b = np.array(ranks([r[1] for r in mine])), np.array(ranks([r[c] for r in mine]))
+            want = None if model == "flat" else np.corrcoef(a, b)[0, 1]
+            assert got[k, model] is None if want is None else math.isclose(got[k, model], want, rel_tol=1e-9)
+    assert len(got) == 9
+    assert metrics.spearman(spark.createDataFrame([], "k int, a double, b double"), ["k"], "a", "b").collect() == []
+
+
 def test_large_channels_of_a_process_are_solved_by_sums(spark, monkeypatch):
     monkeypatch.setattr(grouped, "ROWS", 300, raising=False)
     monkeypatch.setattr(grouped, "DENSE", 100, raising=False)
