@@ -180,7 +180,8 @@ def geodesic_knn(edges: DataFrame, k: int, nodes: DataFrame | None = None, block
     """(source, node, d, rank): the k nodes nearest to every node along the edges (length sqrt d2), ties to smaller nodes; with
     nodes (node, place), only those that stand before it in that order: the conditioning sets of a sequential factorisation.
 
-    The graph lies in blocks, by hash or as blocks (node, block from 0) says; near nodes in one block make fewer rounds. A task searches one block from all
+    The graph lies in one block where it is small, or in blocks of near nodes (node, block from 0). Without those nearly every step would lead into
+    another block, so a large graph is then searched hop by hop (_by_hops). Otherwise a task searches one block from all
     its nodes, or later from where paths came in, and sends paths that leave it on to other blocks. A path goes on only while it is no longer than its source's way to the
     k-th eligible node met, so a source sees about k n / place nodes; what a task has searched is not kept, only its nodes at the border and k nodes a source.
     Rounds grow with the blocks that a path crosses and end when none is shortened. Nodes that no path reaches are no neighbours.
@@ -189,6 +190,8 @@ def geodesic_knn(edges: DataFrame, k: int, nodes: DataFrame | None = None, block
     places = both.select(F.col("src").alias("node")).distinct()
     places = places.withColumn("place", F.lit(0.0)) if nodes is None else places.join(nodes.select("node", F.col("place").cast("double").alias("place")), "node", "left")
     many = blocks_for(edges.sparkSession, places.count()) if blocks is None else (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    if blocks is None and many > 1:
+        return _by_hops(both, k, cut(places if nodes is None else nodes.select("node", "place"), "places"), nodes is not None)
     own = F.pmod(F.xxhash64(F.col("node").cast("long")), F.lit(many)).cast("int")
     places = cut(places.withColumn("block", own) if blocks is None else places.join(blocks, "node", "left").withColumn("block", F.coalesce("block", own)), "places")
     here, there = places.select(F.col("node").alias("src"), "block"), places.select(F.col("node").alias("dst"), F.col("block").alias("other"))
@@ -223,6 +226,28 @@ def geodesic_knn(edges: DataFrame, k: int, nodes: DataFrame | None = None, block
                 release(done)
 
 
+def _by_hops(both: DataFrame, k: int, places: DataFrame, ordered: bool) -> DataFrame:
+    """geodesic_knn() by a hop a round from all nodes at once, over edges in both directions (src, dst, len)."""
+    here, there = places.select(F.col("node").alias("source"), F.col("place").alias("_a")), places.select("node", F.col("place").alias("_b"))
+    fits = F.col("_b") < F.col("_a") if ordered else F.col("source") != F.col("node")
+    front = places.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"))
+    known = None
+    nearest = Window.partitionBy("source").orderBy("d", "node")
+    while True:
+        known = front if known is None else known.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d"))
+        known = cut(known, "known")
+        eligible = known.join(here, "source").join(there, "node").where(fits).select("source", "node", "d")
+        # row_number up to k is cut before the shuffle, so a source that has met many nodes sends few
+        best = cut(eligible.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "best")
+        bound = best.where(F.col("rank") == k).select("source", F.col("d").alias("most"))
+        step = front.join(both, front["node"] == both["src"]).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("len")).alias("d"))
+        step = step.groupBy("source", "node").agg(F.min("d").alias("d")).join(bound, "source", "left").where(F.col("most").isNull() | (F.col("d") <= F.col("most")))
+        old = known.select("source", "node", F.col("d").alias("old"))
+        front = cut(step.join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("source", "node", "d"), "front")
+        if front.isEmpty():
+            return best
+
+
 #: What a search of a block gives: eligible nodes, paths into other blocks, and nodes at the border of the own one.
 FOUND, LEFT, EDGE = 0, 1, 2
 
