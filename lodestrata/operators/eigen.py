@@ -1,25 +1,33 @@
 """Smallest eigenpairs of a symmetric matrix given by its entries, and how good they are.
 
 Blocks of vectors are tables (node, x0, x1, ...). A restart draws a block through a Chebyshev filter, which grows what lies below a cut
-against what lies above it, takes a short block Krylov (Lanczos) space of the result and solves the projected problem in it. One product with
-the matrix is one join on the column and one partial aggregation on the row, for all vectors of a block at once; only the moments of a
-space, as many as its columns squared, reach the driver.
+against what lies above it, takes a short block Krylov (Lanczos) space of the result and solves the projected problem in it. For the products
+nodes are dealt into parts by hash. A part's rows of the matrix and its numbers of the vectors stay where they are; in a product a node's
+numbers go once to each other part that has a neighbour of it, packed, and nothing else moves. Only the moments of a space, as many as its
+columns squared, reach the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import portable_hash
 from ..plans.shared import cut, release
 
-#: Vectors besides those asked for, steps of the Krylov space, products in one plan, and the filter's degree after the first restart.
-GUARD, STEPS, CHAIN, DEGREE = 6, 2, 5, 20
+#: Vectors besides those asked for, steps of the Krylov space, the filter's degree in the first restart and its highest later, and the most that
+#: a filter may grow one vector against another.
+GUARD, STEPS, FIRST, DEGREE, GROWTH = 6, 2, 5, 40, 1e7
+#: Most and least nodes of a part, and parts that are made while they have so many: cores share the work of smaller graphs, and what a node sends
+#: does not begin to grow with their number. Then columns and steps of the space that bounds the spectrum.
+PART, LEAST, SPREAD = 1 << 15, 512, 12
+WIDE, LONG = 3, 10
 
 
 def _names(prefix: str, width: int) -> list[str]:
@@ -48,22 +56,128 @@ def _product(both: DataFrame, block: DataFrame, names: list[str], carried: list[
     return both.join(block, F.expr("j = node")).groupBy(F.col("i").alias("node")).agg(*map(F.expr, sums))
 
 
-def _recur(both: DataFrame, block: DataFrame, width: int, steps: int, mid: float, half: float, keep: bool) -> DataFrame:
+def _part(node: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(parts)).cast("int")
+
+
+class Parts:
+    """A symmetric matrix, every entry in both its places, dealt into parts of nodes. Of a part are kept `links`, which rows of its vectors each
+    other part needs (those with an entry in it, as the matrix is symmetric), and `rows`, its entries row by row."""
+
+    def __init__(self, both: DataFrame, parts: int):
+        self.parts, self.kind = parts, both.schema["i"].dataType
+
+        def build(table: pa.Table) -> pa.Table:
+            p, q, v = table["p"][0].as_py(), table["q"].to_numpy(), table["v"].to_numpy()
+            j = table["j"].to_numpy()
+            nodes, row = np.unique(table["i"].to_numpy(), return_inverse=True)
+            column, links, sources, at = np.empty(len(row), np.int64), {}, [], len(nodes)
+            for other in map(int, np.unique(q)):
+                here = q == other
+                if other == p:
+                    column[here] = np.searchsorted(nodes, j[here])
+                    continue
+                far, place = np.unique(j[here], return_inverse=True)
+                column[here] = at + place
+                at += len(far)
+                links[other] = np.unique(row[here])
+                sources.append(other)
+            order = np.lexsort((column, row))
+            starts = np.searchsorted(row[order], np.arange(len(nodes)))
+            rows = nodes, sources, starts, column[order].astype(np.int32), v[order]
+            return pa.table({"p": pa.array([p], pa.int32()), "links": [pickle.dumps(links)], "rows": [pickle.dumps(rows)]})
+
+        placed = both.select(_part("i", parts).alias("p"), _part("j", parts).alias("q"), "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+        self.table = cut(placed.groupBy("p").applyInArrow(build, "p int, links binary, rows binary"), "parts")
+        self.links, self.rows = self._dealt("links"), self._dealt("rows")
+
+    def _dealt(self, name: str) -> RDD:
+        dealt = self.table.select("p", name).rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(self.parts)
+        # mapped after it is dealt, so that a union with vectors finds it in their form and does not read it through another process
+        return dealt.mapValues(lambda piece: (name, pickle.loads(piece))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.links.unpersist()
+        self.rows.unpersist()
+        release(self.table)
+
+    def packed(self, block: DataFrame, names: list[str]) -> RDD:
+        """The named columns of a table of nodes as one matrix a part, its rows by node."""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part, nodes = batch.column("p").to_numpy(), batch.column("node").to_numpy(zero_copy_only=False)
+                x = np.column_stack([batch.column(c).to_numpy() for c in names])
+                found = np.unique(part)
+                pieces = [pickle.dumps((nodes[part == p], x[part == p])) for p in found]
+                yield pa.RecordBatch.from_pydict({"p": found, "piece": pa.array(pieces, pa.binary())})
+
+        def joined(items):
+            items = list(items)
+            if items:
+                nodes, x = (np.concatenate(side) for side in zip(*(pickle.loads(piece) for _, piece in items), strict=True))
+                yield items[0][0], ("state", [x[np.argsort(nodes, kind="stable")]])
+
+        placed = block.select(_part("node", self.parts).alias("p"), "node", *names)
+        pieces = placed.mapInArrow(split, "p int, piece binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+        return pieces.partitionBy(self.parts).mapPartitions(joined, preservesPartitioning=True)
+
+    def stepped(self, state: RDD, mid: float, half: float, keep: bool, number: type) -> RDD:
+        """One more step of the recurrence (keep: after all before it, else after the last one); other parts get `number`s."""
+
+        def send(items):
+            items = list(items)
+            of = dict(item for _, item in items)
+            for q, rows in of["links"].items() if items else ():
+                yield q, (items[0][0], of["state"][-1][rows].astype(number))
+
+        def step(items):
+            items = list(items)
+            if not items:
+                return
+            of = dict(item for _, item in items)
+            _, sources, starts, column, v = of["rows"]
+            old = of["state"]
+            whole = np.concatenate([old[-1], *[of[q] for q in sources]])
+            new = (np.add.reduceat(v[:, None] * whole[column], starts, axis=0) - mid * old[-1]) / half
+            if len(old) > 1:
+                new = 2 * new - old[-2]
+            yield items[0][0], ("state", [*(old if keep else old[-1:]), new])
+
+        sent = self.links.union(state).mapPartitions(send).partitionBy(self.parts)
+        return self.rows.union(state).union(sent).mapPartitions(step, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def unpacked(self, state: RDD, names: list[str]) -> DataFrame:
+        """(node, names) of the last columns of each part's vectors, as many as names."""
+
+        def meet(items):
+            of = dict(item for _, item in items)
+            if of:
+                yield (pickle.dumps((of["rows"][0], np.hstack(of["state"])[:, -len(names) :])),)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in batch.column("piece"):
+                    nodes, x = pickle.loads(piece.as_py())
+                    for at in range(0, len(nodes), 8192):
+                        columns = {c: x[at : at + 8192, k] for k, c in enumerate(names)}
+                        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[at : at + 8192]), **columns})
+
+        pieces = self.table.sparkSession.createDataFrame(self.rows.union(state).mapPartitions(meet), "piece binary", verifySchema=False)
+        return pieces.mapInArrow(spread, f"node {self.kind.simpleString()}, {', '.join(f'{c} double' for c in names)}")
+
+
+def _recur(parts: Parts, block: DataFrame, width: int, steps: int, mid: float, half: float, keep: bool, number: type = np.float64) -> DataFrame:
     """Chebyshev polynomials of the matrix, scaled so that mid - half .. mid + half is -1 .. 1, times columns x: the last one as x
     (keep: each of them as b<step>_<column>, the zeroth included)."""
-    # expressions as text: building a column object by object costs more here than running it on small tables
-    x, p = _names("x", width), _names("p", width)
-    now = block.selectExpr("node", *x, *[f"x{k} AS b0_{k}" for k in range(width if keep else 0)])
-    for step in range(1, steps + 1):
-        old = [c for c in now.columns if c.startswith("b")]
-        made = _product(both, now, x, [*x, *(p if step > 1 else []), *old])
-        scaled = [f"(l_x{k} - {mid!r}D * x{k}) / {half!r}D" for k in range(width)]
-        grown = scaled if step == 1 else [f"2 * {w} - p{k}" for k, w in enumerate(scaled)]
-        kept = [f"{w} AS b{step}_{k}" for k, w in enumerate(grown)] if keep else []
-        now = made.selectExpr("node", *[f"{w} AS x{k}" for k, w in enumerate(grown)], *[f"x{k} AS p{k}" for k in range(width)], *old, *kept)
-        if step % CHAIN == 0 and step < steps:
-            now = cut(now, "filter")
-    return now
+    states = [parts.packed(block, _names("x", width)).persist(StorageLevel.MEMORY_AND_DISK)]
+    for _ in range(steps):
+        states.append(parts.stepped(states[-1], mid, half, keep, number))
+    names = [c for s in range(steps + 1) for c in _names(f"b{s}_", width)] if keep else _names("x", width)
+    out = cut(parts.unpacked(states[-1], names), "space" if keep else "filtered")
+    for state in states:
+        state.unpersist()
+    return out
 
 
 def _moments(table: DataFrame, a: list[str], b: list[str]) -> np.ndarray:
@@ -97,6 +211,33 @@ def _combined(table: DataFrame, outputs: dict[str, dict[str, float]]) -> DataFra
     return table.select("node", *inputs).mapInArrow(of, f"node {kind}, {', '.join(f'{o} double' for o in outputs)}")
 
 
+def _ritz(space: DataFrame, width: int, steps: int, mid: float, half: float) -> tuple[np.ndarray, np.ndarray, list[dict], list[dict]]:
+    """Of the matrix projected on blocks b0 .. b<steps - 1> of a space: values ascending, sizes of the residuals (to about 1e-7 of the matrix), and
+    vectors and residuals as combinations of its columns."""
+    cols = [_names(f"b{s}_", width) for s in range(steps + 1)]
+    inside, everything = [c for block in cols[:-1] for c in block], [c for block in cols for c in block]
+    # the matrix times a basis vector, in the basis one step longer
+    image = np.zeros((len(everything), len(inside)))
+    for s in range(steps):
+        for k in range(width):
+            b = s * width + k
+            image[b, b] = mid
+            image[b + width, b] = half if s == 0 else half / 2
+            if s:
+                image[b - width, b] = half / 2
+    m = _moments(space, everything, everything)
+    gram, h = m[: len(inside), : len(inside)], m[: len(inside)] @ image
+    lam, q = np.linalg.eigh((gram + gram.T) / 2)
+    good = lam > 1e-12 * lam[-1]
+    white = q[:, good] / np.sqrt(lam[good])
+    values, vec = np.linalg.eigh(white.T @ ((h + h.T) / 2) @ white)
+    coef = white @ vec
+    wrong = image @ coef
+    wrong[: len(inside)] -= coef * values
+    sizes = np.sqrt(np.maximum(np.einsum("rk,rk->k", wrong, m @ wrong), 0.0))
+    return values, sizes, [dict(zip(inside, c, strict=True)) for c in coef.T], [dict(zip(everything, c, strict=True)) for c in wrong.T]
+
+
 def smallest(entries: DataFrame, modes: int, tolerance: float = 1e-7, restarts: int = 40, seed: int = 0) -> tuple[list[dict], DataFrame]:
     """(rows of mode, eigenvalue, residual), (node, x0, ...) of the smallest eigenvalues of a symmetric matrix.
 
@@ -109,58 +250,52 @@ def smallest(entries: DataFrame, modes: int, tolerance: float = 1e-7, restarts:
     n, top, low = spread.agg(F.count("*"), F.max(F.col("d") + F.col("o")), F.min(F.col("d") - F.col("o"))).first()
     if not n:
         return [], entries.select(F.col("i").alias("node"))
+    size = max(top, -low)
     modes = min(modes, n)
-    width = min(n, modes + GUARD)
-    x = cut(start_block(both.where("i = j").select(F.col("i").alias("node")), width, seed), "block")
-    edge, degree = low + 0.25 * (top - low), CHAIN
+    width = full = min(n, modes + GUARD)
+    parts = Parts(both, max(-(-n // PART), min(-(-n // LEAST), SPREAD)))
+    nodes = both.where("i = j").select(F.col("i").alias("node"))
+    # rows' sums bound the spectrum loosely; a filter over less needs fewer products. Should this bound be too low, restarts raise it
+    top = max(top, low + (1e-3 * size or 1.0))
+    mid, half, few = (top + low) / 2, (top - low) / 2, min(n, WIDE)
+    space = _recur(parts, start_block(nodes, few, seed + 1), few, LONG, mid, half, keep=True)
+    values, wrong, _, _ = _ritz(space, few, LONG, mid, half)
+    release(space)
+    low, top = max(low, values[0] - wrong[0]), min(top, values[-1] + wrong[-1])
+    top = float(max(top, low + (1e-3 * size or 1.0)))
+    low = float(low)
+    # whatever the filter's numbers are rounded to, spaces and residuals are made in doubles
+    number = np.float32 if tolerance >= 1e-8 else np.float64
+    x = cut(start_block(nodes, width, seed), "block")
+    edge, degree = low + 0.25 * (top - low), FIRST
     for _ in range(restarts):
-        filtered = _recur(both, x, width, degree, (top + edge) / 2, (top - edge) / 2, keep=False)
+        v0 = _recur(parts, x, width, degree, (top + edge) / 2, (top - edge) / 2, keep=False, number=number)
         mid, half = (top + low) / 2, (top - low) / 2
-        v0 = cut(filtered.select("node", *_names("x", width)), "filtered")
-        # filtered columns differ in size by orders of magnitude and lean on each other: made orthonormal first
-        lam, q = np.linalg.eigh(_moments(v0, _names("x", width), _names("x", width)))
+        # filtered columns differ in size by orders of magnitude and lean on each other: made of one size and orthonormal first
+        m = _moments(v0, _names("x", width), _names("x", width))
+        scale = 1 / np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+        lam, q = np.linalg.eigh(m * scale * scale[:, None])
         good = lam > 1e-13 * lam[-1]
-        white = q[:, good] / np.sqrt(lam[good])
+        white = scale[:, None] * q[:, good] / np.sqrt(lam[good])
         held = int(good.sum())
-        v0 = _combined(v0, {f"x{k}": {f"x{r}": white[r, k] for r in range(width)} for k in range(held)})
-        space = cut(_recur(both, v0, held, STEPS + 1, mid, half, keep=True), "space")
-        cols = [[f"b{s}_{k}" for k in range(held)] for s in range(STEPS + 2)]
-        inside = [c for block in cols[:-1] for c in block]
-        # the matrix times a basis vector, in the basis one step longer
-        image = {}
-        for s in range(STEPS + 1):
-            for k in range(held):
-                image[cols[s][k]] = {cols[s][k]: mid, cols[s + 1][k]: half} if s == 0 else {cols[s][k]: mid, cols[s + 1][k]: half / 2, cols[s - 1][k]: half / 2}
-        everything = [c for block in cols for c in block]
-        at = {c: r for r, c in enumerate(everything)}
-        m = _moments(space, inside, everything)
-        gram = m[:, : len(inside)]
-        h = np.column_stack([sum(f * m[:, at[c]] for c, f in image[b].items()) for b in inside])
-        lam, q = np.linalg.eigh((gram + gram.T) / 2)
-        good = lam > 1e-12 * lam[-1]
-        white = q[:, good] / np.sqrt(lam[good])
-        inner = white.T @ ((h + h.T) / 2) @ white
-        values, vec = np.linalg.eigh(inner)
-        keep = min(width, len(values))
-        values, coef = values[:keep], white @ vec[:, :keep]
-        outputs = {f"x{k}": dict(zip(inside, coef[:, k], strict=True)) for k in range(keep)}
-        for k in range(keep):
-            wrong: dict[str, float] = {}
-            for b, c in zip(inside, coef[:, k], strict=True):
-                wrong[b] = wrong.get(b, 0.0) - values[k] * c
-                for e, f in image[b].items():
-                    wrong[e] = wrong.get(e, 0.0) + f * c
-            outputs[f"r{k}"] = wrong
-        new = cut(_combined(space, outputs), "ritz")
+        straight = _combined(v0, {f"x{k}": {f"x{r}": white[r, k] for r in range(width)} for k in range(held)})
+        space = _recur(parts, straight, held, STEPS + 1, mid, half, keep=True)
+        values, _, coef, wrong = _ritz(space, held, STEPS + 1, mid, half)
+        keep = min(full, len(values))
+        new = cut(_combined(space, {f"x{k}": coef[k] for k in range(keep)} | {f"r{k}": wrong[k] for k in range(keep)}), "ritz")
         residual = new.agg(*[F.sqrt(F.sum(F.col(f"r{k}") * F.col(f"r{k}"))) for k in range(keep)]).first()
-        for old in (x, space):
+        for old in (x, v0, space):
             release(old)
         x, width = new.select("node", *_names("x", keep)), keep
-        if max(residual[:modes]) <= tolerance * max(top, -low):
+        if len(residual) >= modes and max(residual[:modes]) <= tolerance * size:
             break
-        edge, degree = min(float(values[-1]) + 1e-3 * (top - low), top - 0.05 * (top - low)), DEGREE
+        top = max(top, float(values[-1]))
+        edge = min(float(values[keep - 1]) + 1e-3 * (top - low), top - 0.05 * (top - low))
+        reach = np.arccosh(max(1.0, 1 + 2 * (edge - float(values[0])) / (top - edge)))
+        degree = int(np.clip(np.arccosh(GROWTH) / max(reach, 1e-9), FIRST, DEGREE))
     else:
         raise RuntimeError(f"residuals {list(residual[:modes])} after {restarts} restarts")
+    parts.release()
     signs = x.agg(*[F.max(F.struct(F.abs(f"x{k}").alias("a"), (-F.col("node")).alias("n"), F.col(f"x{k}").alias("x"))).alias(f"s{k}") for k in range(modes)]).first()
     flipped = x.select("node", *[(F.col(f"x{k}") * (1.0 if signs[f"s{k}"]["x"] >= 0 else -1.0)).alias(f"x{k}") for k in range(modes)])
     return [{"mode": k, "eigenvalue": float(values[k]), "residual": float(residual[k])} for k in range(modes)], flipped

@@ -87,6 +87,39 @@ def test_eigenpairs_of_small_matrices(spark):
     assert eigen.smallest(tiny.limit(0), 3)[0] == []
 
 
+def test_eigenpairs_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(eigen, "PART", 16)  # five parts
+    rng = np.random.default_rng(6)
+    entries, whole = laplacian_of(spark, rng.normal(size=(80, 3)))
+    lam, vec = np.linalg.eigh(whole)
+    found, x = eigen.smallest(entries, 4)
+    assert np.allclose([f["eigenvalue"] for f in found], lam[:4], atol=1e-9) and max(f["residual"] for f in found) < 1e-6
+    assert eigen.orthonormality_error(x) < 1e-10
+    parts = eigen.Parts(eigen._both(entries), 5)
+    of = {r.node: r.p for r in spark.range(80).select(F.col("id").alias("node"), eigen._part("id", 5).alias("p")).collect()}
+    # a node's numbers go once to each other part with a neighbour, whatever the number of its neighbours there
+    sent = sum(len(rows) for _, (_, links) in parts.links.collect() for rows in links.values())
+    assert sent == len({(i, of[j]) for i, j in np.argwhere(whole).tolist() if of[i] != of[j]})
+    block = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(vec[:, 3:5])], "node long, x0 double, x1 double")
+    got = {r.node: (r.b2_0, r.b2_1) for r in eigen._recur(parts, block, 2, 2, 1.0, 2.0, keep=True).collect()}
+    scaled = (whole - np.eye(80)) / 2
+    assert np.allclose([got[i] for i in range(80)], 2 * scaled @ scaled @ vec[:, 3:5] - vec[:, 3:5])
+
+
+def test_eigenpairs_below_a_wide_gap(spark):
+    # one value far below the rest: a filter of a fixed degree leaves every column pointing at it
+    lam = np.concatenate([[0.0], np.linspace(0.9, 1.0, 39)])
+    entries = spark.createDataFrame([(i, i, float(v)) for i, v in enumerate(lam)], "i long, j long, v double")
+    found, x = eigen.smallest(entries, 4)
+    assert np.allclose([f["eigenvalue"] for f in found], lam[:4], atol=1e-9) and eigen.orthonormality_error(x) < 1e-10
+
+
+def test_eigenpairs_of_one_value(spark):
+    entries = spark.createDataFrame([(i, i, 2.0) for i in range(30)], "i long, j long, v double")
+    found, x = eigen.smallest(entries, 3)
+    assert np.allclose([f["eigenvalue"] for f in found], 2) and eigen.orthonormality_error(x) < 1e-10
+
+
 def plain_geodesic(n, edges, k, before):
     near = {i: [] for i in range(n)}
     for a, b, d2 in edges:
