@@ -335,11 +335,13 @@ def border_distance(nodes: DataFrame, border: DataFrame, key: str, label: str, c
     """(key, other, d2): the nearest border node of another label, found in growing cells."""
     from .spatial import radius_join
 
-    left, found = nodes.select(key, label, *coords), None
+    left, found = nodes.select(key, label, *coords).where(F.col(label).isNotNull()), None
     right = border.select(key, label, *coords)
-    span = right.agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"), *[F.max(F.abs(c)).alias(c) for c in coords]).first()
-    # with one label there is no border, however far one looks
-    most = 0.0 if span["_lo"] == span["_hi"] else 4 * sum(float(span[c] or 0) for c in coords) + cell
+    labels = right.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+    if labels["lo"] == labels["hi"]:  # nodes of the border's only label have none of another, however far one looks
+        left = left.where(F.col(label) != F.lit(labels["lo"]))
+    span = left.select(*coords).unionByName(right.select(*coords)).agg(*[F.max(F.abs(c)).alias(c) for c in coords]).first()
+    most = 4 * sum(float(span[c] or 0) for c in coords) + cell
     while True:
         met = radius_join(left, right, coords, cell).where(F.col(f"l_{label}") != F.col(f"r_{label}"))
         best = met.groupBy(F.col(f"l_{key}").alias(key)).agg(F.min(F.struct("d2", F.col(f"r_{key}").alias("k"), F.col(f"r_{label}").alias("o"))).alias("b"))

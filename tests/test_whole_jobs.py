@@ -113,3 +113,12 @@ def test_pairs_of_suppliers_are_made_in_many_tasks(spark, monkeypatch):
     want = lambda a, b: np.exp(-((a.s_acctbal - b.s_acctbal) ** 2) / 2e6) * (1.0 if a.s_nationkey == b.s_nationkey else 0.3)
     rows = made.collect()
     assert len({(r.a, r.b) for r in rows}) == len(rows) == len(s) ** 2 and all(abs(r.k - want(s[r.a], s[r.b])) < 1e-6 for r in rows)
+
+
+def test_a_border_of_one_other_label_is_searched_to_its_end(spark):
+    from lodestrata.operators import graph
+
+    border = spark.createDataFrame([(1, 0, 0.0, 0.0)], "id long, side int, x double, y double")
+    nodes = spark.createDataFrame([(2, 1, 1.0, 0.0), (3, 1, 40.0, 30.0), (4, 0, 5.0, 5.0), (5, None, 1.0, 1.0)], border.schema)
+    assert {tuple(r) for r in graph.border_distance(nodes, border, "id", "side", ["x", "y"], 2.0).collect()} == {(2, 0, 1.0), (3, 0, 2500.0)}
+    assert graph.border_distance(nodes, border.limit(0), "id", "side", ["x", "y"], 2.0).count() == 0
