@@ -160,7 +160,8 @@ def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     stored = one.select(F.explode(F.pandas_udf(_stored, "array<long>")("f")).alias("k"), F.col("f").alias("a"))
     probes = one.select(F.explode(F.pandas_udf(_probes, "array<long>")("f")).alias("k"), F.col("f").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return stored.join(probes, (stored["k"] == probes["k"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    # the planner takes neither for larger than the fingerprints' file and would broadcast all probes of a middling table
+    return stored.join(probes.hint("merge"), (stored["k"] == probes["k"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
 def classes(prints: DataFrame) -> DataFrame:

@@ -158,6 +158,12 @@ def test_simhash_links_equal_brute_force(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_simhash_probes_are_not_broadcast(spark, tmp_path):
+    spark.range(100).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/fps")
+    plan = simhash_dedup.links(spark.read.parquet(f"{tmp_path}/fps"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_repeated_rows_nulls_and_nothing(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "x y z"), (None, "x y z"), (7, "a b c d"), (7, "k l m n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
